@@ -149,12 +149,20 @@ def passes_policy(domain: Column, allow: Column, deny: Column, strict: bool = Fa
 
 
 def policy_filter(candidates: DataFrame, resolved: DataFrame, strict: bool = False) -> DataFrame:
-    """Candidates whose domain the run's effective policy admits."""
-    rules = resolved.select("run_id", "domains_allow", "domains_deny", "max_sources_per_run")
+    """Candidates whose domain the run's effective policy admits, with the run's trusted domains.
+
+    The join meets on ``run_id``; spreading its output by (run, url) lets AQE split a hot run in the join
+    and lets later ranks per run prune before they gather.
+    """
+    rules = resolved.select(
+        "run_id", "domains_allow", "domains_deny", "max_sources_per_run",
+        F.col("reputation.trusted_institutions").alias("trusted"),
+    )
     return (
         candidates.join(rules, "run_id")
         .filter(passes_policy(t.netloc(F.col("url")), F.col("domains_allow"), F.col("domains_deny"), strict))
         .drop("domains_allow", "domains_deny")
+        .repartition("run_id", "url")
     )
 
 
@@ -167,7 +175,7 @@ def max_sources(candidates: DataFrame, ceiling: int) -> DataFrame:
     return (
         candidates.withColumn("pos", F.row_number().over(order))
         .filter((F.col("pos") <= ceiling) & (F.col("pos") <= F.col("max_sources_per_run")))
-        .select("run_id", "url", "pos")
+        .drop("query_pos", "result_pos", "max_sources_per_run")
     )
 
 
@@ -179,14 +187,14 @@ def largest_source_limit(policies: DataFrame) -> int:
 # --- pages ------------------------------------------------------------------------------------
 
 def crawl_plan(sources: DataFrame, timeout_seconds: int = CRAWL_TIMEOUT) -> DataFrame:
-    return sources.select("run_id", "url", "pos", F.lit(timeout_seconds).alias("timeout_seconds"))
+    return sources.withColumn("timeout_seconds", F.lit(timeout_seconds))
 
 
 def attach_pages(plan: DataFrame, pages: DataFrame) -> DataFrame:
     """Crawl plan with the fetched page; a URL that was not fetched has status 0."""
+    carried = [c for c in plan.columns if c not in ("pos", "timeout_seconds")]
     return plan.join(pages, "url", "left").select(
-        "run_id",
-        "url",
+        *carried,
         F.col("pos").alias("page_pos"),
         F.coalesce("status_code", F.lit(0)).alias("status_code"),
         *[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "author", "published_date", "markdown")],

@@ -48,7 +48,6 @@ def discover(
     resolved = d.resolve_policy(requests, policies)
     sources = d.max_sources(d.policy_filter(candidates, resolved, settings.strict_domains), source_ceiling)
     fetched = d.drop_empty_pages(d.attach_pages(d.crawl_plan(sources), pages))
-    rated = fetched.join(resolved.select("run_id", F.col("reputation.trusted_institutions").alias("trusted")), "run_id")
-    excerpts = d.extract_evidence(rated, retrieved_at, F.col("trusted"))
+    excerpts = d.extract_evidence(fetched, retrieved_at, F.col("trusted"))
     evidence = d.cap_evidence(excerpts, settings.per_source, settings.per_run)
     return Discovery(queries, candidates, resolved, sources, fetched, excerpts, evidence)

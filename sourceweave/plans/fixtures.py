@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions import text as t
+from ..operators import drafts as dr
 from ..sources import config_tables as cfg
 from ..sources import crawl
 
@@ -217,3 +217,49 @@ def stage_events(spark: SparkSession, sf: str) -> DataFrame:
 
 def retrieved_at() -> Column:
     return F.lit(RETRIEVED).cast("timestamp")
+
+
+def _flaw(iteration: int) -> Column:
+    """Which defect a paragraph still has: it depends on the excerpt's length and fades with the rounds."""
+    n = F.length("excerpt")
+    return F.when(F.lit(iteration) <= F.pmod(F.floor(n / 8), F.lit(4)), F.pmod(n, F.lit(8))).otherwise(9)
+
+
+def flawed_paragraph(iteration: int) -> Column:
+    flaw = _flaw(iteration)
+    marker = F.concat(F.lit(" [ev:"), "id", F.lit("]"))
+    return (
+        F.when(flaw == 0, F.col("excerpt"))
+        .when(flaw == 1, F.concat("excerpt", F.lit(" [ev:ev_unknown]")))
+        .when(flaw == 2, F.concat("excerpt", F.lit(" Observed 98765 cases."), marker))
+        .otherwise(F.concat("excerpt", marker))
+    )
+
+
+def model_responses(requests: DataFrame, evidence: DataFrame, picks: DataFrame, iteration: int) -> DataFrame:
+    """Writer responses of a careless model: some paragraphs lack markers, cite unknown ids or add a figure,
+    and the JSON comes bare, fenced or not at all."""
+    flaw = _flaw(iteration)
+    text = dr.assemble_drafts(requests, evidence, picks, flawed_paragraph(iteration), F.lit(iteration))
+    cited = F.when(flaw == 1, F.lit("ev_unknown")).when(flaw != 0, F.col("id"))
+    rows = F.array_sort(F.collect_list(F.struct(
+        "heading_pos", "rank", cited.alias("cited"),
+        F.struct(
+            F.when(F.pmod(F.length("excerpt"), F.lit(8)) == 3, "").otherwise(F.col("excerpt")).alias("claim"),
+            F.array(F.coalesce(cited, F.col("id"))).alias("evidence_ids"),
+        ).alias("m"),
+    )))
+    lists = picks.groupBy("run_id", "path").agg(rows.alias("p"))
+    body = F.to_json(F.struct(
+        "content",
+        F.filter(F.transform("p", lambda s: s["cited"]), lambda c: c.isNotNull()).alias("citations_used"),
+        F.transform("p", lambda s: s["m"]).alias("evidence_map"),
+        F.array().cast("array<string>").alias("gaps"),
+    ))
+    response = (
+        F.when(F.pmod(F.length("content"), F.lit(7)) == 0, F.col("content"))
+        .when(F.col("path") == "explore", F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n```\n")))
+        .when(F.col("path") == "apply", F.concat(F.lit("Result: "), body, F.lit(" End.")))
+        .otherwise(body)
+    )
+    return text.join(lists, ["run_id", "path"], "left").select("run_id", "path", "iteration", response.alias("response"))

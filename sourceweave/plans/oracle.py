@@ -6,6 +6,7 @@ import re
 
 from ..functions import quality as q
 from ..functions import text as t
+from ..schemas import ASSESSMENTS
 from ..sources import config_tables as cfg
 from . import fixtures as fx
 
@@ -143,6 +144,37 @@ def capped(source: str, per_source: int = 5, per_run: int = 100) -> str:
         WHERE run_rank <= {per_run})"""
 
 
+def citation_ids(x: str) -> str:
+    return f"list_transform(regexp_extract_all({x}, {quote(t.CITATION_PATTERN)}), lambda m: regexp_extract(m, '^\\[(?:ev:)?(.*)\\]$', 1))"
+
+
+def sentences(x: str) -> str:
+    cut = f"string_split(regexp_replace({x}, {quote(t.SENTENCE_END)}, '\\1' || chr(1), 'g'), chr(1))"
+    return f"list_filter(list_transform({cut}, lambda s: {strip('s')}), lambda s: s <> '')"
+
+
+def substantive(x: str) -> str:
+    blocks = f"list_transform(string_split({x}, chr(10) || chr(10)), lambda p: {strip('p')})"
+    return f"list_filter({blocks}, lambda p: p <> '' AND NOT starts_with(p, '#') AND {words('p')} > 15)"
+
+
+def tally(source: str, keys: str) -> str:
+    kinds = ", ".join(f"count(*) FILTER (assessment = '{label}') AS {col}" for label, col in ASSESSMENTS.items())
+    return f"SELECT {keys}, count(*) AS total_claims, {kinds} FROM {source} GROUP BY ALL"
+
+
+def scored(reports: str) -> str:
+    return f"""SELECT *, round_even(least(1.0, greatest(0.0, pass_rate
+        * CASE WHEN leakage > 0 THEN greatest(0.0, 1.0 - (leakage / greatest(1, total_claims)::DOUBLE) * 1.5::DOUBLE) ELSE 1.0::DOUBLE END
+        * CASE WHEN conflicts > 0 THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END)), 3) AS confidence
+      FROM (SELECT *, (supported + gaps_acknowledged)::DOUBLE / greatest(1, total_claims) AS pass_rate FROM ({reports}))"""
+
+
+def decision() -> str:
+    return """CASE WHEN confidence >= autopublish_threshold AND density_ok AND leakage = 0 THEN 'pass'
+      WHEN iteration < max_iterations AND (unsupported > 0 OR uncited > 0 OR leakage > 0 OR conflicts > 0) THEN 'fail' ELSE 'review' END"""
+
+
 _RULES = "STRUCT(require_peer_reviewed BOOLEAN, require_primary_source BOOLEAN, trusted_institutions VARCHAR[], block_marketing BOOLEAN)"
 _RECENCY = "STRUCT(max_age_days INTEGER, prefer_recent BOOLEAN)"
 
@@ -257,6 +289,70 @@ CTES: dict[str, str] = {
              WHEN event_type = 'purchase' AND value < 3 THEN 'gap_acknowledged' WHEN event_type = 'view' AND value < 1 THEN 'conflict'
              ELSE 'supported' END AS assessment,
         ['low', 'medium', 'high'][(user_id // 5) % 3 + 1] AS risk_profile FROM events""",
+    "c_headings": """SELECT run_id, unnest([topic] || subtopics) AS heading, generate_subscripts([topic] || subtopics, 1) - 1 AS heading_pos FROM c_requests""",
+    "c_fan": "SELECT run_id, unnest(paths) AS path, generate_subscripts(paths, 1) - 1 AS path_pos FROM c_requests",
+    "c_ev_words": f"SELECT run_id, id, length(excerpt) AS n_chars, ev_pos, unnest(list_distinct({tokens('excerpt')})) AS word FROM c_evidence",
+    "c_best": f"""SELECT run_id, heading_pos, id, row_number() OVER (PARTITION BY run_id, heading_pos ORDER BY n_chars DESC, ev_pos) AS rank FROM (
+        SELECT run_id, heading_pos, id, n_chars, ev_pos FROM (
+          SELECT run_id, heading_pos, len(list_distinct({tokens('heading')})) AS n_words, unnest(list_distinct({tokens('heading')})) AS word FROM c_headings)
+        JOIN c_ev_words USING (run_id, word) GROUP BY ALL, n_words HAVING count(*) = n_words)
+        QUALIFY rank <= 3""",
+    "c_picks": """SELECT f.run_id, f.path, b.heading_pos, b.rank, b.id, e.url, e.excerpt
+      FROM c_fan f JOIN c_paths p USING (path) JOIN c_best b USING (run_id) JOIN c_evidence e USING (run_id, id) WHERE b.rank <= p.per_heading""",
+    "c_flawed": """SELECT *, CASE WHEN iteration <= (length(excerpt) // 8) % 4 THEN length(excerpt) % 8 ELSE 9 END AS flaw
+      FROM c_picks, (SELECT unnest([1, 2, 3, 4, 9]) AS iteration)""",
+    "c_contents": """SELECT run_id, path, iteration, string_agg(line, chr(10) || chr(10) ORDER BY heading_pos, rank) AS content FROM (
+        SELECT run_id, path, iteration, -1 AS heading_pos, 0 AS rank, '# ' || heading AS line FROM c_headings JOIN c_fan USING (run_id), (SELECT unnest([1, 2, 3, 4, 9]) AS iteration) WHERE heading_pos = 0
+        UNION ALL SELECT run_id, path, iteration, heading_pos, 0, '## ' || heading FROM c_headings JOIN c_fan USING (run_id), (SELECT unnest([1, 2, 3, 4, 9]) AS iteration)
+        UNION ALL SELECT run_id, path, iteration, heading_pos, rank, CASE flaw WHEN 0 THEN excerpt WHEN 1 THEN excerpt || ' [ev:ev_unknown]'
+            WHEN 2 THEN excerpt || ' Observed 98765 cases. [ev:' || id || ']' ELSE excerpt || ' [ev:' || id || ']' END FROM c_flawed
+        UNION ALL SELECT run_id, path, iteration, heading_pos, 1, '[INSUFFICIENT EVIDENCE: ' || heading || ']' FROM c_headings JOIN c_fan USING (run_id), (SELECT unnest([1, 2, 3, 4, 9]) AS iteration)
+          WHERE NOT EXISTS (SELECT 1 FROM c_picks k WHERE k.run_id = c_headings.run_id AND k.path = c_fan.path AND k.heading_pos = c_headings.heading_pos))
+      WHERE run_id IN (SELECT run_id FROM c_evidence) GROUP BY run_id, path, iteration""",
+    "c_drafts": "SELECT *, length(content) % 7 <> 0 AS structured FROM c_contents WHERE iteration < 9",
+    "c_cited": """SELECT run_id, path, iteration, evidence_id,
+        row_number() OVER (PARTITION BY run_id, path, iteration ORDER BY heading_pos, rank) - 1 AS cite_pos FROM (
+        SELECT f.*, CASE flaw WHEN 0 THEN NULL WHEN 1 THEN 'ev_unknown' ELSE id END AS evidence_id
+        FROM c_flawed f JOIN c_drafts d USING (run_id, path, iteration) WHERE d.structured) WHERE evidence_id IS NOT NULL""",
+    "c_mapped": """SELECT run_id, path, iteration, row_number() OVER (PARTITION BY run_id, path, iteration ORDER BY heading_pos, rank) - 1 AS claim_pos,
+        CASE WHEN length(excerpt) % 8 = 3 THEN '' ELSE excerpt END AS claim, CASE flaw WHEN 1 THEN 'ev_unknown' ELSE id END AS evidence_id
+      FROM c_flawed f JOIN c_drafts d USING (run_id, path, iteration) WHERE d.structured""",
+    "c_resolved_cites": """SELECT c.*, e.url FROM c_cited c JOIN c_evidence e ON e.run_id = c.run_id AND e.id = c.evidence_id""",
+    "c_paras": f"""SELECT run_id, path, iteration, unnest(ps) AS para, generate_subscripts(ps, 1) - 1 AS para_pos
+      FROM (SELECT *, {paragraphs('content')} AS ps FROM c_drafts)""",
+    "c_claim_rows": f"""SELECT run_id, path, iteration, para_pos, sent_pos, {strip(f"regexp_replace(sentence, {quote(t.CITATION_PATTERN)}, '', 'g')")} AS claim,
+        list_distinct(CASE WHEN len(own) > 0 THEN own ELSE para_ids END) AS cited_ids, is_gap FROM (
+        SELECT *, {citation_ids('sentence')} AS own FROM (
+          SELECT run_id, path, iteration, para_pos, is_gap, {citation_ids('para')} AS para_ids, unnest(ss) AS sentence, generate_subscripts(ss, 1) - 1 AS sent_pos
+          FROM (SELECT *, CASE WHEN is_gap THEN [para] ELSE {sentences('para')} END AS ss FROM (
+            SELECT *, starts_with(para, '[INSUFFICIENT EVIDENCE') AS is_gap FROM c_paras WHERE NOT starts_with(para, '#')))))
+      WHERE {strip(f"regexp_replace(sentence, {quote(t.CITATION_PATTERN)}, '', 'g')")} <> ''""",
+    "c_ev_tokens": f"""SELECT run_id, id, url, list_distinct({tokens('excerpt')}) AS words, list_distinct({numbers('excerpt')}) AS figures FROM c_evidence""",
+    "c_support": f"""SELECT run_id, path, iteration, para_pos, sent_pos, count(*) AS n_resolved,
+        max(len(list_intersect(c.words, e.words))) AS n_shared,
+        len(list_distinct(flatten(list(list_intersect(c.figures, e.figures))))) AS n_found FROM (
+        SELECT *, list_distinct({tokens('claim')}) AS words, list_distinct({numbers('claim')}) AS figures, unnest(cited_ids) AS id FROM c_claim_rows) c
+      JOIN c_ev_tokens e USING (run_id, id) GROUP BY ALL""",
+    "c_foreign": f"""SELECT DISTINCT run_id, path, iteration, para_pos, sent_pos FROM (
+        SELECT *, unnest({numbers('claim')}) AS figure FROM c_claim_rows) c
+      WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT run_id, unnest(figures) AS figure FROM c_ev_tokens) f WHERE f.run_id = c.run_id AND f.figure = c.figure)""",
+    "c_judged": f"""SELECT c.*, CASE WHEN is_gap THEN 'gap_acknowledged' WHEN len(cited_ids) = 0 THEN 'uncited' WHEN s.n_resolved IS NULL THEN 'unsupported'
+        WHEN f.run_id IS NOT NULL THEN 'leakage'
+        WHEN s.n_found < len(list_distinct({numbers('claim')})) OR s.n_shared < len(list_distinct({tokens('claim')})) * 0.6::DOUBLE THEN 'unsupported'
+        ELSE 'supported' END AS assessment
+      FROM c_claim_rows c LEFT JOIN c_support s USING (run_id, path, iteration, para_pos, sent_pos)
+      LEFT JOIN c_foreign f USING (run_id, path, iteration, para_pos, sent_pos)""",
+    "c_reports": scored(tally("c_judged", "run_id, path, iteration")),
+    "c_density": f"""SELECT run_id, path, iteration, content, structured, risk_profile, autopublish_threshold, min_citations, min_ratio, max_iterations,
+        CASE WHEN content = '' THEN 0.0 WHEN len(subs) = 0 THEN 1.0
+          ELSE len(list_filter(subs, lambda p: len(regexp_extract_all(p, {quote(t.CITATION_PATTERN)})) >= min_citations)) / len(subs)::DOUBLE END AS density_ratio
+      FROM (SELECT d.*, g.*, {substantive('content')} AS subs FROM c_drafts d JOIN c_requests r USING (run_id) JOIN c_gate g USING (risk_profile))""",
+    "c_gated": f"""SELECT *, {decision()} AS decision FROM (SELECT *, content <> '' AND density_ratio >= min_ratio AS density_ok
+      FROM c_density JOIN c_reports USING (run_id, path, iteration))""",
+    "c_rounds": """SELECT * FROM c_gated g WHERE NOT EXISTS (SELECT 1 FROM c_gated b WHERE b.run_id = g.run_id AND b.path = g.path
+        AND b.iteration < g.iteration AND b.decision <> 'fail')""",
+    "c_claim_reports": scored(tally("c_claims", "run_id, path, iteration, risk_profile")),
+    "c_claim_gates": f"""SELECT *, {decision()} AS decision FROM (SELECT *, true AS density_ok FROM c_claim_reports JOIN c_gate USING (risk_profile))""",
 }
 
 
