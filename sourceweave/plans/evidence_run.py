@@ -1,13 +1,18 @@
-"""Discovery end to end: requests, policies and pages in, capped evidence out, as one lazy plan."""
+"""Discovery end to end: requests, policies and pages in, capped evidence out."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import discovery as d
+from ..session import staged
+
+Stage = Callable[[DataFrame, str], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -18,36 +23,51 @@ class DiscoverySettings:
     strict_domains: bool = False
 
 
-@dataclass(frozen=True)
 class Discovery:
-    """The lazy steps of one discovery; unused ones cost nothing."""
-
-    queries: DataFrame
-    candidates: DataFrame
-    resolved: DataFrame
-    sources: DataFrame
-    fetched: DataFrame
-    excerpts: DataFrame
-    evidence: DataFrame
-
-
-def discover(
-    requests: DataFrame,
-    policies: DataFrame,
-    pages: DataFrame,
-    retrieved_at: Column,
-    source_ceiling: int,
-    settings: DiscoverySettings = DiscoverySettings(),
-) -> Discovery:
-    """URL filters run on (run, url) keys only; page texts join after the source cap."""
-    queries = d.build_queries(requests)
-    found = d.candidates_by_search(queries, pages, settings.search_limit)
-    candidates = d.dedup_urls(
-        found.select("run_id", "query_pos", "result_pos", "url").unionByName(d.seed_urls(requests))
-    )
-    resolved = d.resolve_policy(requests, policies)
-    sources = d.max_sources(d.policy_filter(candidates, resolved, settings.strict_domains), source_ceiling)
-    fetched = d.drop_empty_pages(d.attach_pages(d.crawl_plan(sources), pages))
-    excerpts = d.extract_evidence(fetched, retrieved_at, F.col("trusted"))
-    evidence = d.cap_evidence(excerpts, settings.per_source, settings.per_run)
-    return Discovery(queries, candidates, resolved, sources, fetched, excerpts, evidence)
+    """The steps of one discovery, built when asked for.
+
+    URL filters work on (run, url) keys; page texts join after the source cap. Two results that many
+    readers share, the chosen sources (keys only) and the final evidence, are written as stage tables.
+    """
+
+    def __init__(
+        self, requests: DataFrame, policies: DataFrame, pages: DataFrame, retrieved_at: Column, source_ceiling: int,
+        settings: DiscoverySettings = DiscoverySettings(), stage: Stage = staged,
+    ) -> None:
+        self.requests, self.policies, self.pages = requests, policies, pages
+        self.retrieved_at, self.source_ceiling = retrieved_at, source_ceiling
+        self.settings, self.stage = settings, stage
+
+    @cached_property
+    def queries(self) -> DataFrame:
+        return d.build_queries(self.requests)
+
+    @cached_property
+    def found(self) -> DataFrame:
+        return d.candidates_by_search(self.queries, self.pages, self.settings.search_limit)
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        hits = self.found.select("run_id", "query_pos", "result_pos", "url")
+        return d.dedup_urls(hits.unionByName(d.seed_urls(self.requests)))
+
+    @cached_property
+    def resolved(self) -> DataFrame:
+        return d.resolve_policy(self.requests, self.policies)
+
+    @cached_property
+    def sources(self) -> DataFrame:
+        allowed = d.policy_filter(self.candidates, self.resolved, self.settings.strict_domains)
+        return self.stage(d.max_sources(allowed, self.source_ceiling), "sources")
+
+    @cached_property
+    def fetched(self) -> DataFrame:
+        return d.drop_empty_pages(d.attach_pages(d.crawl_plan(self.sources), self.pages))
+
+    @cached_property
+    def excerpts(self) -> DataFrame:
+        return d.extract_evidence(self.fetched, self.retrieved_at, F.col("trusted"))
+
+    @cached_property
+    def evidence(self) -> DataFrame:
+        return self.stage(d.cap_evidence(self.excerpts, self.settings.per_source, self.settings.per_run), "evidence")

@@ -177,8 +177,7 @@ def document_fetches(spark: SparkSession, sf: str) -> DataFrame:
 def document_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as crawled pages of one run per source."""
     raw = document_fetches(spark, sf)
-    keys = raw.select("url", F.col("source").alias("run_id"), F.col("doc_id").alias("page_pos"))
-    return crawl.read_crawl(raw).join(keys, "url")
+    return crawl.read_crawl(raw.withColumnsRenamed({"source": "run_id", "doc_id": "page_pos"}))
 
 
 def claims(spark: SparkSession, sf: str) -> DataFrame:

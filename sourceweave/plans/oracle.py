@@ -295,7 +295,7 @@ CTES: dict[str, str] = {
     "c_best": f"""SELECT run_id, heading_pos, id, row_number() OVER (PARTITION BY run_id, heading_pos ORDER BY n_chars DESC, ev_pos) AS rank FROM (
         SELECT run_id, heading_pos, id, n_chars, ev_pos FROM (
           SELECT run_id, heading_pos, len(list_distinct({tokens('heading')})) AS n_words, unnest(list_distinct({tokens('heading')})) AS word FROM c_headings)
-        JOIN c_ev_words USING (run_id, word) GROUP BY ALL, n_words HAVING count(*) = n_words)
+        JOIN c_ev_words USING (run_id, word) GROUP BY run_id, heading_pos, id, n_chars, ev_pos, n_words HAVING count(*) = n_words)
         QUALIFY rank <= 3""",
     "c_picks": """SELECT f.run_id, f.path, b.heading_pos, b.rank, b.id, e.url, e.excerpt
       FROM c_fan f JOIN c_paths p USING (path) JOIN c_best b USING (run_id) JOIN c_evidence e USING (run_id, id) WHERE b.rank <= p.per_heading""",

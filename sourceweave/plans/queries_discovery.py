@@ -279,15 +279,15 @@ def _(x):
     WHERE r <= 5 AND NOT contains(host, 'spam-farm') GROUP BY ALL""")
 def evidence_by_source(x):
     """Flagship: one run over the whole page corpus, from HTML to capped evidence per host and reputation tier."""
-    run = F.lit("corpus").alias("run_id")
     url = F.col("url")
-    pages = x.pages.select(run, "url", url.alias("page_pos"), "markdown").filter(
+    pages = x.pages.select(F.lit("corpus").alias("run_id"), "url", url.alias("page_pos"), "markdown")
+    narrow = d.explode_chunks(pages).select(
+        "run_id", "url", "page_pos", "chunk_pos", "excerpt_hash", F.length("excerpt").alias("n_chars")
+    )
+    # denied hosts still take part in finding the first copy of an excerpt
+    kept = d.cap_per_source(d.dedup_run(narrow)).filter(
         d.passes_policy(t.netloc(url), F.array().cast("array<string>"), F.array(F.lit("spam-farm")))
     )
-    # texts of denied hosts still take part in finding the first copy of an excerpt
-    everything = d.explode_chunks(x.pages.select(run, "url", url.alias("page_pos"), "markdown"))
-    narrow = everything.select("run_id", "url", "page_pos", "chunk_pos", "excerpt_hash", F.length("excerpt").alias("n_chars"))
-    kept = d.cap_per_source(d.dedup_run(narrow)).join(pages.select("url"), "url", "left_semi")
     tier = q.reputation_tier(url, F.array(F.lit(".org")))
     return kept.groupBy(t.netloc(url).alias("host"), tier.alias("reputation")).agg(
         F.count(F.lit(1)).alias("n_excerpts"), F.count_distinct("url").alias("n_pages"), F.sum("n_chars").alias("n_chars")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import discovery as d
 from ..operators import drafts as dr
 from ..operators import verify as v
+from ..session import staged
 from . import evidence_run, fixtures as fx
 from .oracle import check_sql
 
@@ -40,7 +41,7 @@ class Inputs:
 
     @cached_property
     def requests(self) -> DataFrame:
-        return fx.requests(self.spark, self.sf)
+        return staged(fx.requests(self.spark, self.sf), "requests")
 
     @cached_property
     def policies(self) -> DataFrame:
@@ -53,7 +54,7 @@ class Inputs:
     @cached_property
     def found(self) -> evidence_run.Discovery:
         ceiling = max(p.get("max_sources_per_run", 50) for p in fx.POLICIES)
-        return evidence_run.discover(self.requests, self.policies, self.pages, fx.retrieved_at(), ceiling)
+        return evidence_run.Discovery(self.requests, self.policies, self.pages, fx.retrieved_at(), ceiling)
 
     @property
     def evidence(self) -> DataFrame:
@@ -70,7 +71,7 @@ class Inputs:
 
     @cached_property
     def document_evidence(self) -> DataFrame:
-        return d.cap_evidence(self.document_excerpts)
+        return staged(d.cap_evidence(self.document_excerpts), "document-evidence")
 
     @cached_property
     def paths(self) -> DataFrame:
@@ -78,11 +79,11 @@ class Inputs:
 
     @cached_property
     def picks(self) -> DataFrame:
-        return dr.extractive_picks(self.requests, self.evidence, self.paths)
+        return staged(dr.extractive_picks(self.requests, self.evidence, self.paths), "picks")
 
     @cached_property
     def responses(self) -> DataFrame:
-        return fx.model_responses(self.requests, self.evidence, self.picks, 1)
+        return staged(fx.model_responses(self.requests, self.evidence, self.picks, 1), "responses")
 
     @cached_property
     def drafts(self) -> DataFrame:
@@ -90,7 +91,7 @@ class Inputs:
 
     @cached_property
     def draft_claims(self) -> DataFrame:
-        return v.rule_verify(v.split_claims(self.drafts), self.evidence)
+        return staged(v.rule_verify(v.split_claims(self.drafts), self.evidence), "draft-claims")
 
     @cached_property
     def claims(self) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "sourceweave", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -19,7 +19,7 @@ def build_session(app: str = "sourceweave", master: str | None = None, shuffle_p
         .config("spark.ui.enabled", "false")
     )
     if master:
-        b = b.master(master)
+        b = b.master(master).config("spark.driver.memory", "12g")
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return b.getOrCreate()
@@ -43,3 +43,14 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the checkpoint folder."""
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table in the checkpoint folder and read back.
+
+    Stages that later stages read several times are cut here: their plan is not repeated, and the files
+    outlive lost executors.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

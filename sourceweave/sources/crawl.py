@@ -22,11 +22,14 @@ def read_crawl(raw: DataFrame) -> DataFrame:
     """Raw fetches -> crawl results.
 
     ``raw``: url, fetched boolean, status_code int, title, markdown, raw_html, metadata map.
-    A missing response has status 0; a response without a status counts as 200.
+    A missing response has status 0; a response without a status counts as 200. Other columns pass through.
     """
+    fields = ("url", "fetched", "status_code", "title", "markdown", "raw_html", "metadata")
+    more = [c for c in raw.columns if c not in fields]
     meta = F.col("metadata")
     fetched = F.coalesce(F.col("fetched"), F.lit(False))
     return raw.select(
+        *more,
         "url",
         F.when(~fetched, F.lit(0)).otherwise(F.coalesce(F.nullif("status_code", F.lit(0)), F.lit(200))).cast("int").alias("status_code"),
         F.when(fetched, _first_of(meta, TITLE_KEYS, F.col("title"))).otherwise("").alias("title"),
