@@ -209,7 +209,7 @@ def content_document(units: DataFrame, jobs: DataFrame) -> DataFrame:
     figures = F.format_string(
         "Citations: %d | Claim mappings: %d | Confidence: %.3f | Coverage: %.3f | Diversity: %.3f",
         F.size("citations"), F.size("evidence_map"),
-        F.col("scores.confidence"), F.col("scores.coverage"), F.col("scores.source_diversity"),
+        *[F.bround(F.col(f"scores.{c}"), 3) for c in SCORE_FIELDS],
     )
     part = F.concat_ws("\n", F.concat(F.lit("<!-- path: "), "path", F.lit(" -->")), F.lit(""), F.col("content"), F.lit(""), F.lit("---"), figures)
     docs = units.groupBy("run_id").agg(_ordered_text(["path"], part, "\n\n").alias("document"))

@@ -262,3 +262,22 @@ def model_responses(requests: DataFrame, evidence: DataFrame, picks: DataFrame,
         .otherwise(body)
     )
     return text.join(lists, ["run_id", "path"], "left").select("run_id", "path", "iteration", response.alias("response"))
+
+
+def job_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Job event log read off the events: a user is a job, the event type gives status and stage."""
+    kind = F.col("event_type")
+    return table(spark, sf, "events").select(*job_log_columns(kind))
+
+
+def job_log_columns(kind: Column) -> list[Column]:
+    status = F.when(kind == "purchase", "completed").when(kind == "signup", "review_required").when(kind == "error", "failed").otherwise("running")
+    return [
+        F.concat(F.lit("job_"), F.col("user_id").cast("string")).alias("job_id"), F.col("event_id"), F.col("ts").cast("timestamp").alias("ts"),
+        status.alias("status"), F.when(kind != "error", kind).alias("stage"),
+    ]
+
+
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with their lines as paragraphs."""
+    return table(spark, sf, "documents").select("doc_id", "lang", "source", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("content"))

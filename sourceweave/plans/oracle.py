@@ -351,6 +351,25 @@ CTES: dict[str, str] = {
       FROM c_density JOIN c_reports USING (run_id, path, iteration))""",
     "c_rounds": """SELECT * FROM c_gated g WHERE NOT EXISTS (SELECT 1 FROM c_gated b WHERE b.run_id = g.run_id AND b.path = g.path
         AND b.iteration < g.iteration AND b.decision <> 'fail')""",
+    "c_final": f"""SELECT r.run_id, r.path, r.iteration, r.content, r.confidence, least(1.0, greatest(0.0, r.pass_rate)) AS coverage,
+        least(1.0, coalesce(n_cited, 0)::DOUBLE / greatest(1, coalesce(n_available, 0))) AS diversity, coalesce(n_cites, 0) AS n_cites, coalesce(n_claims, 0) AS n_claims
+      FROM (SELECT * FROM c_rounds QUALIFY row_number() OVER (PARTITION BY run_id, path ORDER BY iteration DESC) = 1) r
+      LEFT JOIN (SELECT run_id, path, iteration, count(DISTINCT url) AS n_cited, count(*) AS n_cites FROM c_resolved_cites GROUP BY ALL) USING (run_id, path, iteration)
+      LEFT JOIN (SELECT run_id, path, iteration, count(*) AS n_claims FROM c_mapped WHERE claim <> '' GROUP BY ALL) USING (run_id, path, iteration)
+      LEFT JOIN (SELECT run_id, count(DISTINCT url) AS n_available FROM c_evidence GROUP BY ALL) USING (run_id)""",
+    "c_jobs": """SELECT run_id, 'job_' || substr(run_id, 5) AS job_id, e.run_id IS NOT NULL AS has_package,
+        CASE WHEN e.run_id IS NULL THEN 'failed' WHEN coalesce(all_pass, true) THEN 'completed' WHEN any_review THEN 'review_required' ELSE 'completed' END AS status
+      FROM c_requests LEFT JOIN (SELECT DISTINCT run_id FROM c_evidence) e USING (run_id)
+      LEFT JOIN (SELECT run_id, bool_and(decision = 'pass') AS all_pass, bool_or(decision = 'review') AS any_review FROM c_rounds GROUP BY run_id) g USING (run_id)""",
+    "c_scores": """SELECT run_id, coalesce(n, 0) AS n_units, coalesce(round_even(a, 3), 0.0) AS confidence, coalesce(round_even(b, 3), 0.0) AS coverage,
+        coalesce(round_even(c, 3), 0.0) AS source_diversity FROM c_requests
+      LEFT JOIN (SELECT run_id, count(*) AS n, avg(confidence) AS a, avg(coverage) AS b, avg(diversity) AS c FROM c_final GROUP BY run_id) USING (run_id)""",
+    "c_stage": """SELECT 'job_' || l_orderkey AS run_id, ['discover', 'write', 'verify', 'publish'][l_linenumber % 4 + 1] AS stage,
+        l_linenumber AS iteration, l_quantity::BIGINT AS seconds FROM lineitem""",
+    "c_log": """SELECT 'job_' || user_id AS job_id, event_id, ts, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'signup' THEN 'review_required'
+        WHEN 'error' THEN 'failed' ELSE 'running' END AS status, CASE WHEN event_type <> 'error' THEN event_type END AS stage FROM events""",
+    "c_tags": f"""SELECT run_id, id, tag, count(*) AS hits FROM (SELECT run_id, id, unnest({tokens('excerpt')}) AS term FROM c_evidence) JOIN c_terms USING (term) GROUP BY ALL""",
+    "c_texts": "SELECT doc_id, lang, source, replace(text, chr(10), chr(10) || chr(10)) AS content FROM documents",
     "c_claim_reports": scored(tally("c_claims", "run_id, path, iteration, risk_profile")),
     "c_claim_gates": f"""SELECT *, {decision()} AS decision FROM (SELECT *, true AS density_ok FROM c_claim_reports JOIN c_gate USING (risk_profile))""",
 }

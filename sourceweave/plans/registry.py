@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from ..operators import discovery as d
 from ..operators import drafts as dr
+from ..operators import package as pk
 from ..operators import verify as v
 from ..session import staged
-from . import evidence_run, fixtures as fx
+from ..sources import config_tables as cfg
+from . import evidence_run, rewrite
+from . import fixtures as fx
 from .oracle import check_sql
 
 Query = Callable[["Inputs"], DataFrame]
@@ -93,6 +96,37 @@ class Inputs:
     def draft_claims(self) -> DataFrame:
         return staged(v.rule_verify(v.split_claims(self.drafts), self.evidence), "draft-claims")
 
+    def judge(self, units: DataFrame) -> DataFrame:
+        """Reports of all units by the rule-based judge."""
+        found = v.rule_verify(v.split_claims(units), self.evidence)
+        return v.with_scores(v.empty_report(units, v.tally_claims(found)))
+
+    @cached_property
+    def rounds(self) -> rewrite.Rounds:
+        """Write-verify-gate rounds with the careless sample writer."""
+
+        def write(open_rows: DataFrame, iteration: int) -> DataFrame:
+            answers = fx.model_responses(self.requests, self.evidence, self.picks, iteration)
+            return dr.parse_drafts(answers.join(open_rows.select("run_id", "path"), ["run_id", "path"], "left_semi"))
+
+        limit = max(row[4] for row in cfg.GATE_DEFAULTS)
+        config = cfg.default_gate_profiles(self.spark)
+        return rewrite.rewrite_rounds(self.requests, self.evidence, config, write, self.judge, limit)
+
+    @cached_property
+    def citations(self) -> DataFrame:
+        """Resolved citations of the sample drafts."""
+        return staged(dr.resolve_citations(self.drafts, self.evidence), "citations")
+
+    @cached_property
+    def jobs(self) -> DataFrame:
+        """One job per request, failed when nothing was found, else by its gate results."""
+        status = pk.job_status(self.requests, self.rounds.gate_results, pk.no_evidence(self.requests, self.evidence))
+        rows = status.select(
+            "run_id", F.concat(F.lit("job_"), F.substring("run_id", 5, 20)).alias("job_id"), "status", F.col("error").isNull().alias("has_package"), "error"
+        )
+        return staged(rows, "jobs")
+
     @cached_property
     def claims(self) -> DataFrame:
         return fx.claims(self.spark, self.sf)

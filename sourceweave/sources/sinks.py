@@ -1,6 +1,7 @@
 """Writing results: one nested record, readable text, evidence and verification rows per run.
 
-Every sink is one distributed write partitioned by the run key; nothing passes through the driver.
+Every sink is one distributed write; nothing passes through the driver. ``folders`` gives each run its
+own folder (``run_key=<key>``); without it the key stays a column, which suits very many runs.
 """
 
 from __future__ import annotations
@@ -35,22 +36,29 @@ def result_records(jobs: DataFrame, packages: DataFrame, gate_results: DataFrame
     return rows.select(run_key(F.col("package.run_id"), F.col("job_id")).alias("run_key"), text.alias("record"))
 
 
-def write_result(jobs: DataFrame, packages: DataFrame, gate_results: DataFrame, path: str) -> None:
-    result_records(jobs, packages, gate_results).write.mode("overwrite").partitionBy("run_key").text(path)
+def _save(rows: DataFrame, path: str, folders: bool, text: bool = False) -> None:
+    w = rows.write.mode("overwrite").option("timestampFormat", ISO)
+    if not folders:
+        w.json(path)
+    elif text:
+        w.partitionBy("run_key").text(path)
+    else:
+        w.partitionBy("run_key").json(path)
 
 
-def write_content(units: DataFrame, jobs: DataFrame, path: str) -> None:
-    content_document(units, jobs).select(
-        F.col("run_id").alias("run_key"), F.col("document").alias("value")
-    ).write.mode("overwrite").partitionBy("run_key").text(path)
+def write_result(jobs: DataFrame, packages: DataFrame, gate_results: DataFrame, path: str, folders: bool = True) -> None:
+    _save(result_records(jobs, packages, gate_results), path, folders, text=True)
 
 
-def write_evidence_json(jobs: DataFrame, evidence: DataFrame, path: str) -> None:
+def write_content(units: DataFrame, jobs: DataFrame, path: str, folders: bool = True) -> None:
+    docs = content_document(units, jobs).select(F.col("run_id").alias("run_key"), F.col("document").alias("value"))
+    _save(docs, path, folders, text=True)
+
+
+def write_evidence_json(jobs: DataFrame, evidence: DataFrame, path: str, folders: bool = True) -> None:
     """Evidence rows of runs that have a package, as JSON lines; other runs simply have no rows."""
     rows = evidence.join(jobs.filter("has_package").select("run_id"), "run_id", "left_semi")
-    rows.withColumn("run_key", F.col("run_id")).write.mode("overwrite").option(
-        "timestampFormat", ISO
-    ).partitionBy("run_key").json(path)
+    _save(rows.withColumn("run_key", F.col("run_id")), path, folders)
 
 
 def verification_rows(jobs: DataFrame, scores: DataFrame, gate_results: DataFrame) -> DataFrame:
@@ -69,5 +77,5 @@ def verification_rows(jobs: DataFrame, scores: DataFrame, gate_results: DataFram
     )
 
 
-def write_verification(jobs: DataFrame, scores: DataFrame, gate_results: DataFrame, path: str) -> None:
-    verification_rows(jobs, scores, gate_results).write.mode("overwrite").partitionBy("run_key").json(path)
+def write_verification(jobs: DataFrame, scores: DataFrame, gate_results: DataFrame, path: str, folders: bool = True) -> None:
+    _save(verification_rows(jobs, scores, gate_results), path, folders)
