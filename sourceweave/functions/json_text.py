@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import bind, strip
 
 JSON_FENCE = r"(?s)```json\s*\n(.*)\n\s*```"
 PLAIN_FENCE = r"(?s)```\s*\n(.*)\n\s*```"
@@ -26,17 +26,27 @@ def extract_json(response: Column) -> Column:
 
     A whole text that is valid JSON but no object counts as unparsable.
     """
-    text = strip(F.replace(F.replace(response, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")))
-    fenced = strip(F.regexp_extract(text, JSON_FENCE, 1))
-    plain = strip(F.regexp_extract(text, PLAIN_FENCE, 1))
-    any_fence = text.rlike(JSON_FENCE) | text.rlike(PLAIN_FENCE)
-    first = F.instr(text, "{")
-    last = F.length(text) - F.instr(F.reverse(text), "}") + 1
-    braces = F.substring(text, first, last - first + 1)
-    found = (
-        F.when(is_json(text), text)
-        .when(text.rlike(JSON_FENCE) & is_json(fenced), fenced)
-        .when(text.rlike(PLAIN_FENCE) & is_json(plain), plain)
-        .when(~any_fence & (first > 0) & F.contains(text, F.lit("}")) & (last > first) & is_json(braces), braces)
-    )
-    return F.when(F.startswith(found, F.lit("{")), found)
+
+    def fence(text: Column, pattern: str, otherwise: Column) -> Column:
+        inner = strip(F.regexp_extract(text, pattern, 1))
+        return F.when(text.rlike(pattern), bind(inner, lambda c: F.when(is_json(c), c))).otherwise(otherwise)
+
+    def braces(text: Column) -> Column:
+        first = F.instr(text, "{")
+        last = F.length(text) - F.instr(F.reverse(text), "}") + 1
+        piece = bind(F.substring(text, first, last - first + 1), lambda c: F.when(is_json(c), c))
+        return F.when((first > 0) & F.contains(text, F.lit("}")) & (last > first), piece)
+
+    def search(text: Column) -> Column:
+        # a fence that holds no JSON leaves the other fence to try, but never the bare braces
+        plain = fence(text, PLAIN_FENCE, F.lit(None).cast("string"))
+        found = (
+            F.when(is_json(text), text)
+            .when(text.rlike(JSON_FENCE), F.coalesce(fence(text, JSON_FENCE, F.lit(None).cast("string")), plain))
+            .when(text.rlike(PLAIN_FENCE), plain)
+            .otherwise(braces(text))
+        )
+        return bind(found, lambda c: F.when(F.startswith(c, F.lit("{")), c))
+
+    newline = F.lit("\n")
+    return bind(strip(F.replace(F.replace(response, F.lit("\r\n"), newline), F.lit("\r"), newline)), search)

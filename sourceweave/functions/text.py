@@ -37,6 +37,11 @@ ENTITIES = (
 BLANK_RUNS = rf"[ \t]*\n[{SPACE}]*\n[{SPACE}]*"
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Trim the same characters as Python's ``str.strip``."""
     return F.regexp_replace(c, STRIP_PATTERN, "")

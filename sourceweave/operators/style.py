@@ -47,18 +47,11 @@ def _mean(xs: Column) -> Column:
 
 def sentence_spread(paragraph: Column) -> Column:
     """Sample standard deviation of the sentence lengths in words; null below two sentences."""
-    lengths = F.transform(t.sentences(paragraph), lambda s: t.word_count(s).cast("double"))
-    # the mean is passed through a one-element array so that it is computed once, not per sentence
-    return F.get(
-        F.transform(
-            F.array(F.struct(lengths.alias("x"), _mean(lengths).alias("m"))),
-            lambda s: F.when(
-                F.size(s["x"]) > 1,
-                F.sqrt(F.aggregate(s["x"], F.lit(0.0), lambda a, x: a + (x - s["m"]) * (x - s["m"])) / (F.size(s["x"]) - 1)),
-            ),
-        ),
-        F.lit(0),
-    )
+    def spread(x: Column) -> Column:
+        squares = lambda m: F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - m) * (v - m))
+        return F.when(F.size(x) > 1, F.sqrt(t.bind(_mean(x), squares) / (F.size(x) - 1)))
+
+    return t.bind(F.transform(t.sentences(paragraph), lambda s: t.word_count(s).cast("double")), spread)
 
 
 def burstiness(df: DataFrame, text: str = "content", flag_below: float = MIN_BURST_WORDS) -> DataFrame:

@@ -177,7 +177,7 @@ def _(x):
 def _(x):
     path = scratch_path(x.spark, "content")
     sinks.write_content(x.rounds.final, x.jobs, path)
-    return x.spark.read.option("wholetext", True).text(path).select("run_key", F.col("value").alias("document"))
+    return x.spark.read.text(path, wholetext=True).select("run_key", F.col("value").alias("document"))
 
 
 _RESULT = """SELECT CASE WHEN has_package THEN run_id ELSE job_id END AS run_key, status, CASE WHEN has_package THEN n_units END AS n_units,

@@ -12,7 +12,7 @@ from ..operators import drafts as dr
 from ..operators import gate as g
 from ..operators import verify as v
 from ..operators.package import final_unit
-from ..session import scratch_path
+from ..session import scratch_path, staged
 
 Writer = Callable[[DataFrame, int], DataFrame]  # open rows (run_id, path, feedback), iteration -> drafts
 Judge = Callable[[DataFrame], DataFrame]  # units -> reports with counts, confidence and pass_rate
@@ -32,11 +32,10 @@ def rewrite_rounds(
     draft nothing or reach their profile's limit.
 
     The loop is bounded by ``max_iterations`` (the largest limit in ``config``). Each round is one job over
-    the open rows; its units and decisions are written to the shared checkpoint folder and read back, so the
+    the open rows; its drafts, units, reports and decisions are written to the shared checkpoint folder and read back, so the
     plan does not grow and a lost executor costs one round at most. Only an emptiness test reaches the driver.
     """
     spark = requests.sparkSession
-    base = scratch_path(spark, "rounds")
     risk = requests.select("run_id", "risk_profile")
     have = evidence.select("run_id").distinct()
     open_rows = (
@@ -45,14 +44,14 @@ def rewrite_rounds(
     )
     done: list[str] = []
     for i in range(1, max_iterations + 1):
-        drafts = write(open_rows, i).filter(F.coalesce("content", F.lit("")) != "")
-        dr.build_units(drafts, evidence).write.parquet(f"{base}/units-{i}")
-        units = spark.read.parquet(f"{base}/units-{i}")
-        reports = judge(units)
+        # drafts are the model's answers: kept, never asked for twice
+        drafts = staged(write(open_rows, i).filter(F.coalesce("content", F.lit("")) != ""), f"drafts-{i}")
+        units = staged(dr.build_units(drafts, evidence), f"units-{i}")
+        reports = staged(judge(units), f"reports-{i}")
         scored = v.attach_scores(units.join(risk, "run_id"), reports)
         counts = reports.select(*dr.UNIT_KEYS, *v.COUNTS, "total_claims", "confidence", "pass_rate")
-        g.evaluate(scored, counts, config).write.parquet(f"{base}/gate-{i}")
-        done.append(f"{base}/gate-{i}")
+        done.append(scratch_path(spark, f"gate-{i}"))
+        g.evaluate(scored, counts, config).write.parquet(done[-1])
         judged = spark.read.parquet(done[-1])
         open_rows = judged.filter("should_rewrite").select("run_id", "path", "feedback")
         if open_rows.isEmpty():
