@@ -8,6 +8,8 @@ that holds most of the rows from landing whole in one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,16 +45,19 @@ def page_terms(pages: DataFrame, vocabulary: DataFrame) -> DataFrame:
     )
 
 
-def candidates_by_search(queries: DataFrame, pages: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
+def candidates_by_search(
+    queries: DataFrame, pages: DataFrame, limit: int = SEARCH_LIMIT, stage: Callable[[DataFrame, str], DataFrame] = lambda df, name: df
+) -> DataFrame:
     """Pages holding every term of a query, best total term count first, at most ``limit`` per query.
 
     Each distinct query enters through its rarest term; only those pages are checked for the other
-    terms, on the (url, term) key. Common words therefore never pull in the whole corpus.
+    terms, on the (url, term) key. Common words therefore never pull in the whole corpus. ``stage`` may keep
+    the term index, which three steps read, as a table.
     """
     texts = queries.select("query").distinct()
     asked = texts.select("query", F.array_distinct(t.tokens(F.col("query"))).alias("terms"))
     vocabulary = asked.select(F.explode("terms").alias("term")).distinct()
-    index = page_terms(pages, vocabulary)
+    index = stage(page_terms(pages, vocabulary), "page-terms")
     spread = index.groupBy("term").agg(F.count(F.lit(1)).alias("n_pages"))
     entry = (
         asked.select("query", F.explode("terms").alias("term"), "terms")

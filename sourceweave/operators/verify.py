@@ -182,7 +182,8 @@ def figure_contexts(text: Column) -> Column:
 
 def numeric_conflicts(rows: DataFrame, scope: list[str], text: str = "excerpt") -> DataFrame:
     """Contexts in which excerpts of one scope give different numbers. Groups are counted, not paired."""
-    found = rows.select(*scope, "id", F.explode(figure_contexts(F.col(text))).alias("f")).select(*scope, "id", "f.*")
+    with_digits = rows.filter(F.col(text).rlike("[0-9]"))  # a cheap test spares most texts the pattern below
+    found = with_digits.select(*scope, "id", F.explode(figure_contexts(F.col(text))).alias("f")).select(*scope, "id", "f.*")
     # one row per distinct value first, so that a hot context arrives pre-aggregated
     per_value = found.groupBy(*scope, "context", "value").agg(F.count(F.lit(1)).alias("n"))
     return (

@@ -26,8 +26,8 @@ class DiscoverySettings:
 class Discovery:
     """The steps of one discovery, built when asked for.
 
-    URL filters work on (run, url) keys; page texts join after the source cap. Two results that many
-    readers share, the chosen sources (keys only) and the final evidence, are written as stage tables.
+    URL filters work on (run, url) keys; page texts join after the source cap. Results that many
+    readers share, the term index, the chosen sources (keys only) and the final evidence, are written as stage tables.
     """
 
     def __init__(
@@ -44,7 +44,7 @@ class Discovery:
 
     @cached_property
     def found(self) -> DataFrame:
-        return d.candidates_by_search(self.queries, self.pages, self.settings.search_limit)
+        return d.candidates_by_search(self.queries, self.pages, self.settings.search_limit, self.stage)
 
     @cached_property
     def candidates(self) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators import drafts as dr
+from ..session import use_all_cores
 from ..sources import config_tables as cfg
 from ..sources import crawl
 
@@ -72,7 +73,8 @@ DOMAIN_TAGS = (("network", ".net"), ("organisation", ".org"), ("weblog", "blog."
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return use_all_cores(df) if name in ("documents", "pages") else df
 
 
 def policies(spark: SparkSession) -> DataFrame:

@@ -36,7 +36,7 @@ def _(x):
 
 @query("html_to_text", "SELECT url, title, markdown FROM c_pages")
 def _(x):
-    return x.pages.select("url", "title", "markdown")
+    return fx.pages(x.spark, x.sf).select("url", "title", "markdown")
 
 
 @query("read_policies", """SELECT policy_id, coalesce(name, policy_id) AS name, coalesce(allow, '') AS allow_list, peer, marketing, recent, max_age,
@@ -280,7 +280,7 @@ def _(x):
 def evidence_by_source(x):
     """Flagship: one run over the whole page corpus, from HTML to capped evidence per host and reputation tier."""
     url = F.col("url")
-    pages = x.pages.select(F.lit("corpus").alias("run_id"), "url", url.alias("page_pos"), "markdown")
+    pages = fx.pages(x.spark, x.sf).select(F.lit("corpus").alias("run_id"), "url", url.alias("page_pos"), "markdown")
     narrow = d.explode_chunks(pages).select(
         "run_id", "url", "page_pos", "chunk_pos", "excerpt_hash", F.length("excerpt").alias("n_chars")
     )

@@ -52,7 +52,8 @@ class Inputs:
 
     @cached_property
     def pages(self) -> DataFrame:
-        return fx.pages(self.spark, self.sf)
+        """Cleaned once: search, attachment and chunking all read the text."""
+        return staged(fx.pages(self.spark, self.sf), "pages")
 
     @cached_property
     def found(self) -> evidence_run.Discovery:
@@ -94,11 +95,11 @@ class Inputs:
 
     @cached_property
     def draft_claims(self) -> DataFrame:
-        return staged(v.rule_verify(v.split_claims(self.drafts), self.evidence), "draft-claims")
+        return staged(v.rule_verify(staged(v.split_claims(self.drafts), "claims"), self.evidence), "draft-claims")
 
     def judge(self, units: DataFrame) -> DataFrame:
         """Reports of all units by the rule-based judge."""
-        found = v.rule_verify(v.split_claims(units), self.evidence)
+        found = v.rule_verify(staged(v.split_claims(units), "claims"), self.evidence)
         return v.with_scores(v.empty_report(units, v.tally_claims(found)))
 
     @cached_property

@@ -168,10 +168,11 @@ def test_source_limit(spark):
     assert f.sources.count() == 2
 
 
-def test_contains_join_equals_brute_force(spark):
+@pytest.mark.parametrize("in_row", [1000, 0])
+def test_contains_join_equals_brute_force(spark, in_row):
     texts = ["abcdef", "xabc", "", "zzz", "Ünïcode abc", "ab", "aaaa", "emoji 😀 face", "new\nline"]
-    needles = ["abc", "a", "zz", "ïcod", "abcdefg", "cdef", "", "aaa", "😀 f", "w\nl"]
+    needles = ["abc", "a", "zz", "ïcod", "abcdefg", "cdef", "", "aaa", "😀 f", "w\nl", "bcdef"]
     a = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
     b = spark.createDataFrame(list(enumerate(needles)), "j int, p string")
-    got = {(r.i, r.j) for r in contains_join(a, F.col("s"), b, F.col("p"), ["i"]).collect()}
-    assert got == {(i, j) for i, s in enumerate(texts) for j, p in enumerate(needles) if p and p in s}
+    rows = contains_join(a, F.col("s"), b, F.col("p"), ["i"], in_row=in_row).collect()
+    assert sorted((r.i, r.j) for r in rows) == sorted((i, j) for i, s in enumerate(texts) for j, p in enumerate(needles) if p and p in s)
