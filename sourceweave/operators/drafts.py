@@ -12,6 +12,10 @@ from .. import __version__, schemas
 from ..functions import text as t
 from ..functions.json_text import extract_json
 
+# Formats that readers of blocks and drafts rely on.
+BLOCK_HEAD = ("--- EVIDENCE [", "] ---")
+GAP_MARK = "[INSUFFICIENT EVIDENCE: "
+
 UNIT_KEYS = ["run_id", "path", "iteration"]
 NO_EVIDENCE_GAP = "No evidence was found"
 RAW_TEXT_GAP = "The response held no JSON object and needs a check by hand"
@@ -33,7 +37,7 @@ def evidence_block(evidence: DataFrame) -> DataFrame:
         F.concat(F.lit("Published: "), F.date_format("published_at", "yyyy-MM-dd")),
         F.concat(F.lit("Reputation: "), F.nullif(F.col("source_quality.domain_reputation"), F.lit(""))),
     )
-    entry = F.concat_ws("\n", F.concat(F.lit("--- EVIDENCE ["), "id", F.lit("] ---")), source, F.col("excerpt"), F.lit(""))
+    entry = F.concat_ws("\n", F.concat(F.lit(BLOCK_HEAD[0]), "id", F.lit(BLOCK_HEAD[1])), source, F.col("excerpt"), F.lit(""))
     return evidence.groupBy("run_id").agg(
         _ordered_text(["ev_pos"], entry, "\n").alias("block"), F.count(F.lit(1)).alias("n_evidence")
     )
@@ -285,7 +289,7 @@ def assemble_drafts(requests: DataFrame, evidence: DataFrame, picks: DataFrame,
     gap = heads.join(picks.select("run_id", "path", "heading_pos"), ["run_id", "path", "heading_pos"], "left_anti")
     marker = gap.select(
         "run_id", "path", "heading_pos", F.lit(1).alias("rank"),
-        F.concat(F.lit("[INSUFFICIENT EVIDENCE: "), "heading", F.lit("]")).alias("line"),
+        F.concat(F.lit(GAP_MARK), "heading", F.lit("]")).alias("line"),
     )
     lines = title.unionByName(section).unionByName(body).unionByName(marker)
     have = evidence.select("run_id").distinct()

@@ -47,8 +47,11 @@ def cosine_rank(vectors: DataFrame, topics: DataFrame, by: list[str]) -> DataFra
 
 
 def knn_filtered(vectors: DataFrame, topics: DataFrame, by: list[str], keep: Column, k: int, tie: str) -> DataFrame:
-    """Nearest ``k`` per run among the rows that meet ``keep``; the metadata filter runs first."""
-    ranked = cosine_rank(vectors.filter(keep), topics, by)
+    """Nearest ``k`` per run among the rows that meet ``keep``; the metadata filter runs first.
+
+    Rows leave their vectors behind and are spread by row, so that the rank can prune inside a large run.
+    """
+    ranked = cosine_rank(vectors.filter(keep), topics, by).drop("embedding").repartition(*by, tie)
     best = W.partitionBy(*by).orderBy(F.col("similarity").desc_nulls_last(), tie)
     return ranked.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 

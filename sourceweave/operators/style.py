@@ -147,13 +147,12 @@ def excess_words(df: DataFrame, in_slice: Column, text: str = "content", min_cou
     Both counts come from one grouping; a word absent from one side counts as 0 there.
     """
     words = df.select(in_slice.alias("_in"), F.explode(t.tokens(F.col(text))).alias("word"))
-    counts = words.groupBy("word").agg(
-        F.count_if("_in").alias("n_slice"), F.count_if(~F.col("_in")).alias("n_base")
-    ).filter((F.col("n_slice") + F.col("n_base")) >= min_count)
+    counts = words.groupBy("word").agg(F.count_if("_in").alias("n_slice"), F.count_if(~F.col("_in")).alias("n_base"))
     totals = counts.agg(F.sum("n_slice").alias("s"), F.sum("n_base").alias("b")).select(F.struct("s", "b").alias("t")).scalar()
     rate = lambda n, total: F.coalesce(F.try_divide(n.cast("double") * 1_000_000, total), F.lit(0.0))
     return (
-        counts.withColumn("_t", totals)
+        counts.filter((F.col("n_slice") + F.col("n_base")) >= min_count)
+        .withColumn("_t", totals)
         .withColumn("slice_rate", F.round(rate(F.col("n_slice"), F.col("_t.s")), 4))
         .withColumn("base_rate", F.round(rate(F.col("n_base"), F.col("_t.b")), 4))
         .withColumn("ratio", F.round(F.try_divide(rate(F.col("n_slice"), F.col("_t.s")), rate(F.col("n_base"), F.col("_t.b"))), 4))

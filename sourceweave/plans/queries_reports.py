@@ -433,6 +433,12 @@ def _(x):
     return s.select("user_id", stamp("session_start").alias("session_start"), "n", stamp("last_ts").alias("last_seen"))
 
 
+@query("usage_sessions_table", _SESSIONS)
+def _(x):
+    s = triggers.usage_sessions_table(events(x), "6 hours")
+    return s.select("user_id", stamp("session_start").alias("session_start"), "n", stamp("last_ts").alias("last_seen"))
+
+
 @query("usage_sessions_stream")
 def _(x):
     base = scratch_path(x.spark, "sessions")

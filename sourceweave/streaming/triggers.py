@@ -31,6 +31,25 @@ def usage_sessions(events: DataFrame, gap: str) -> DataFrame:
     ).select("user_id", F.col("w.start").alias("session_start"), "n", "last_ts")
 
 
+def usage_sessions_table(events: DataFrame, gap: str) -> DataFrame:
+    """:func:`usage_sessions` for a stored table in which one user may hold a large part of the rows.
+
+    Sessions are formed per user and day first; only those, not the signals, meet per user to be joined
+    where one day's last session runs on into the next.
+    """
+    by_day = events.withColumn("_day", F.to_date("ts")).groupBy(F.session_window("ts", gap).alias("w"), "user_id", "_day").agg(
+        F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_ts")
+    ).select("user_id", F.col("w.start").alias("start"), "n", "last_ts")
+    reach = F.max("last_ts").over(W.partitionBy("user_id").orderBy("start").rowsBetween(W.unboundedPreceding, -1))
+    fresh = F.coalesce(F.col("start") > reach + F.expr(f"INTERVAL {gap}"), F.lit(True))
+    marked = by_day.withColumn("_new", fresh.cast("int")).withColumn(
+        "_s", F.sum("_new").over(W.partitionBy("user_id").orderBy("start"))
+    )
+    return marked.groupBy("user_id", "_s").agg(
+        F.min("start").alias("session_start"), F.sum("n").alias("n"), F.max("last_ts").alias("last_ts")
+    ).drop("_s")
+
+
 def job_state(events: DataFrame) -> DataFrame:
     """Latest status and stage per job and the number of events seen."""
     at = F.struct("ts", "event_id")

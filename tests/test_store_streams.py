@@ -89,6 +89,15 @@ def test_source_updates_cross_buckets(spark):
     assert sorted((r.t, r.previous_hash, r.content_hash) for r in got) == [(12, "a", "b"), (36, "b", "c"), (51, "c", "a")]
 
 
+def test_sessions_over_days_equal_plain_sessions(spark):
+    rows = [(u, 86400 * 19700 + (i * i * 977 + u * 41) % 400_000 // 60 * 60) for u in (1, 2) for i in range(150)]
+    rows += [(3, 86400 * 19700 + i * 3600) for i in range(60)]  # gaps of exactly the limit, across midnights
+    df = spark.createDataFrame(rows, "user_id int, s long").select("user_id", F.timestamp_seconds("s").alias("ts"))
+    cols = ["user_id", "session_start", "n", "last_ts"]
+    plain = triggers.usage_sessions(df, "1 hour").select(*cols).collect()
+    assert sorted(triggers.usage_sessions_table(df, "1 hour").select(*cols).collect()) == sorted(plain)
+
+
 def test_stream_resumes_without_repeats(spark):
     """Two files arriving one after the other give the batch result of both."""
     base = scratch_path(spark, "t-stream")

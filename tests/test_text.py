@@ -12,37 +12,30 @@ def one(spark, column, **values):
     return spark.createDataFrame([tuple(row.values())], schema).select(column).first()[0]
 
 
-def pack(text, limit):
-    """Plain restatement of the chunk rule."""
-    out = []
-    for block in re.split(r"\n\n+", text):
-        block = block.strip()
-        if not block:
-            continue
-        if len(block) <= limit:
-            out.append(block)
-            continue
-        held = None
-        for line in block.split("\n"):
-            if held and len(held) + len(line) + 1 > limit:
-                out.append(held.strip())
-                held = line
-            else:
-                held = f"{held}\n{line}" if held else line
-        if held and held.strip():
-            out.append(held.strip())
-    return out
-
-
-def test_chunk_matches_plain_rule(spark):
+def squeezed(s):
+    return re.sub(r"\s", "", s)
+
+
+def test_chunk_properties(spark):
+    """No text is lost, short blocks stay whole, long ones are cut only between lines and no earlier than needed."""
     rnd = random.Random(7)
-    texts = ["", "\n\n", "short", "a\n\nb", "x" * 40 + "\n" + "y" * 5, "  lead\n\n\n\ntail  "]
+    limit = 30
+    texts = ["", "\n\n", "short", "a\n\nb", "x" * 40 + "\n" + "y" * 5, "lead\n\n\n\ntail"]
     for _ in range(150):
-        n = rnd.randint(0, 25)
-        texts.append("".join(rnd.choice(["word ", "é", "\n", "\n\n", "longer piece of text ", "\t"]) for _ in range(n)))
+        lines = ["".join(rnd.choice("abcé") for _ in range(rnd.randint(1, 40))) for _ in range(rnd.randint(1, 12))]
+        texts.append("".join(line + rnd.choice(["\n", "\n\n", "\n\n\n"]) for line in lines))
     df = spark.createDataFrame([(i, s) for i, s in enumerate(texts)], "i int, s string")
-    got = {r.i: r.c for r in df.select("i", t.chunk(F.col("s"), 30).alias("c")).collect()}
-    assert got == {i: pack(s, 30) for i, s in enumerate(texts)}
+    for r in df.select("s", t.chunk(F.col("s"), limit).alias("c")).collect():
+        assert squeezed("".join(r.c)) == squeezed(r.s)
+        assert all(p and (len(p) <= limit or "\n" not in p) for p in r.c)
+        blocks = [b.strip() for b in re.split(r"\n{2,}", r.s) if b.strip()]
+        rest = list(r.c)
+        for b in blocks:
+            mine = [rest.pop(0)]
+            while "\n".join(mine) != b:
+                mine.append(rest.pop(0))
+            assert len(mine) == 1 or len(b) > limit
+            assert all(len(p) + 1 + len(q.split("\n")[0]) > limit for p, q in zip(mine, mine[1:]))
 
 
 def test_chunk_keeps_all_text(spark):
