@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 
@@ -87,6 +88,20 @@ def parse_policy_lines(lines: DataFrame, text: str = "value", order: str = "ord"
     return lines.select(order, F.from_json(text, schemas.POLICY_JSON).alias("p")).select(order, "p.*")
 
 
+def read_policy_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Policy entries of a folder of JSON files, each one policy or a list of them, for :func:`read_policies`.
+
+    Entries are ordered by file name, then by place in the file; files that do not parse are skipped.
+    """
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json").select(
+        F.col("_metadata.file_name").alias("file"), F.trim("value").alias("text")
+    )
+    listed = F.when(F.startswith("text", F.lit("[")), F.col("text")).otherwise(F.concat(F.lit("["), "text", F.lit("]")))
+    shape = T.ArrayType(T.StructType.fromDDL(schemas.POLICY_JSON))
+    entries = files.select("file", F.posexplode(F.from_json(listed, shape)).alias("pos", "p"))
+    return entries.select(F.struct("file", "pos").alias("ord"), "p.*")
+
+
 def default_gate_profiles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(GATE_DEFAULTS), schemas.GATE_CONFIG)
 

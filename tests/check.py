@@ -55,7 +55,12 @@ if __name__ == "__main__":
     args = sys.argv[1:]
     sf = args[args.index("--sf") + 1] if "--sf" in args else "/root/testdata/sf0.01"
     names = [a for a in args if not a.startswith("--") and a != sf] or list(catalogue.QUERIES)
-    s = build_session("check", "local[8]", 8)
+    if "--plain" in args:  # a session with Spark's own defaults
+        from pyspark.sql import SparkSession
+
+        s = SparkSession.builder.master("local[8]").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    else:
+        s = build_session("check", "local[8]", 8)
     s.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
     bad = 0

@@ -176,3 +176,16 @@ def test_contains_join_equals_brute_force(spark, in_row):
     b = spark.createDataFrame(list(enumerate(needles)), "j int, p string")
     rows = contains_join(a, F.col("s"), b, F.col("p"), ["i"], in_row=in_row).collect()
     assert sorted((r.i, r.j) for r in rows) == sorted((i, j) for i, s in enumerate(texts) for j, p in enumerate(needles) if p and p in s)
+
+
+def test_policy_folder(spark, tmp_path):
+    files = {
+        "a.json": '{"id": "x", "name": "first"}',
+        "b.json": '[{"id": "y"}, {"id": "x", "name": "second"}]',
+        "c.json": "not json {",
+        "d.yaml": '{"id": "z"}',
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    rows = cfg.read_policies(cfg.read_policy_files(spark, str(tmp_path))).collect()
+    assert {r.policy_id: r.name for r in rows} == {"x": "second", "y": "y"}
