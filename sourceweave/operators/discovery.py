@@ -22,7 +22,7 @@ CRAWL_TIMEOUT = 30
 MIN_EXCERPT = 50
 PER_SOURCE = 5
 PER_RUN = 100
-SEED_POS = 1_000_000  # seeds rank behind every search result
+SEED_POS = 2_147_483_647  # seeds rank behind every search result
 
 
 # --- queries and candidates -------------------------------------------------------------------

@@ -258,8 +258,13 @@ def heading_matches(requests: DataFrame, evidence: DataFrame, limit: int) -> Dat
     )
 
 
-def extractive_picks(requests: DataFrame, evidence: DataFrame, paths: DataFrame, widest: int = 3) -> DataFrame:
-    """Excerpts chosen per (run, path, heading); a path takes its ``per_heading`` longest, at most ``widest``."""
+def extractive_picks(requests: DataFrame, evidence: DataFrame, paths: DataFrame, widest: int | None = None) -> DataFrame:
+    """Excerpts chosen per (run, path, heading); a path takes its ``per_heading`` longest.
+
+    ``widest`` is the largest ``per_heading``; it is read off the path table when not given.
+    """
+    if widest is None:
+        widest = int(paths.agg(F.max("per_heading")).first()[0] or 0)
     best = heading_matches(requests, evidence, widest)
     return (
         fan_out_paths(requests).select("run_id", "path")

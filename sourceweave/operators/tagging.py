@@ -24,24 +24,25 @@ def tag_evidence(evidence: DataFrame, terms: DataFrame, keys: list[str], min_hit
     return words.join(terms, "term").groupBy(*keys, "tag").agg(F.sum("n").alias("hits")).filter(F.col("hits") >= min_hits)
 
 
-def tag_closure(taxonomy: DataFrame, depth: int = 8) -> DataFrame:
+def tag_closure(taxonomy: DataFrame, deepest: int = 64) -> DataFrame:
     """(tag, ancestor, distance) pairs of a taxonomy table (tag, parent), each tag its own ancestor at 0.
 
-    ``depth`` bounds the levels followed; a taxonomy deeper than that raises no error but is cut, so pass
-    its real depth.
+    Levels are followed until none is left; a taxonomy deeper than ``deepest`` is taken for a cycle.
     """
     level = taxonomy.select("tag", F.col("tag").alias("ancestor"), F.lit(0).alias("distance"))
     edges = taxonomy.filter("parent IS NOT NULL").select(F.col("tag").alias("ancestor"), "parent")
     closure = level
-    for d in range(1, depth + 1):
+    for d in range(1, deepest + 1):
         level = level.join(edges, "ancestor").select("tag", F.col("parent").alias("ancestor"), F.lit(d).alias("distance"))
+        if level.isEmpty():
+            return closure
         closure = closure.unionByName(level)
-    return closure
+    raise ValueError(f"the taxonomy holds a cycle or more than {deepest} levels")
 
 
-def roll_up_tags(tags: DataFrame, taxonomy: DataFrame, keys: list[str], depth: int = 8) -> DataFrame:
+def roll_up_tags(tags: DataFrame, taxonomy: DataFrame, keys: list[str]) -> DataFrame:
     """Tags of each row with all their ancestors; hits add up along the way."""
-    up = tag_closure(taxonomy, depth).select("tag", "ancestor")
+    up = tag_closure(taxonomy).select("tag", "ancestor")
     return tags.join(up, "tag").groupBy(*keys, F.col("ancestor").alias("tag")).agg(F.sum("hits").alias("hits"))
 
 

@@ -219,8 +219,8 @@ CTES: dict[str, str] = {
         recency::{_RECENCY} AS recency, max_sources,
         overrides::STRUCT(topic_pattern VARCHAR, domains_allow VARCHAR[], domains_deny VARCHAR[], reputation {_RULES}, recency {_RECENCY})[] AS overrides
       FROM {values(_policy_rows())} AS v(policy_id, name, allow, deny, reputation, recency, max_sources, overrides)""",
-    "c_gate": f"""SELECT * FROM {values(cfg.GATE_DEFAULTS)}
-        AS v(risk_profile, autopublish_threshold, min_citations, min_ratio, max_iterations)""",
+    "c_gate": f"""SELECT risk_profile, autopublish_threshold::DOUBLE AS autopublish_threshold, min_citations, min_ratio::DOUBLE AS min_ratio, max_iterations
+      FROM {values(cfg.GATE_DEFAULTS)} AS v(risk_profile, autopublish_threshold, min_citations, min_ratio, max_iterations)""",
     "c_paths": f"SELECT * FROM {values(fx.PATHS)} AS v(path, label, per_heading)",
     "c_terms": f"SELECT * FROM {values([(a, w) for a, _, ws in fx.TAXONOMY for w in ws])} AS v(tag, term)",
     "c_taxonomy": f"SELECT * FROM {values([(a, b) for a, b, _ in fx.TAXONOMY])} AS v(tag, parent)",
@@ -249,7 +249,7 @@ CTES: dict[str, str] = {
           GROUP BY query, url HAVING count(*) = max(n_terms))) h ON h.query = r.query AND h.result_pos <= 20""",
     "c_candidates": f"""SELECT run_id, url, min((query_pos, result_pos)) AS p FROM (
         SELECT run_id, query_pos, result_pos, url FROM c_search
-        UNION ALL SELECT run_id, 1000000, i, 'https://' || d FROM (
+        UNION ALL SELECT run_id, 2147483647, i, 'https://' || d FROM (
           SELECT run_id, generate_subscripts(seeds, 1) - 1 AS i, unnest(seeds) AS d FROM c_requests)) GROUP BY ALL""",
     "c_resolved": """SELECT run_id, policy_id, name, hit.topic_pattern AS override,
         allow || coalesce(hit.domains_allow, []) AS allow, deny || coalesce(hit.domains_deny, []) AS deny,

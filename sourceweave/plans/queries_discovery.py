@@ -120,7 +120,7 @@ def _(x):
     return d.candidates_by_search(x.found.queries, x.pages)
 
 
-@query("seed_urls", """SELECT run_id, 1000000 AS query_pos, i AS result_pos, 'https://' || d AS url FROM (
+@query("seed_urls", """SELECT run_id, 2147483647 AS query_pos, i AS result_pos, 'https://' || d AS url FROM (
     SELECT run_id, generate_subscripts(seeds, 1) - 1 AS i, unnest(seeds) AS d FROM c_requests)""")
 def _(x):
     return d.seed_urls(x.requests)

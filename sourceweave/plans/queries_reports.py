@@ -305,7 +305,7 @@ def _(x):
     UNION ALL SELECT tag, parent FROM c_taxonomy WHERE parent IS NOT NULL
     UNION ALL SELECT a.tag, b.parent FROM c_taxonomy a JOIN c_taxonomy b ON b.tag = a.parent WHERE b.parent IS NOT NULL) USING (tag) GROUP BY ALL""")
 def _(x):
-    return tg.roll_up_tags(tags(x), fx.taxonomy(x.spark), ["run_id", "id"], depth=2)
+    return tg.roll_up_tags(tags(x), fx.taxonomy(x.spark), ["run_id", "id"])
 
 
 @query("tag_domains", f"SELECT url, domain, tag FROM (SELECT url, {o.netloc('url')} AS domain FROM pages) JOIN c_domain_tags ON contains(domain, lower(pattern))")

@@ -69,6 +69,9 @@ if __name__ == "__main__":
         try:
             df = catalogue.run(n, s, sf)
             out = compare(df, con, catalogue.SQL[n]) if n in catalogue.SQL else f"rows {df.count()} (no SQL)"
+            nested = [f.name for f in df.schema if f.dataType.typeName() in ("array", "struct", "map", "decimal")]
+            if n in catalogue.SQL and nested:
+                out = f"{out or ''} nested columns {nested}"
             rows = "" if out else df.count() if "--rows" in args else ""
         except Exception as e:  # report and go on
             out, rows = f"ERROR {type(e).__name__}: {str(e)[:700]}", ""

@@ -1,5 +1,6 @@
 import statistics
 
+import pytest
 from pyspark.sql import functions as F
 
 from sourceweave.operators import package as pk
@@ -73,3 +74,9 @@ def test_bottleneck(spark):
     )
     r = pk.stage_durations(df, ["discover", "write", "verify"]).first()
     assert (r.discover, r.write, r.verify, r.total, r.bottleneck, r.bottleneck_share) == (0, 30, 90, 120, "verify", 0.75)
+
+
+def test_cyclic_taxonomy_is_refused(spark):
+    tree = spark.createDataFrame([("a", "b"), ("b", "a")], "tag string, parent string")
+    with pytest.raises(ValueError):
+        tg.tag_closure(tree, 4)
