@@ -52,7 +52,7 @@ def is_blank(c: Column) -> Column:
 
 
 def ascii_lower(c: Column) -> Column:
-    """Fold A-Z only, the way a case-insensitive LIKE of the reference store does."""
+    """Fold A-Z only, as a case-insensitive SQL LIKE over ASCII does."""
     return F.translate(c, UPPER_ASCII, UPPER_ASCII.lower())
 
 

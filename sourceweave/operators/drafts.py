@@ -28,7 +28,7 @@ def _ordered_text(order: list[str], text: Column, sep: str) -> Column:
 
 
 def evidence_block(evidence: DataFrame) -> DataFrame:
-    """One reference text per run: id line, source line, excerpt, blank line, for each excerpt."""
+    """One listing per run: id line, source line, excerpt, blank line, for each excerpt."""
     source = F.concat_ws(
         " | ",
         F.concat(F.lit("URL: "), "url"),

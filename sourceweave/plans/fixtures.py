@@ -11,7 +11,6 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import schemas
 from ..operators import drafts as dr
 from ..session import use_all_cores
 from ..sources import config_tables as cfg

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import quality as q
 from ..functions import text as t
 from ..operators import discovery as d
@@ -59,7 +60,7 @@ def _(x):
         )).alias("reputation"),
         F.when(lang == "es", F.struct(F.col("n_chars").cast("int").alias("max_age_days"), F.lit(None).cast("boolean").alias("prefer_recent"))).alias("recency"),
         F.when(lang != "es", F.col("n_chars").cast("int")).alias("max_sources_per_run"),
-        F.lit(None).cast(f"array<{_override()}>").alias("topic_overrides"),
+        F.lit(None).cast(f"array<{schemas.OVERRIDE}>").alias("topic_overrides"),
     )
     return cfg.read_policies(entries).select(
         "policy_id", "name", joined("domains_allow").alias("allow_list"),
@@ -69,12 +70,6 @@ def _(x):
     )
 
 
-def _override():
-    from .. import schemas
-
-    return schemas.OVERRIDE
-
-
 @query("read_gate_config", """SELECT coalesce(m.risk_profile, g.risk_profile) AS risk_profile,
     CASE WHEN m.risk_profile IS NOT NULL THEN m.threshold ELSE g.autopublish_threshold END AS autopublish_threshold,
     CASE WHEN m.risk_profile IS NOT NULL THEN 1 ELSE g.min_citations END AS min_citations,

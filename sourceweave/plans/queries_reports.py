@@ -18,7 +18,7 @@ from ..sources.config_tables import default_gate_profiles
 from ..streaming import jobs, triggers
 from . import fixtures as fx
 from . import oracle as o
-from .queries_discovery import joined, stamp
+from .queries_discovery import stamp
 from .queries_drafts import UNIT
 from .registry import query
 
