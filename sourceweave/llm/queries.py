@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_outliers
+from . import minhash, quality_outliers, secret_owners
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +27,65 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents").select("doc_id", "text", "lang", "source")
     judged = quality_outliers.with_verdicts(quality_outliers.base_counts(docs).drop("text"))
     return judged.select("doc_id", *quality_outliers.COUNTS, "base_failed", "kept", "n_lines")
+
+
+@query("op9_secret_owners")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    found = secret_owners.scan(read(spark, sf, "documents").select("doc_id", "text", "source"))
+    of = lambda k: F.size(F.filter("secrets", lambda x: x["kind"] == k)).cast("long")
+    base = F.filter("secrets", lambda x: x["kind"] < 3)
+    return found.select(
+        "doc_id",
+        of(0).alias("n_assign"),
+        of(1).alias("n_access"),
+        of(2).alias("n_hex"),
+        F.sha2(secret_owners.span_text(base), 256).alias("base_sha256"),
+        secret_owners.span_text(F.col("secrets")).alias("spans"),
+        "n_live",
+        "n_example",
+    )
+
+
+#: Literal patterns and bounds; positions from the lengths of the pieces between matches.
+SQL["op9_secret_owners"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+p(kind, pattern) AS (VALUES
+  (0, '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+  (1, 'AKIA[A-Z0-9]+'), (2, '[0-9a-f]+'),
+  (3, 'gh[opsu]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\x20\n]+|[a-z][a-z0-9+]{1,15}://[A-Za-z0-9_.-]+:[A-Za-z0-9_.!-]{6,}@')),
+hits AS (
+  SELECT r, 0 AS kind, regexp_extract_all(text, (SELECT pattern FROM p WHERE kind = 0)) AS ms, string_split_regex(text, (SELECT pattern FROM p WHERE kind = 0)) AS ps FROM d
+  UNION ALL SELECT r, 1, regexp_extract_all(text, 'AKIA[A-Z0-9]{16,}'), string_split_regex(text, 'AKIA[A-Z0-9]{16,}') FROM d
+  UNION ALL SELECT r, 2, regexp_extract_all(text, '[0-9a-f]{24,}'), string_split_regex(text, '[0-9a-f]{24,}') FROM d
+  UNION ALL SELECT r, 3, regexp_extract_all(text, (SELECT pattern FROM p WHERE kind = 3)), string_split_regex(text, (SELECT pattern FROM p WHERE kind = 3)) FROM d),
+each AS (
+  SELECT r, kind, ms[i] AS m, ps, ms, i FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM hits WHERE len(ms) > 0)),
+placed AS (
+  SELECT r, kind, m, (list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s FROM each),
+spans AS (
+  SELECT r, kind, s, s + length(m) AS e,
+    CASE WHEN kind = 0 THEN regexp_extract(m, (SELECT pattern FROM p WHERE kind = 0), 2) ELSE m END AS v FROM placed),
+good AS (SELECT * FROM spans WHERE kind <> 0 OR length(v) >= 6),
+held AS (SELECT v, count(DISTINCT source) AS owners FROM good JOIN d USING (r) GROUP BY v),
+judged AS (
+  SELECT good.*, owners >= 3 AS example,
+    owners < 3 AND length(good.v) >= 16 AND len(list_distinct(string_split(good.v, ''))) >= 8 AND regexp_matches(good.v, '[0-9]') AS live
+  FROM good JOIN held ON good.v = held.v),
+named AS (
+  SELECT *, concat_ws(':', CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'live' END, s, e) AS t FROM judged),
+by_row AS (
+  SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    string_agg(t, ',' ORDER BY s, kind) FILTER (kind < 3) AS base, string_agg(t, ',' ORDER BY s, kind) FILTER (kind < 3 OR live) AS spans,
+    count(*) FILTER (live) AS n_live, count(*) FILTER (example) AS n_example
+  FROM named GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM d LEFT JOIN by_row USING (r)
+"""
+
+
+@query("op2_circulant_minhash")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    rule = minhash.Rule(shingle=3, num=85, den=100, bands=32, rows=4)
+    found = minhash.near_groups(read(spark, sf, "documents").select("doc_id", "text"), rule)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
