@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, quality_outliers, secret_owners
+from . import decontaminate, line_spread, minhash, quality_outliers, secret_owners
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,35 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     rule = minhash.Rule(shingle=3, num=85, den=100, bands=32, rows=4)
     found = minhash.near_groups(read(spark, sf, "documents").select("doc_id", "text"), rule)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op4_line_spread")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    rest = line_spread.without_boilerplate(read(spark, sf, "documents").select("doc_id", "text", "source"))
+    text = F.coalesce("text", F.lit(""))
+    return rest.select("doc_id", "n_lines", "n_removed", F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
+
+
+SQL["op4_line_spread"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS site, text FROM documents),
+s AS (SELECT r, site, string_split(text, chr(10)) AS ls FROM d WHERE text IS NOT NULL),
+l AS (SELECT r, site, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM s),
+w AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l),
+b AS (SELECT line FROM w WHERE n >= 4 GROUP BY line HAVING count(DISTINCT site) >= 8),
+m AS (SELECT w.*, b.line IS NOT NULL AS gone FROM w LEFT JOIN b ON w.line = b.line),
+k AS (
+  SELECT r, count(*) AS n_lines, coalesce(sum(n) FILTER (gone), 0) <= 0.5 * sum(n) AS goes, count(*) FILTER (gone) AS n_gone,
+    coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS rest, string_agg(line, chr(10) ORDER BY i) AS whole
+  FROM m GROUP BY r),
+t AS (
+  SELECT doc_id, coalesce(n_lines, 0) AS n_lines, CASE WHEN goes THEN n_gone ELSE 0 END AS n_removed,
+    coalesce(CASE WHEN goes THEN rest ELSE whole END, '') AS kept
+  FROM d LEFT JOIN k USING (r))
+SELECT doc_id, n_lines, n_removed, length(kept) AS n_chars, sha256(kept) AS text_sha256 FROM t
+"""
+
+
+@query("op5_decontaminate")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    return decontaminate.leaks(docs, read(spark, sf, "benchmark").select("item_id", "text"))
