@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_spread, minhash, quality_outliers, secret_owners
+from . import decontaminate, line_spread, minhash, quality_outliers, secret_owners, substrings
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,24 @@ SELECT doc_id, n_lines, n_removed, length(kept) AS n_chars, sha256(kept) AS text
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents").select("doc_id", "text")
     return decontaminate.leaks(docs, read(spark, sf, "benchmark").select("item_id", "text"))
+
+
+@query("op1_substrings")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    found = substrings.without_repeats(read(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Windows by their words, not by hash; positions count from 1.
+SQL["op1_substrings"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT r, i, hash(ws[i:i + 34]) AS h, md5(array_to_string(ws[i:i + 34], ' ')) AS k
+  FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM d WHERE len(ws) >= 35)),
+again AS (SELECT h, k FROM w GROUP BY h, k HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM w JOIN again USING (h, k)),
+cut AS (SELECT r, list(p) AS ps, count(*) AS n FROM gone GROUP BY r),
+word AS (SELECT d.r, i, ws[i] AS t FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM d) d),
+kept AS (SELECT word.r, string_agg(t, ' ' ORDER BY i) AS rest FROM word ANTI JOIN gone ON word.r = gone.r AND word.i = gone.p GROUP BY word.r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+FROM d LEFT JOIN cut USING (r) LEFT JOIN kept USING (r)
+"""
