@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import staged
 
-__all__ = ["WORD_GAP", "lower_ascii", "read", "rounded", "salted_join", "staged", "words"]
+__all__ = ["WORD_GAP", "keyed_join", "lower_ascii", "read", "rounded", "salted_join", "staged", "words"]
 
 #: A word is a longest run of characters other than these (Java regular expression).
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -33,12 +33,21 @@ def rounded(value: Column, digits: int = 9) -> Column:
     return F.when(value == 0, F.lit(0.0)).otherwise(F.round(value / F.pow(F.lit(10.0), size), digits - 1) * F.pow(F.lit(10.0), size))
 
 
+def keyed_join(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Equi join with a written table of one row a key.
+
+    Its files tell Spark whether it may be broadcast; beyond that limit both sides are dealt by key and adaptive
+    execution splits the partitions of ``left`` that a hot key fills.
+    """
+    return left.join(right, on, how)
+
+
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str, spread: Column, salts: int = 32) -> DataFrame:
     """Equi join in which each key of ``left`` goes to up to ``salts`` tasks.
 
-    ``right`` holds one row a key and is copied ``salts`` times; ``spread`` tells the rows of ``left`` apart. For keys
-    that may hold a large share of all rows.
+    ``right`` is computed, not a written table, holds one row a key and is copied ``salts`` times, so it is never
+    broadcast; ``spread`` tells the rows of ``left`` apart.
     """
     near = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
     far = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return near.join(far, [*on, "_salt"], how).drop("_salt")
+    return near.join(far.hint("merge"), [*on, "_salt"], how).drop("_salt")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_spread, minhash, quality_outliers, secret_owners, substrings
+from . import decontaminate, html_trees, line_spread, minhash, quality_outliers, secret_owners, substrings, warc
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,29 @@ kept AS (SELECT word.r, string_agg(t, ' ' ORDER BY i) AS rest FROM word ANTI JOI
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
 FROM d LEFT JOIN cut USING (r) LEFT JOIN kept USING (r)
 """
+
+
+@query("op8_warc")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    archives = warc.write_archives(read(spark, sf, "pages").select("page_id", "url", "html"))
+    records = warc.read_ranges(archives, warc.build_index(archives).captures())
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Base32 from the hexadecimal digest: ten hexadecimal digits are eight characters.
+SQL["op8_warc"] = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS size, sha1(payload) AS hex FROM p),
+b AS (SELECT *, list_aggregate(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INT, 1)), 'string_agg', '') AS digest FROM d),
+g AS (SELECT hex, max(page_id) AS largest FROM d GROUP BY hex HAVING count(*) > 1)
+SELECT page_id, size AS payload_bytes, digest AS payload_digest,
+  CASE WHEN largest IS NOT NULL AND page_id IS DISTINCT FROM largest THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM largest THEN largest END AS refers_to
+FROM b LEFT JOIN g USING (hex)
+"""
+
+
+@query("op7_html_trees")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return html_trees.extract(read(spark, sf, "pages"), html_trees.fit(spark))
