@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_trees, line_spread, minhash, quality_outliers, secret_owners, substrings, warc
+from . import decontaminate, html_trees, line_spread, minhash, pieces, quality_outliers, secret_owners, substrings, warc
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,3 +168,8 @@ FROM b LEFT JOIN g USING (hex)
 @query("op7_html_trees")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return html_trees.extract(read(spark, sf, "pages"), html_trees.fit(spark))
+
+
+@query("op10_pieces")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return pieces.encoded_and_checked(read(spark, sf, "documents").select("doc_id", "text"), pieces.load(pieces.default_model()))
