@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_trees, line_spread, minhash, pieces, quality_outliers, secret_owners, substrings, warc
+from . import decontaminate, html_trees, line_spread, minhash, pieces, quality_outliers, secret_owners, shards, substrings, warc
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +173,11 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_pieces")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.encoded_and_checked(read(spark, sf, "documents").select("doc_id", "text"), pieces.load(pieces.default_model()))
+
+
+@query("op3_shards")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    tokenizer = shards.load_tokenizer()
+    written = shards.materialise(read(spark, sf, "documents").select("doc_id", "text"), tokenizer)
+    records = shards.read_records(written, tokenizer)
+    return records.select("slot", F.expr(f"slot div {shards.PER_SHARD}").alias("shard"), "doc_id", "part", F.col("n").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"))
