@@ -1,7 +1,8 @@
 """Secret scans: candidate spans in the row, judged by how many repositories and owners hold the same value.
 
 Only DataFrame functions. Values travel as hashes; copies are counted by owner before they meet, and the verdict
-comes back to the candidates by a salted join, so a value that a third of all rows hold burdens no single task.
+comes back to the candidates by a join whose hot partitions are split, so a value that a third of all rows hold
+burdens no single task.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_join, staged
+from .common import keyed_join, staged
 
 ASSIGN = (
     r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
@@ -93,7 +94,7 @@ def scan(docs: DataFrame, repo: str = "doc_id", owner: str = "source") -> DataFr
         "_row", F.coalesce(F.col(repo).cast("string"), F.lit("")).alias("_repo"), F.coalesce(F.col(owner), F.lit("")).alias("_owner"), F.explode("_found").alias("f")
     ).select("_row", "_repo", "_owner", "f.start", "f.kind", F.sha2("f.value", 256).alias("_hash"), looks_live(F.col("f.value")).alias("_looks"))
     holders = staged(ownership(one), "secret-owners")
-    judged = salted_join(one, holders, ["_hash"], "inner", F.struct("_row", "start"))
+    judged = keyed_join(one, holders, ["_hash"], "inner")
     example = F.col("n_owners") >= EXAMPLE_OWNERS
     live = ~example & F.col("_looks")
     mine = judged.groupBy("_row").agg(
