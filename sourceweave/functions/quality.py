@@ -14,7 +14,6 @@ INSTITUTION_SUFFIXES = (".gov", ".edu")
 MARKETING_PHRASES = (
     "sponsored", "advertisement", "promoted", "affiliate", "buy now", "sign up free", "limited time offer",
 )
-MARKETING_WINDOW = 2000  # leading characters the definition looks at
 
 
 def _contains_any(c: Column, needles) -> Column:
@@ -48,9 +47,10 @@ def reputation_tier(url: Column, trusted: Column) -> Column:
     )
 
 
-def is_marketing(markdown: Column, title: Column) -> Column:
-    head = F.lower(F.concat(F.substring(markdown, 1, MARKETING_WINDOW), F.coalesce(title, F.lit(""))))
-    return _contains_any(head, MARKETING_PHRASES)
+def is_marketing(markdown: Column, title: Column, window: int | None = None) -> Column:
+    """Whether text or title hold a marketing phrase; with ``window`` only so many leading characters are looked at."""
+    seen = markdown if window is None else F.substring(markdown, 1, window)
+    return _contains_any(F.lower(F.concat(seen, F.coalesce(title, F.lit("")))), MARKETING_PHRASES)
 
 
 def source_quality(url: Column, markdown: Column, title: Column, trusted: Column) -> Column:

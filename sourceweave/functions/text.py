@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: the code points Python counts as white space, as a regex class body.
@@ -13,27 +15,38 @@ STRIP_PATTERN = rf"\A[{SPACE}]+|[{SPACE}]+\z"
 WORD_PATTERN = r"[\p{L}\p{N}]+"
 NUMBER_PATTERN = r"[0-9]+(?:\.[0-9]+)?"
 NETLOC_PATTERN = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
+# Fixed value: the evidence marker in texts.
 CITATION_PATTERN = r"\[ev[_:][^\]]+\]"
 SENTENCE_END = rf"([.!?])[{SPACE}]+"
 
 UPPER_ASCII = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-# HTML clean-up steps, applied in this order: (pattern, replacement).
+# HTML clean-up steps, applied in this order: (pattern, replacement). A tag starts with a letter, a slash or "!".
+_NO_DIV = r"(?:[^<]+|<(?:[^/dD]|/[^dD]|[dD][^iI])[^>]*>)*"
 HTML_STEPS = (
     (r"(?is)<!--.*?-->", " "),
-    (r"(?is)<head[^>]*>.*?</head>", " "),
-    (r"(?is)<script[^>]*>.*?</script>", " "),
-    (r"(?is)<style[^>]*>.*?</style>", " "),
-    (r"(?is)<nav[^>]*>.*?</nav>", " "),
-    (r"(?is)<footer[^>]*>.*?</footer>", " "),
-    (r'(?is)<div class="ad"[^>]*>.*?</div>', " "),
-    (r"(?i)</?(?:p|br|h[1-6]|ul|ol|li|div|tr|table|article|section|blockquote)(?:\s[^>]*)?/?>", "\n\n"),
-    (r"<[^>]*>", ""),
-)
-ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
-    ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
+    (r"(?is)<head(?:\s[^>]*)?>.*?</head\s*>", " "),
+    (r"(?is)<script(?:\s[^>]*)?>.*?</script\s*>", " "),
+    (r"(?is)<style(?:\s[^>]*)?>.*?</style\s*>", " "),
+    (r"(?is)<nav(?:\s[^>]*)?>.*?</nav\s*>", " "),
+    (r"(?is)<footer(?:\s[^>]*)?>.*?</footer\s*>", " "),
+    # advert blocks, with blocks nested once
+    (rf'(?i)<div class="ad"[^>]*>{_NO_DIV}(?:<div(?:\s[^>]*)?>{_NO_DIV}</div\s*>{_NO_DIV})*</div\s*>', " "),
+    (r"(?i)</?(?:p|br|h[1-6]|ul|ol|li|div|tr|table|article|section|header|blockquote)(?:\s[^>]*)?/?>", "\n\n"),
+    (r"<[/!]?[A-Za-z][^>]*>", ""),
 )
+# Named characters that pages use most.
+ENTITIES = {
+    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&", "nbsp": " ", "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•",
+    "hellip": "…", "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "sbquo": "‚", "ldquo": "“", "rdquo": "”", "bdquo": "„", "laquo": "«",
+    "raquo": "»", "sect": "§", "para": "¶", "deg": "°", "plusmn": "±", "times": "×", "divide": "÷", "frac12": "½", "euro": "€", "pound": "£",
+    "yen": "¥", "cent": "¢", "iexcl": "¡", "iquest": "¿", "szlig": "ß", "agrave": "à", "aacute": "á", "acirc": "â", "atilde": "ã", "auml": "ä",
+    "aring": "å", "aelig": "æ", "ccedil": "ç", "egrave": "è", "eacute": "é", "ecirc": "ê", "euml": "ë", "igrave": "ì", "iacute": "í",
+    "icirc": "î", "iuml": "ï", "ntilde": "ñ", "ograve": "ò", "oacute": "ó", "ocirc": "ô", "otilde": "õ", "ouml": "ö", "oslash": "ø",
+    "ugrave": "ù", "uacute": "ú", "ucirc": "û", "uuml": "ü", "yacute": "ý", "Agrave": "À", "Aacute": "Á", "Auml": "Ä", "Ccedil": "Ç",
+    "Egrave": "È", "Eacute": "É", "Ntilde": "Ñ", "Oacute": "Ó", "Ouml": "Ö", "Uacute": "Ú", "Uuml": "Ü", "oelig": "œ", "OElig": "Œ",
+}
+ENTITY_PATTERN = r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 BLANK_RUNS = rf"[ \t]*\n[{SPACE}]*\n[{SPACE}]*"
 
 
@@ -66,6 +79,28 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(WORD_PATTERN), F.lit(0))
 
 
+def _run_lengths(sorted_items: Column) -> Column:
+    """(token, n) of each run of equal items."""
+    before = lambda x, i: F.coalesce(F.get(sorted_items, i - 1) != x, F.lit(True))
+    starts = F.filter(F.transform(sorted_items, lambda x, i: F.when(before(x, i), i)), lambda i: i.isNotNull())
+
+    def run(s: Column) -> Column:
+        length = lambda i, k: (F.coalesce(F.get(s, k + 1), F.size(sorted_items)) - i).cast("bigint")
+        return F.transform(s, lambda i, k: F.struct(F.get(sorted_items, i).alias("token"), length(i, k).alias("n")))
+
+    return bind(starts, run)
+
+
+def token_counts(c: Column) -> Column:
+    """(token, n) of each distinct token, counted inside the row over its sorted tokens."""
+    return bind(F.sort_array(tokens(c)), _run_lengths)
+
+
+def counts(df: DataFrame, items: str, *keep: str) -> DataFrame:
+    """``keep`` and ``_counts``: (token, n) of each distinct element of the array ``items``, counted inside the row."""
+    return df.select(*keep, bind(F.sort_array(items), _run_lengths).alias("_counts"))
+
+
 def numbers(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(NUMBER_PATTERN), F.lit(0))
 
@@ -75,10 +110,35 @@ def word_count(c: Column) -> Column:
     return F.size(F.filter(F.split(c, f"[{SPACE}]+"), lambda w: w != "")).cast("bigint")
 
 
+def _character(name: Column) -> Column:
+    """What a reference (its text between & and ;) stands for, null if nothing."""
+    hexa = F.substring(name, 2, 1).isin("x", "X")
+    code = F.when(hexa, F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(F.substring(name, 2, 7)).try_cast("int")
+    real = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    numbered = F.when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    named = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    return F.when(F.startswith(name, F.lit("#")), numbered).otherwise(F.try_element_at(named, name))
+
+
 def unescape(c: Column) -> Column:
-    for entity, char in ENTITIES:
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+    """Character references read once: numeric ones and the names in ``ENTITIES``; others stay."""
+
+    def part(text: Column, i: Column) -> Column:
+        name = F.regexp_extract(text, ENTITY_PATTERN, 1)
+        char = F.when((i > 0) & (name != ""), _character(name))
+        whole = F.when(i > 0, F.concat(F.lit("&"), text)).otherwise(text)
+        return F.when(char.isNull(), whole).otherwise(F.concat(char, F.substring(text, F.length(name) + 2, F.length(text))))
+
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(F.split(c, "&"), part), "")).otherwise(c)
+
+
+def html_meta(html: Column, name: str) -> Column:
+    """Content of the first ``<meta>`` with this name or property, null without one."""
+    own = rf"""(?:name|property)\s*=\s*["']?{re.escape(name)}["'\s]"""
+    content = r"""content\s*=\s*["']([^"'>]*)["']"""
+    first = F.regexp_extract(html, rf"(?is)<meta\s(?:[^>]*\s)?{own}[^>]*?{content}", 1)
+    second = F.regexp_extract(html, rf"(?is)<meta\s(?:[^>]*\s)?{content}[^>]*?\s{own}", 1)
+    return F.nullif(strip(unescape(F.coalesce(F.nullif(first, F.lit("")), second))), F.lit(""))
 
 
 def html_title(html: Column) -> Column:

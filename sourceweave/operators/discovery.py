@@ -36,13 +36,9 @@ def build_queries(requests: DataFrame) -> DataFrame:
 
 def page_terms(pages: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(url, term, tf) of the pages' titles and texts, only for terms in ``vocabulary``."""
-    words = t.tokens(F.concat_ws(" ", "title", "markdown"))
-    return (
-        pages.select("url", F.explode(words).alias("term"))
-        .join(vocabulary, "term", "left_semi")
-        .groupBy("url", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    counted = t.token_counts(F.concat_ws(" ", "title", "markdown"))
+    words = pages.select("url", F.explode(counted).alias("x")).select("url", F.col("x.token").alias("term"), F.col("x.n").alias("n"))
+    return words.join(vocabulary, "term", "left_semi").groupBy("url", "term").agg(F.sum("n").alias("tf"))
 
 
 def candidates_by_search(
@@ -135,6 +131,12 @@ def resolve_policy(requests: DataFrame, policies: DataFrame) -> DataFrame:
     )
 
 
+def unknown_policy(requests: DataFrame, policies: DataFrame) -> DataFrame:
+    """Failure rows (run_id, message) of runs whose policy is not there."""
+    lost = requests.join(policies.select("policy_id"), "policy_id", "left_anti")
+    return lost.select("run_id", F.concat(F.lit("Unknown policy: "), F.coalesce("policy_id", F.lit(""))).alias("message"))
+
+
 def passes_policy(domain: Column, allow: Column, deny: Column, strict: bool = False) -> Column:
     """Deny beats allow; an empty allow list admits all. Entries match anywhere in the domain, or
     with ``strict`` only as a whole-label suffix."""
@@ -195,8 +197,18 @@ def crawl_plan(sources: DataFrame, timeout_seconds: int = CRAWL_TIMEOUT) -> Data
     return sources.withColumn("timeout_seconds", F.lit(timeout_seconds))
 
 
+def one_fetch(pages: DataFrame) -> DataFrame:
+    """One row per URL: the newest by ``fetched_at`` where the pages have it, a successful before a failed one, then
+    the longest text, then the last text in order."""
+    rest = [c for c in pages.columns if c != "url"]
+    newest = ["fetched_at"] if "fetched_at" in rest else []
+    order = F.struct(F.coalesce(F.col("status_code") != 0, F.lit(False)), *newest, F.length("markdown"), "markdown")
+    return pages.groupBy("url").agg(F.max_by(F.struct(*rest), order).alias("_p")).select("url", *[F.col("_p")[c].alias(c) for c in rest])
+
+
 def attach_pages(plan: DataFrame, pages: DataFrame) -> DataFrame:
-    """Crawl plan with the fetched page; a URL that was not fetched has status 0."""
+    """Crawl plan with the fetched page, one per URL; a URL that was not fetched has status 0."""
+    pages = one_fetch(pages.select(*[c for c in pages.columns if c not in ("raw_html", "metadata")]))
     carried = [c for c in plan.columns if c not in ("pos", "timeout_seconds")]
     return plan.join(pages, "url", "left").select(
         *carried,
@@ -224,8 +236,7 @@ def explode_chunks(pages: DataFrame, min_chars: int = MIN_EXCERPT) -> DataFrame:
 
 def mint_id(run_id: Column, url: Column, locator: Column, excerpt_hash: Column) -> Column:
     """Deterministic evidence id: the same excerpt of the same run always gets the same one."""
-    digest = F.sha2(F.concat_ws("\u0001", run_id, url, locator, excerpt_hash), 256)
-    return F.concat(F.lit("ev_"), F.substring(digest, 1, 12))
+    return F.concat(F.lit("ev_"), F.sha2(F.concat_ws("\u0001", run_id, url, locator, excerpt_hash), 256))
 
 
 def extract_evidence(pages: DataFrame, retrieved_at: Column, trusted: Column | None = None) -> DataFrame:
@@ -293,10 +304,10 @@ def cap_evidence(excerpts: DataFrame, per_source: int = PER_SOURCE, per_run: int
     shape = F.when(untouched, F.struct(F.col("page_pos").alias("a"), F.col("chunk_pos").alias("b"))).when(
         F.col("n_capped") <= per_run, F.struct(F.col("page_pos").alias("a"), F.col("source_rank").alias("b"))
     ).otherwise(F.struct(F.col("run_rank").alias("a"), F.lit(0).alias("b")))
-    keys = kept.withColumn("ev_pos", F.row_number().over(W.partitionBy("run_id").orderBy(shape))).select(
-        "run_id", "page_pos", "chunk_pos", "ev_pos"
-    )
-    return excerpts.join(keys, ["run_id", "page_pos", "chunk_pos"])
+    key = ["run_id", "url", "page_pos", "chunk_pos", "excerpt_hash"]
+    keys = kept.withColumn("ev_pos", F.row_number().over(W.partitionBy("run_id").orderBy(shape))).select(*key, "ev_pos")
+    # rows that agree in all of the key are one excerpt
+    return excerpts.join(keys, key).dropDuplicates(["run_id", "ev_pos"])
 
 
 def discovery_stats(

@@ -184,8 +184,7 @@ def empty_draft(requests: DataFrame, evidence: DataFrame, drafts: DataFrame) ->
 
 
 def unit_id(run_id: Column, path: Column, iteration: Column) -> Column:
-    digest = F.sha2(F.concat_ws("\u0001", run_id, path, iteration.cast("string")), 256)
-    return F.concat(F.lit("cu_"), F.substring(digest, 1, 12))
+    return F.concat(F.lit("cu_"), F.sha2(F.concat_ws("\u0001", run_id, path, iteration.cast("string")), 256))
 
 
 def stamp_lineage(units: DataFrame, requests: DataFrame, engine_version: str = __version__) -> DataFrame:

@@ -31,7 +31,7 @@ def job_status(runs: DataFrame, gate_results: DataFrame, failures: DataFrame | N
     out = runs.select("run_id").join(seen, "run_id", "left")
     failed = F.lit(False)
     if failures is not None:
-        out = out.join(failures.select("run_id", F.col("message").alias("error")), "run_id", "left")
+        out = out.join(failures.groupBy("run_id").agg(F.max("message").alias("error")), "run_id", "left")
         failed = F.col("error").isNotNull()
     status = (
         F.when(failed, "failed")
@@ -42,6 +42,11 @@ def job_status(runs: DataFrame, gate_results: DataFrame, failures: DataFrame | N
     return out.withColumn("status", status).drop("all_pass", "any_review")
 
 
+def failures(runs: DataFrame, evidence: DataFrame, early: DataFrame) -> DataFrame:
+    """Failure rows of all runs: ``early`` ones, and runs that found nothing for no earlier reason."""
+    return early.unionByName(no_evidence(runs.join(early.select("run_id"), "run_id", "left_anti"), evidence))
+
+
 def no_evidence(runs: DataFrame, evidence: DataFrame) -> DataFrame:
     """Failure rows of runs that found nothing."""
     return runs.select("run_id").join(evidence.select("run_id"), "run_id", "left_anti").withColumn(

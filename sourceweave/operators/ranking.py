@@ -31,8 +31,11 @@ def cosine(a: Column, b: Column) -> Column:
 def topic_vectors(vectors: DataFrame, by: list[str], dim: int, scale: int = 1_000_000) -> DataFrame:
     """Direction of the mean vector per group, as element-wise sums of fixed-point components.
 
-    Whole-number sums come out the same in any order, and cosine ignores the length.
+    Whole-number sums come out the same in any order, and cosine ignores the length. A vector whose length is not
+    ``dim`` is an error.
     """
+    right = F.when(F.size("embedding") == dim, F.col("embedding"))
+    vectors = vectors.withColumn("embedding", F.coalesce(right, F.raise_error(F.lit(f"a vector has not {dim} components")).cast("array<float>")))
     sums = [
         F.sum(F.round(F.get("embedding", F.lit(i)).cast("double") * scale).cast("bigint")).alias(f"e{i}") for i in range(dim)
     ]

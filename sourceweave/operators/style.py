@@ -134,11 +134,12 @@ def ngrams(words: Column, n: int) -> Column:
 
 
 def repeated_ngrams(df: DataFrame, keys: list[str], n: int = 3, top: int = 5, text: str = "content") -> DataFrame:
-    """Most frequent n-grams that occur more than once in a text, at most ``top`` per text."""
-    grams = df.withColumn("_w", t.tokens(F.col(text))).select(*keys, F.explode(ngrams(F.col("_w"), n)).alias("ngram"))
-    counts = grams.groupBy(*keys, "ngram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    best = W.partitionBy(*keys).orderBy(F.col("n").desc(), "ngram")
-    return counts.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
+    """Most frequent n-grams that occur more than once in a text, at most ``top`` per text, counted inside the row."""
+    counted = t.counts(df.withColumn("_w", t.tokens(F.col(text))).select(*keys, ngrams(F.col("_w"), n).alias("_g")), "_g", *keys)
+    again = F.filter("_counts", lambda x: x["n"] > 1)
+    ranked = F.sort_array(F.transform(again, lambda x: F.struct((-x["n"]).alias("less"), x["token"].alias("ngram"))))
+    rows = counted.select(*keys, F.posexplode(F.slice(ranked, 1, top)).alias("pos", "x"))
+    return rows.select(*keys, F.col("x.ngram").alias("ngram"), (-F.col("x.less")).alias("n"), (F.col("pos") + 1).alias("rank"))
 
 
 def excess_words(df: DataFrame, in_slice: Column, text: str = "content", min_count: int = 1) -> DataFrame:

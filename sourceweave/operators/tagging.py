@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..session import staged
 from .joins import contains_join
 
 
@@ -15,29 +16,28 @@ def tag_evidence(evidence: DataFrame, terms: DataFrame, keys: list[str], min_hit
 
     Words are counted per row before they meet the terms, so a frequent term is one row per text.
     """
-    words = (
-        evidence.select(*keys, F.explode(t.tokens(F.col(text))).alias("term"))
-        .join(terms.select("term").distinct(), "term", "left_semi")
-        .groupBy(*keys, "term")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    counted = evidence.select(*keys, F.explode(t.token_counts(F.col(text))).alias("x")).select(*keys, F.col("x.token").alias("term"), "x.n")
+    words = counted.join(terms.select("term").distinct(), "term", "left_semi")
     return words.join(terms, "term").groupBy(*keys, "tag").agg(F.sum("n").alias("hits")).filter(F.col("hits") >= min_hits)
 
 
-def tag_closure(taxonomy: DataFrame, deepest: int = 64) -> DataFrame:
+def tag_closure(taxonomy: DataFrame) -> DataFrame:
     """(tag, ancestor, distance) pairs of a taxonomy table (tag, parent), each tag its own ancestor at 0.
 
-    Levels are followed until none is left; a taxonomy deeper than ``deepest`` is taken for a cycle.
+    Levels, each written before the next, are followed until none is left; a tag above itself is an error.
     """
     level = taxonomy.select("tag", F.col("tag").alias("ancestor"), F.lit(0).alias("distance"))
     edges = taxonomy.filter("parent IS NOT NULL").select(F.col("tag").alias("ancestor"), "parent")
-    closure = level
-    for d in range(1, deepest + 1):
-        level = level.join(edges, "ancestor").select("tag", F.col("parent").alias("ancestor"), F.lit(d).alias("distance"))
+    closure, d = level, 0
+    while True:
+        d += 1
+        above = level.join(edges, "ancestor").select("tag", F.col("parent").alias("ancestor"), F.lit(d).alias("distance"))
+        level = staged(above, "taxonomy-level")
         if level.isEmpty():
             return closure
+        if not level.filter("tag = ancestor").isEmpty():
+            raise ValueError("the taxonomy holds a cycle")
         closure = closure.unionByName(level)
-    raise ValueError(f"the taxonomy holds a cycle or more than {deepest} levels")
 
 
 def roll_up_tags(tags: DataFrame, taxonomy: DataFrame, keys: list[str]) -> DataFrame:

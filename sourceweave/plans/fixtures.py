@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import drafts as dr
-from ..session import use_all_cores
 from ..sources import config_tables as cfg
 from ..sources import crawl
 
@@ -72,8 +71,7 @@ DOMAIN_TAGS = (("network", ".net"), ("organisation", ".org"), ("weblog", "blog."
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    return use_all_cores(df) if name in ("documents", "pages") else df
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def policies(spark: SparkSession) -> DataFrame:
@@ -98,9 +96,9 @@ def domain_tags(spark: SparkSession) -> DataFrame:
 
 
 def raw_requests(spark: SparkSession, sf: str) -> DataFrame:
-    """One request per benchmark item: its leading words are the topic and subtopics."""
+    """One request per benchmark item: its first word is the topic, all its other distinct words are subtopics."""
     i = F.col("item_id")
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
 
     def by(n: int, step: int, values: list) -> Column:
         c = F.lit(None)
@@ -114,7 +112,7 @@ def raw_requests(spark: SparkSession, sf: str) -> DataFrame:
         .select(
             F.concat(F.lit("run_"), i.cast("string")).alias("run_id"),
             F.get("w", F.lit(0)).alias("topic"),
-            F.slice("w", 2, 3).alias("subtopics"),
+            F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("subtopics"),
             by(3, 1, [
                 F.array(F.lit("learn")),
                 F.array(F.lit("learn"), F.lit("explore")),

@@ -54,9 +54,11 @@ def ascii_lower(x: str) -> str:
 
 
 def unescape(x: str) -> str:
-    for e, c in t.ENTITIES:
-        x = f"replace({x}, {quote(e)}, {quote(c)})"
-    return x
+    names = "MAP {" + ", ".join(f"{quote(k)}: {quote(v)}" for k, v in t.ENTITIES.items()) + "}"
+    name = "regexp_extract(p, '^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);', 1)"
+    code = f"CASE WHEN {name}[2] IN ('x', 'X') THEN ('0x' || {name}[3:])::INT ELSE {name}[2:]::INT END"
+    char = f"CASE WHEN {name} = '' THEN NULL WHEN {name}[1] = '#' THEN CASE WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN chr({code}) END ELSE {names}[{name}] END"
+    return f"array_to_string(list_transform(string_split({x}, '&'), lambda p, i: CASE WHEN i = 1 THEN p ELSE coalesce(({char}) || p[length({name}) + 2:], '&' || p) END), '')"
 
 
 def html_title(h: str) -> str:
@@ -102,12 +104,13 @@ def tier(url: str, trusted: str) -> str:
 
 def marketing(markdown: str, title: str) -> str:
     return contains_any(
-        f"lower(substr({markdown}, 1, {q.MARKETING_WINDOW}) || coalesce({title}, ''))", q.MARKETING_PHRASES
+        f"lower({markdown} || coalesce({title}, ''))",
+        ["sponsored", "advertisement", "promoted", "affiliate", "buy now", "sign up free", "limited time offer"],
     )
 
 
 def mint_id(run: str, url: str, locator: str, digest: str) -> str:
-    return f"'ev_' || substr(sha256(concat_ws(chr(1), {run}, {url}, {locator}, {digest})), 1, 12)"
+    return f"'ev_' || sha256(concat_ws(chr(1), {run}, {url}, {locator}, {digest}))"
 
 
 def numbers(x: str) -> str:
@@ -225,7 +228,7 @@ CTES: dict[str, str] = {
     "c_terms": f"SELECT * FROM {values([(a, w) for a, _, ws in fx.TAXONOMY for w in ws])} AS v(tag, term)",
     "c_taxonomy": f"SELECT * FROM {values([(a, b) for a, b, _ in fx.TAXONOMY])} AS v(tag, parent)",
     "c_domain_tags": f"SELECT * FROM {values(fx.DOMAIN_TAGS)} AS v(tag, pattern)",
-    "c_requests": f"""SELECT 'run_' || item_id AS run_id, w[1] AS topic, coalesce(w[2:4], []) AS subtopics,
+    "c_requests": f"""SELECT 'run_' || item_id AS run_id, w[1] AS topic, coalesce(w[2:], []) AS subtopics,
         {_pick('item_id % 3', [['learn'], ['learn', 'explore'], ['learn', 'explore', 'apply']])} AS paths,
         'general' AS audience,
         {_pick('(item_id // 3) % 3', ['open', 'org-net', 'reviewed'])} AS policy_id,
@@ -236,7 +239,7 @@ CTES: dict[str, str] = {
         CASE WHEN item_id % 5 = 0 THEN DATE '2023-06-30' END AS c_to
       FROM (SELECT item_id, list_transform(list_filter(list_transform(range(1, len(x) + 1), lambda i: {{'i': i, 'v': x[i]}}),
               lambda s: list_position(x, s.v) = s.i), lambda s: s.v) AS w
-            FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS x FROM benchmark))""",
+            FROM (SELECT item_id, regexp_extract_all(lower(text), '\\p{{L}}+') AS x FROM benchmark))""",
     "c_pages": f"SELECT url, {html_title('html')} AS title, {html_to_text('html')} AS markdown FROM pages",
     "c_queries": """SELECT run_id, 0 AS query_pos, topic AS query FROM c_requests
       UNION ALL SELECT run_id, generate_subscripts(subtopics, 1), topic || ' ' || unnest(subtopics) FROM c_requests""",

@@ -239,7 +239,7 @@ def _(x):
 
 
 @query("build_units", f"""SELECT {UNIT}, coalesce(n_cites, 0) AS n_citations, coalesce(n_claims, 0) AS n_claims, round(source_diversity, 9) AS diversity, 
-    'cu_' || substr(sha256(concat_ws(chr(1), run_id, path, iteration)), 1, 12) AS unit_id FROM ({_DIVERSITY})
+    'cu_' || sha256(concat_ws(chr(1), run_id, path, iteration)) AS unit_id FROM ({_DIVERSITY})
     LEFT JOIN (SELECT {UNIT}, count(*) AS n_cites FROM c_resolved_cites GROUP BY ALL) USING ({UNIT})
     LEFT JOIN (SELECT {UNIT}, count(*) AS n_claims FROM c_mapped WHERE claim <> '' GROUP BY ALL) USING ({UNIT}) WHERE iteration = 1""")
 def _(x):

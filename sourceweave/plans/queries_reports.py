@@ -176,7 +176,7 @@ def _(x):
 @query("write_content", f"SELECT run_id AS run_key, document || {LF} AS document FROM ({_DOC})")
 def _(x):
     path = scratch_path(x.spark, "content")
-    sinks.write_content(x.rounds.final, x.jobs, path)
+    sinks.write_content(x.rounds.final, x.jobs, path, folders=True)
     return x.spark.read.text(path, wholetext=True).select("run_key", F.col("value").alias("document"))
 
 
@@ -187,11 +187,11 @@ _RESULT = """SELECT CASE WHEN has_package THEN run_id ELSE job_id END AS run_key
 
 @query("write_result", _RESULT)
 def _(x):
-    """Nested records written as text and read back through a typed parse."""
+    """Nested records written as JSON lines and read back through a typed parse."""
     path = scratch_path(x.spark, "result")
     sinks.write_result(x.jobs, packages(x), x.rounds.gate_results, path)
     shape = "status string, package struct<units:array<struct<path:string>>,evidence:array<struct<id:string>>>, gate_results array<struct<decision:string>>"
-    r = x.spark.read.text(path).select("run_key", F.from_json("value", shape).alias("r"))
+    r = x.spark.read.schema("run_key string, record string").json(path).select("run_key", F.from_json("record", shape).alias("r"))
     size = lambda c: F.when(F.col(c).isNotNull(), F.size(c))
     return r.select("run_key", "r.status", size("r.package.units").alias("n_units"), size("r.package.evidence").alias("n_evidence"), F.size("r.gate_results").alias("n_gates"))
 
@@ -439,11 +439,14 @@ def _(x):
     return s.select("user_id", stamp("session_start").alias("session_start"), "n", stamp("last_ts").alias("last_seen"))
 
 
-@query("usage_sessions_stream")
+@query("usage_sessions_stream", _SESSIONS)
 def _(x):
     base = scratch_path(x.spark, "sessions")
     jobs.usage_sessions_stream(event_stream(x), f"{base}/out", f"{base}/checkpoint", "6 hours", "1 hour").awaitTermination()
-    return jobs.latest(x.spark, f"{base}/out", ["user_id", "session_start"])
+    closed = jobs.latest(x.spark, f"{base}/out", ["user_id", "session_start"]).select("user_id", "session_start", "n", "last_ts")
+    timed = events(x).withColumn("ts", F.col("ts").cast("timestamp"))
+    s = closed.unionByName(triggers.open_sessions(timed, closed, "6 hours"))
+    return s.select("user_id", stamp("session_start").alias("session_start"), "n", stamp("last_ts").alias("last_seen"))
 
 
 @query("source_updates", """SELECT url, event_id, content_hash, previous_hash FROM (SELECT 'https://item.example.org/' || user_id AS url, event_id, event_type AS content_hash,

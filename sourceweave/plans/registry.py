@@ -110,9 +110,8 @@ class Inputs:
             answers = fx.model_responses(self.requests, self.evidence, self.picks, iteration)
             return dr.parse_drafts(answers.join(open_rows.select("run_id", "path"), ["run_id", "path"], "left_semi"))
 
-        limit = max(row[4] for row in cfg.GATE_DEFAULTS)
         config = cfg.default_gate_profiles(self.spark)
-        return rewrite.rewrite_rounds(self.requests, self.evidence, config, write, self.judge, limit)
+        return rewrite.rewrite_rounds(self.requests, self.evidence, config, write, self.judge)
 
     @cached_property
     def citations(self) -> DataFrame:
@@ -122,7 +121,7 @@ class Inputs:
     @cached_property
     def jobs(self) -> DataFrame:
         """One job per request, failed when nothing was found, else by its gate results."""
-        status = pk.job_status(self.requests, self.rounds.gate_results, pk.no_evidence(self.requests, self.evidence))
+        status = pk.job_status(self.requests, self.rounds.gate_results, pk.failures(self.requests, self.evidence, d.unknown_policy(self.requests, self.policies)))
         rows = status.select(
             "run_id", F.concat(F.lit("job_"), F.substring("run_id", 5, 20)).alias("job_id"), "status", F.col("error").isNull().alias("has_package"), "error"
         )

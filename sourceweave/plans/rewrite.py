@@ -26,12 +26,12 @@ class Rounds:
 
 
 def rewrite_rounds(
-    requests: DataFrame, evidence: DataFrame, config: DataFrame, write: Writer, judge: Judge, max_iterations: int
+    requests: DataFrame, evidence: DataFrame, config: DataFrame, write: Writer, judge: Judge, max_iterations: int | None = None
 ) -> Rounds:
     """Draft, judge and gate; rows that fail come back with their feedback until they pass, go to review,
     draft nothing or reach their profile's limit.
 
-    The loop is bounded by ``max_iterations`` (the largest limit in ``config``). Each round is one job over
+    The loop is bounded by the largest limit in ``config``, or by ``max_iterations`` if that is less. Each round is one job over
     the open rows; its drafts, units, reports and decisions are written to the shared checkpoint folder and read back, so the
     plan does not grow and a lost executor costs one round at most. Only an emptiness test reaches the driver.
     """
@@ -43,7 +43,8 @@ def rewrite_rounds(
         .withColumn("feedback", F.lit(None).cast("string"))
     )
     done: list[str] = []
-    for i in range(1, max_iterations + 1):
+    largest = config.agg(F.max("max_writer_iterations")).first()[0] or 0
+    for i in range(1, min(largest, max_iterations or largest) + 1):
         # drafts are the model's answers: kept, never asked for twice
         drafts = staged(write(open_rows, i).filter(F.coalesce("content", F.lit("")) != ""), f"drafts-{i}")
         units = staged(dr.build_units(drafts, evidence), f"units-{i}")

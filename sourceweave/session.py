@@ -18,12 +18,11 @@ def build_session(app: str = "sourceweave", master: str | None = None, shuffle_p
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # ranks up to this limit are cut in each task before the shuffle
+        .config("spark.sql.optimizer.windowGroupLimitThreshold", "100000")
     )
     if master:
-        # one process: little data per task, so let small shuffles still use every core
-        b = b.master(master).config("spark.driver.memory", "12g").config(
-            "spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k"
-        )
+        b = b.master(master).config("spark.driver.memory", "12g")
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return b.getOrCreate()
@@ -58,9 +57,3 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def use_all_cores(df: DataFrame) -> DataFrame:
-    """Spread an input read as fewer pieces than there are cores; larger inputs stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -42,8 +42,10 @@ def read_crawl(raw: DataFrame) -> DataFrame:
 
 
 def pages_as_fetches(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Pages holding HTML -> raw fetches with cleaned text; pairs with :func:`read_crawl`."""
+    """Pages holding HTML -> raw fetches with cleaned text and the page's metadata; pairs with :func:`read_crawl`."""
     h = F.col(html)
+    entries = F.array(*[F.struct(F.lit(k).alias("key"), t.html_meta(h, k).alias("value")) for k in (*TITLE_KEYS[1:], *AUTHOR_KEYS, *DATE_KEYS)])
+    meta = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
     return pages.select(
         F.col(url).alias("url"),
         F.lit(True).alias("fetched"),
@@ -51,7 +53,7 @@ def pages_as_fetches(pages: DataFrame, url: str = "url", html: str = "html") ->
         t.html_title(h).alias("title"),
         t.html_to_text(h).alias("markdown"),
         h.alias("raw_html"),
-        F.create_map().cast("map<string,string>").alias("metadata"),
+        meta.alias("metadata"),
     )
 
 

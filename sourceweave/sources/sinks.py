@@ -37,6 +37,8 @@ def result_records(jobs: DataFrame, packages: DataFrame, gate_results: DataFrame
 
 
 def _save(rows: DataFrame, path: str, folders: bool, text: bool = False) -> None:
+    if folders:  # a run's rows in one task, which opens one file
+        rows = rows.repartition("run_key")
     w = rows.write.mode("overwrite").option("timestampFormat", ISO)
     if not folders:
         w.json(path)
@@ -46,16 +48,16 @@ def _save(rows: DataFrame, path: str, folders: bool, text: bool = False) -> None
         w.partitionBy("run_key").json(path)
 
 
-def write_result(jobs: DataFrame, packages: DataFrame, gate_results: DataFrame, path: str, folders: bool = True) -> None:
+def write_result(jobs: DataFrame, packages: DataFrame, gate_results: DataFrame, path: str, folders: bool = False) -> None:
     _save(result_records(jobs, packages, gate_results), path, folders, text=True)
 
 
-def write_content(units: DataFrame, jobs: DataFrame, path: str, folders: bool = True) -> None:
+def write_content(units: DataFrame, jobs: DataFrame, path: str, folders: bool = False) -> None:
     docs = content_document(units, jobs).select(F.col("run_id").alias("run_key"), F.col("document").alias("value"))
     _save(docs, path, folders, text=True)
 
 
-def write_evidence_json(jobs: DataFrame, evidence: DataFrame, path: str, folders: bool = True) -> None:
+def write_evidence_json(jobs: DataFrame, evidence: DataFrame, path: str, folders: bool = False) -> None:
     """Evidence rows of runs that have a package, as JSON lines; other runs simply have no rows."""
     rows = evidence.join(jobs.filter("has_package").select("run_id"), "run_id", "left_semi")
     _save(rows.withColumn("run_key", F.col("run_id")), path, folders)
@@ -77,5 +79,5 @@ def verification_rows(jobs: DataFrame, scores: DataFrame, gate_results: DataFram
     )
 
 
-def write_verification(jobs: DataFrame, scores: DataFrame, gate_results: DataFrame, path: str, folders: bool = True) -> None:
+def write_verification(jobs: DataFrame, scores: DataFrame, gate_results: DataFrame, path: str, folders: bool = False) -> None:
     _save(verification_rows(jobs, scores, gate_results), path, folders)

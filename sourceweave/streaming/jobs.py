@@ -16,11 +16,6 @@ from ..sources import crawl, store
 from . import triggers
 
 
-def read_table_stream(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
-    """Files of one table as a stream (new files are new rows)."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").parquet(folder)
-
-
 def page_evidence(fetches: DataFrame, run_id: Column, retrieved_at: Column) -> DataFrame:
     """Raw fetches -> evidence rows with the batch operators; page order is by URL."""
     pages = d.drop_empty_pages(crawl.read_crawl(fetches).withColumn("run_id", run_id).withColumn("page_pos", F.lit(0)))
@@ -87,8 +82,16 @@ def usage_sessions_stream(events: DataFrame, path: str, checkpoint: str, gap: st
     return write_updates(triggers.usage_sessions(timed, gap), path, checkpoint, "append")
 
 
+def compact(spark: SparkSession, path: str, keys: list[str], target: str) -> None:
+    """The newest row per key as a table of its own at ``target``, for readers of a long-running :func:`write_updates`."""
+    latest(spark, path, keys).write.mode("overwrite").parquet(target)
+
+
 def job_events_stream(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Current state per job from its event stream (job_id, status, stage, ts, event_id)."""
+    """Current state per job from its event stream (job_id, status, stage, ts, event_id).
+
+    State is held for each job seen; its size is that of the job table.
+    """
     return write_updates(triggers.job_state(events), path, checkpoint, "update")
 
 

@@ -50,6 +50,13 @@ def usage_sessions_table(events: DataFrame, gap: str) -> DataFrame:
     ).drop("_s")
 
 
+def open_sessions(events: DataFrame, closed: DataFrame, gap: str) -> DataFrame:
+    """Sessions that a stream has not given yet: of each user's signals after the last closed session."""
+    last = closed.groupBy("user_id").agg(F.max("last_ts").alias("_upto"))
+    rest = events.join(last, "user_id", "left").filter(F.col("_upto").isNull() | (F.col("ts") > F.col("_upto"))).drop("_upto")
+    return usage_sessions_table(rest, gap)
+
+
 def job_state(events: DataFrame) -> DataFrame:
     """Latest status and stage per job and the number of events seen."""
     at = F.struct("ts", "event_id")

@@ -79,4 +79,4 @@ def test_bottleneck(spark):
 def test_cyclic_taxonomy_is_refused(spark):
     tree = spark.createDataFrame([("a", "b"), ("b", "a")], "tag string, parent string")
     with pytest.raises(ValueError):
-        tg.tag_closure(tree, 4)
+        tg.tag_closure(tree)

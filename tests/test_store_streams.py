@@ -35,6 +35,23 @@ def test_writes_follow_the_sequential_rule(spark):
     assert store.write_evidence(batch(spark, rows), path, ["pos"]) == 0
 
 
+def test_equal_rows_go_in_once_and_rows_without_keys_never(spark):
+    path = scratch_path(spark, "t-equal")
+    rows = batch(spark, [("a", "h1", 0), ("a", "h1", 0), ("b", None, 1), (None, "h2", 2), (None, None, 3), ("c", "h2", 4)])
+    assert store.write_evidence(rows, path, ["pos"]) == 2
+    assert sorted((r.id, r.excerpt_hash) for r in store.read_store(spark, path).collect()) == [("a", "h1"), ("c", "h2")]
+    assert store.rejected(rows).count() == 3
+    assert store.write_evidence(rows, path, ["pos"]) == 0
+
+
+def test_only_the_batch_s_buckets_are_read(spark):
+    path = scratch_path(spark, "t-buckets")
+    store.write_evidence(batch(spark, [(f"i{n}", f"{n:02x}aa", n) for n in range(64)]), path, ["pos"])
+    plan = store.read_store(spark, path, ["05"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(hash_bucket" in plan and plan.count("hash_bucket") > 0
+    assert [r.id for r in store.read_store(spark, path, ["05"]).collect()] == ["i5"]
+
+
 def test_hot_hash_leaves_one_row(spark):
     path = scratch_path(spark, "t-hot")
     rows = [(f"i{n}", "same" if n % 3 else f"h{n}", n) for n in range(300)]

@@ -4,6 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from sourceweave.functions import json_text, text as t
+from sourceweave.sources import crawl
 
 
 def one(spark, column, **values):
@@ -98,3 +99,22 @@ def test_extract_json(spark):
     }
     df = spark.createDataFrame([(c,) for c in cases], "c string")
     assert {r.c: r.j for r in df.select("c", json_text.extract_json(F.col("c")).alias("j")).collect()} == cases
+
+
+def test_pages_with_entities_bare_signs_and_nested_blocks(spark):
+    html = (
+        '<html><head><title>A &amp; B</title><meta name="author" content="Jo &eacute;"><meta content="2024-05-06T07:08:09Z" property="article:published_time"></head>'
+        "<body><header>Top</header><p>Caf&eacute; &#8217;tis &#x2014; a < b and c > d &unknown; &amp;lt;</p>"
+        '<div class="ad">buy <div>now</div> more</div><p>end</p></body></html>'
+    )
+    df = spark.createDataFrame([(html, "u")], "html string, url string")
+    text = df.select(t.html_to_text(F.col("html"))).first()[0]
+    assert text == "Top\n\nCafé ’tis — a < b and c > d &unknown; &lt;\n\nend"
+    row = crawl.read_crawl(crawl.pages_as_fetches(df)).first()
+    assert (row.title, row.author, row.published_date) == ("A & B", "Jo é", "2024-05-06T07:08:09Z")
+
+
+def test_token_counts(spark):
+    df = spark.createDataFrame([("b a b A c",), ("",), (None,)], "s string")
+    rows = df.select(t.token_counts(F.col("s")).alias("c")).collect()
+    assert [(x.token, x.n) for x in rows[0].c] == [("a", 2), ("b", 2), ("c", 1)] and rows[1].c == [] and rows[2].c is None
