@@ -3,10 +3,14 @@
 Two permutations make every signature coordinate: sigma scatters the shingle hashes once, and coordinate k is the
 least pi(sigma(x) + k) modulo 2**32, that is, pi shifted by k. Bands of equal coordinates give candidate buckets.
 
-Buckets are never expanded into all pairs. Round t compares the 2**t next members of each bucket that share most
-buckets (its pivots) with the members that are not yet known to hang together with them; verified links merge
-components, and a bucket is done once it lies in one component or all its members have been pivots. In a group of
-copies one or two pivots suffice, and no link between different texts can be lost within a bucket.
+Buckets are never expanded into all pairs. The member of a bucket that shares most buckets is its pivot, and every
+member is compared with it (its star). Two members that the pivot does not link anyway can only be linked
+
+- if their sizes allow it although all they have beyond the pivot differs, or
+- if they share as many shingles beyond the pivot as the bound asks for, so they meet under a rare one of these.
+
+Such pairs are compared on full sets. A shingle that very many members of a star share makes them a bucket of the next
+round, with a pivot of its own. So no link within a bucket is lost, and a group of copies costs about one star.
 """
 
 from __future__ import annotations
@@ -16,15 +20,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, salted_join, staged, words
+from .common import keyed_join, lower_ascii, staged, words
 from .components import components
-
-#: Words hashed at a time inside a task.
-CHUNK_WORDS = 1_000_000
+from .word_hashes import WordHashes, as_bytes, mix64, pieces
 
 
 @dataclass(frozen=True)
@@ -38,20 +39,6 @@ class Rule:
     rows: int = 4
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def _mix64(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x ^= x >> np.uint64(33)
-    x *= np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
 def _pi(x: np.ndarray, shift: int, out: np.ndarray, tmp: np.ndarray) -> np.ndarray:
     """A fixed permutation of 0..2**32-1, applied at ``x + shift``."""
     np.add(x, np.uint32(shift), out=out)
@@ -65,19 +52,17 @@ def _pi(x: np.ndarray, shift: int, out: np.ndarray, tmp: np.ndarray) -> np.ndarr
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text; a shorter text is one shingle, one without words none."""
-    known, out = _Hashes(), []
+    known, out = WordHashes(), []
     for text in texts:
         parts = text.lower().split()
-        h = np.fromiter(map(known.__getitem__, parts), np.uint64, len(parts))
-        if len(known) > 2_000_000:
-            known.clear()
+        h = known.of(parts)
         if len(h) == 0:
             out.append(h)
             continue
         width = min(k, len(h))
         mixed = np.full(len(h) - width + 1, len(h) if len(h) < k else k, np.uint64)
         for i in range(width):
-            mixed = _mix64(mixed * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(mixed)])
+            mixed = mix64(mixed * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(mixed)])
         out.append(np.unique(mixed))
     return out
 
@@ -86,38 +71,23 @@ def _band_keys(sets: list[np.ndarray], rule: Rule) -> np.ndarray:
     """One row of ``bands`` bucket keys for each non-empty set."""
     flat = np.concatenate(sets)
     starts = np.cumsum([0, *map(len, sets[:-1])])
-    sigma = (_mix64(flat + np.uint64(0x632BE59BD9B4E019)) >> np.uint64(32)).astype(np.uint32)
+    sigma = (mix64(flat + np.uint64(0x632BE59BD9B4E019)) >> np.uint64(32)).astype(np.uint32)
     values, tmp = np.empty_like(sigma), np.empty_like(sigma)
     keys = np.empty((len(sets), rule.bands), np.uint64)
     for b in range(rule.bands):
         mixed = np.full(len(sets), b + 1, np.uint64)
         for r in range(rule.rows):
             least = np.minimum.reduceat(_pi(sigma, b * rule.rows + r, values, tmp), starts)
-            mixed = _mix64(mixed * np.uint64(0x9E3779B97F4A7C15) + least.astype(np.uint64))
+            mixed = mix64(mixed * np.uint64(0x9E3779B97F4A7C15) + least.astype(np.uint64))
         keys[:, b] = mixed
     return keys
 
 
-def _pieces(texts: list[bytes]) -> Iterator[slice]:
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size > 6 * CHUNK_WORDS:
-            yield slice(start, i + 1)
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))
-
-
-def _bytes(column: pa.Array) -> list[bytes]:
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
-
-
 def _signer(rule: Rule):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _bytes(batch["text"])
-            for part in _pieces(texts):
+            texts = as_bytes(batch["text"])
+            for part in pieces(texts):
                 sets = shingle_sets(texts[part], rule.shingle)
                 full = [s for s in sets if len(s)]
                 sizes = np.array([len(s) for s in sets], np.int64)
@@ -134,8 +104,8 @@ def _signer(rule: Rule):
 def _setter(rule: Rule):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _bytes(batch["text"])
-            for part in _pieces(texts):
+            texts = as_bytes(batch["text"])
+            for part in pieces(texts):
                 sets = shingle_sets(texts[part], rule.shingle)
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 flat = np.concatenate(sets).view(np.int64)
@@ -149,12 +119,24 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.array_join(words(lower_ascii(text)), " ")))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+def _linked(rule: Rule, size: Column, other: Column, common: Column) -> Column:
+    return rule.den * common >= rule.num * (size + other - common)
+
+
+def _of_use(rule: Rule) -> Column:
+    """Buckets that may hold a link: two members must have sizes that allow one."""
+    return (F.col("n") > 2) | ((F.col("n") == 2) & (rule.den * F.col("least") >= rule.num * F.col("most")))
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    one = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    return one.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
+
+
+def _links(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough, as links (u, v)."""
-    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-    two = one.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = two.select("a", "b", (F.size("sa") + F.size("sb")).alias("sizes"), F.size(F.array_intersect("sa", "sb")).alias("common"))
-    return both.where(rule.den * F.col("common") >= rule.num * (F.col("sizes") - F.col("common"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    both = _with_sets(pairs, sets).select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
+    return both.where(_linked(rule, F.col("na"), F.col("nb"), F.col("common"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def near_groups(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -171,51 +153,113 @@ def near_groups(docs: DataFrame, rule: Rule) -> DataFrame:
     classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     in_bands = classes.select("node", "size", F.explode("bands").alias("bucket"))
-    shared = staged(in_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    sizes = in_bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("least"), F.max("size").alias("most"))
+    shared = staged(sizes.where(_of_use(rule)).select("bucket", "n"), "buckets")
     placed = staged(in_bands.join(shared, "bucket"), "placed")
     weights = placed.groupBy("node").agg(F.sum("n").alias("weight"))
-    members = staged(placed.join(weights, "node"), "members")
+    members = staged(placed.join(weights, "node").select("bucket", "node", "size", "weight"), "members")
 
     wanted = members.select("node").distinct().join(classes, "node").select("node", "key", F.coalesce("least", F.lit(-(2**63))).alias("id"))
     texts = keyed.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)))).join(staged(wanted, "wanted"), ["key", "id"])
     once = texts.groupBy("node").agg(F.first("text").alias("text"))
     sets = staged(once.mapInArrow(_setter(rule), "node long, shingles array<long>"), "shingle-sets")
 
-    labels = _linked(members, sets, rule)
+    labels = _labels(members, sets, rule)
     spark = docs.sparkSession
     empty = spark.createDataFrame([], "node long, label long")
     labels = labels if labels is not None else empty
     of_class = classes.join(labels, "node", "left").select("key", "least", F.coalesce("label", "node").alias("label"))
-    first = of_class.groupBy("label").agg(F.min("least").alias("component_id"))
-    found = staged(salted_join(of_class, first, ["label"], "inner", F.col("key"), 16).select("key", "component_id"), "components")
-    ids = salted_join(signed.select("doc_id", "key", "n_shingles"), found, ["key"], "left", F.coalesce("doc_id", F.lit(0)), 16)
+    first = staged(of_class.groupBy("label").agg(F.min("least").alias("component_id")), "firsts")
+    found = staged(keyed_join(of_class, first, ["label"], "inner").select("key", "component_id"), "components")
+    ids = keyed_join(signed.select("doc_id", "key", "n_shingles"), found, ["key"], "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return ids.select("doc_id", "key", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
-def _linked(members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame | None:
-    """Component labels of the members by rounds of pivots; None where no bucket is shared."""
-    from pyspark.sql.window import Window
+#: Members of a star that may meet pair by pair under one shingle; where more share it, it becomes a bucket.
+FEW = 2048
+
 
-    labels, links, done = None, None, 0
+def _labels(members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame | None:
+    """Component labels of the members (bucket, node, size, weight); None where there is no link."""
+    labels, buckets = None, members
     while True:
-        if labels is None:
-            current = members.withColumn("label", F.col("node"))
-        else:
-            current = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = current.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.first("n").alias("n"))
-        mixed = staged(mixed.where((F.col("lo") < F.col("hi")) & (F.col("n") - 1 > done)).select("bucket"), "mixed")
-        if mixed.isEmpty():
+        top = F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("top")
+        pivots = buckets.groupBy("bucket").agg(top, F.count(F.lit(1)).alias("n"), F.min("size").alias("least"), F.max("size").alias("most"))
+        pivots = staged(pivots.where(_of_use(rule)).select("bucket", "n", (-F.col("top.minus")).alias("a")), "pivots")
+        met = buckets.join(pivots, "bucket").where("node <> a")
+        pairs = met.groupBy("a", F.col("node").alias("b")).agg(F.max("n").alias("n"), F.max("weight").alias("weight"))
+        pairs = staged(pairs, "star-pairs")
+        if pairs.isEmpty():
             return labels
-        active = staged(current.join(mixed, "bucket"), "active")
-        upto = 2 * done + 1
-        order = Window.partitionBy("bucket").orderBy(F.desc("weight"), "node")
-        ranked = active.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= upto).where(F.col("rank") > done)
-        pivots = staged(ranked.select("bucket", F.col("node").alias("pivot"), F.col("label").alias("there"), F.col("size").alias("big")), "pivots")
-        near = (F.col("label") != F.col("there")) & (rule.den * F.least("size", "big") >= rule.num * F.greatest("size", "big"))
-        pairs = active.join(pivots, "bucket").where(near).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        found = staged(_verified(staged(pairs, "pairs"), sets, rule), "found")
-        done = upto
-        if not found.isEmpty():
-            links = found if links is None else labels.select(F.col("node").alias("u"), F.col("label").alias("v")).union(found)
-            labels = components(links)
+        both = _with_sets(pairs, sets)
+        stars = staged(
+            both.select(
+                "a", "b", "weight", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"),
+                F.when(F.col("n") > 2, F.array_except("sb", "sa")).alias("beyond"),
+            ),
+            "stars",
+        )
+        labels = _joined(labels, stars.where(_linked(rule, F.col("na"), F.col("nb"), F.col("common"))).select(F.col("a").alias("u"), F.col("b").alias("v")))
+        own = _linked(rule, F.col("na"), F.col("nb"), F.col("common"))
+        held = stars.where("beyond IS NOT NULL").select("a", "b", "weight", F.col("nb").alias("n"), "common", "beyond", own.alias("own"))
+        held = held.join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("label", "b")) if labels is not None else held.withColumn("label", F.col("b"))
+        # stars whose members are not all in one component
+        mixed = staged(held.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("a"), "mixed")
+        open_stars = staged(held.join(mixed, "a"), "open-stars")
+        near, buckets = _within(open_stars, rule)
+        labels = _joined(labels, _links(staged(near, "near-pairs"), sets, rule))
+
+
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    links = staged(links, "found")
+    if links.isEmpty():
+        return labels
+    return components(links if labels is None else labels.select(F.col("node").alias("u"), F.col("label").alias("v")).union(links))
+
+
+def _within(stars: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """From open stars (a, b, weight, n, common, beyond, own, label): pairs to compare, and buckets for the next round.
+
+    ``common`` counts the member's shingles in the pivot, ``own`` tells whether the pivot links it. Members of sizes n
+    and m can be linked only if they share at least num * (n + m) / (num + den) shingles, at most the lesser ``common``
+    of them in the pivot. What is missing they must share beyond it; the least of that over all sizes in the star is the
+    member's ``need``. A member that needs k shared shingles meets others under all but its k - 1 most frequent ones.
+    """
+    whole = rule.num + rule.den
+    sizes = stars.groupBy("a", "n").agg(F.max("common").alias("most")).groupBy("a").agg(F.collect_list(F.struct("n", "most")).alias("sizes"))
+    short = lambda m, most: F.ceil((rule.num * (F.col("n") + m) - whole * F.least(F.col("common"), most)) / F.lit(whole))
+    need = F.array_min(F.transform("sizes", lambda x: short(x["n"], x["most"])))
+    told = staged(stars.join(staged(sizes, "star-sizes"), "a").withColumn("need", need).drop("sizes"), "needs")
+
+    slim = told.where("need <= 0").select("a", "b", "n", "common", "own", "label")
+    one, two = slim.where("NOT own").alias("l"), slim.alias("r")
+    enough = whole * F.least("l.common", "r.common") >= rule.num * (F.col("l.n") + F.col("r.n"))
+    direct = one.join(two, (F.col("l.a") == F.col("r.a")) & (F.col("l.label") != F.col("r.label")) & enough)
+
+    met = told.select("a", F.explode("beyond").alias("shingle"), "b", "n", "label", "weight", "need")
+    counts = met.groupBy("a", "shingle").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    counts = staged(counts.where("lo < hi").select("a", "shingle", "size"), "shared-shingles")
+    ordered = met.join(counts, ["a", "shingle"]).groupBy("a", "b").agg(
+        F.sort_array(F.collect_list(F.struct("size", "shingle"))).alias("shared"), *[F.first(c).alias(c) for c in ("n", "label", "weight", "need")]
+    )
+    first = ordered.withColumn("shared", F.slice("shared", 1, F.greatest(F.size("shared") - F.greatest("need", F.lit(1)).cast("int") + 1, F.lit(0))))
+    keyed = staged(first.select("a", "b", "n", "label", "weight", F.explode("shared").alias("x")).select("a", "b", "n", "label", "weight", "x.size", "x.shingle"), "met")
+    few = keyed.where(F.col("size") <= FEW)
+    left, right = few.alias("l"), few.alias("r")
+    meets = (F.col("l.a") == F.col("r.a")) & (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.b") < F.col("r.b")) & (F.col("l.label") != F.col("r.label"))
+    pairs = direct.select("l.b", F.col("r.b").alias("c")).union(left.join(right, meets).select("l.b", F.col("r.b").alias("c")))
+    near = pairs.select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct()
+    many = keyed.where(F.col("size") > FEW)
+    return near, many.select(F.xxhash64("a", "shingle").alias("bucket"), F.col("b").alias("node"), F.col("n").alias("size"), "weight")
+
+
+def one_of_each(docs: DataFrame, rule: Rule) -> DataFrame:
+    """Rows of ``docs``, with all their columns, that are the first of their near-duplicate group; repeated rows once.
+
+    Rows without words stay, each distinct one once.
+    """
+    kept = near_groups(docs, rule).where("kept").select("doc_id", "key").distinct()
+    mine = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_key": text_key(F.col("text"))})
+    chosen = kept.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), F.col("key").alias("_key"))
+    return mine.join(chosen, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).drop("_id", "_key")

@@ -86,7 +86,7 @@ FROM d LEFT JOIN by_row USING (r)
 
 @query("op2_circulant_minhash")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
-    rule = minhash.Rule(shingle=3, num=85, den=100, bands=32, rows=4)
+    rule = minhash.Rule(shingle=3, num=85, den=100, bands=36, rows=5)
     found = minhash.near_groups(read(spark, sf, "documents").select("doc_id", "text"), rule)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
