@@ -6,6 +6,9 @@ grow with the excerpts, not with excerpts times topics.
 
 from __future__ import annotations
 
+import json
+import random
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -73,3 +76,36 @@ def relevance_cap(evidence: DataFrame, similarities: DataFrame, per_run: int) ->
         F.when(~by_length, F.col("similarity")).desc_nulls_last(), F.when(by_length, F.col("n_chars")).desc_nulls_last(), "id"
     )
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_run).drop("_has")
+
+
+#: Hash tables and signs per table of the candidate search; more tables find more, more signs mean smaller buckets.
+TABLES, SIGNS = 24, 5
+
+
+def _planes(dim: int, tables: int, signs: int) -> Column:
+    """Random hyperplanes as one constant: a list of vectors for each table and sign. The seed is fixed."""
+    rng = random.Random(dim)
+    return F.from_json(F.lit(json.dumps([[round(rng.gauss(0, 1), 4) for _ in range(dim)] for _ in range(tables * signs)])), "array<array<double>>")
+
+
+def hash_buckets(vectors: DataFrame, key: str, dim: int, tables: int = TABLES, signs: int = SIGNS) -> DataFrame:
+    """(key, bucket): the bucket of each vector in every table, from the sides of its hyperplanes on which it lies."""
+    sides = F.transform(F.col("_planes"), lambda p: F.when(dot(F.col("embedding"), p) > 0, "1").otherwise("0"))
+    names = F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda i: F.concat(i.cast("string"), F.lit(":"), F.array_join(F.slice("_sides", i * signs + 1, signs), "")))
+    rows = vectors.withColumn("_planes", _planes(dim, tables, signs)).withColumn("_sides", sides)
+    return rows.select(key, F.explode(names).alias("bucket"))
+
+
+def knn_queries(queries: DataFrame, vectors: DataFrame, k: int, dim: int, tables: int = TABLES, signs: int = SIGNS) -> DataFrame:
+    """The nearest ``k`` of ``vectors`` (id, embedding) to each of ``queries`` (query, embedding): query, id, similarity, rank.
+
+    Filter ``vectors`` by metadata before. Candidates share a bucket with the query in at least one table (an equi join);
+    their cosine is exact. A neighbour at angle a is missed with chance (1 - (1 - a / pi) ** signs) ** tables.
+    """
+    asked = hash_buckets(queries, "query", dim, tables, signs)
+    held = hash_buckets(vectors, "id", dim, tables, signs)
+    met = held.join(asked, "bucket").select("query", "id").distinct()
+    near = met.join(vectors, "id").join(queries.select("query", F.col("embedding").alias("_q")), "query")
+    ranked = near.select("query", "id", F.round(cosine(F.col("embedding"), F.col("_q")), DIGITS).alias("similarity"))
+    best = W.partitionBy("query").orderBy(F.col("similarity").desc_nulls_last(), "id")
+    return ranked.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

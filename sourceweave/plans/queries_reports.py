@@ -366,6 +366,15 @@ def _(x):
     return near.select("label", "vec_id", "similarity", "rank")
 
 
+@query("knn_queries")
+def _(x):
+    """Every vector whose id is divisible by 50 against all English ones; recall is tested against brute force."""
+    e = x.table("embeddings")
+    english = x.table("documents").filter("lang = 'en'").select(F.col("doc_id").alias("vec_id"))
+    held = e.join(english, "vec_id", "left_semi").select(F.col("vec_id").alias("id"), "embedding")
+    return rk.knn_queries(e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "embedding"), held, 10, DIM)
+
+
 _RUN = "source || '/' || lang"
 
 

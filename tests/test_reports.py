@@ -3,6 +3,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from sourceweave.operators import discovery as d
 from sourceweave.operators import package as pk
 from sourceweave.operators import ranking as rk
 from sourceweave.operators import style as st
@@ -80,3 +81,53 @@ def test_cyclic_taxonomy_is_refused(spark):
     tree = spark.createDataFrame([("a", "b"), ("b", "a")], "tag string, parent string")
     with pytest.raises(ValueError):
         tg.tag_closure(tree)
+
+
+def test_nearest_of_query_vectors(spark):
+    import math
+    import random
+
+    rng = random.Random(3)
+    centres = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(12)]
+    rows = [(i, [float(c + rng.gauss(0, 0.6)) for c in centres[i % 12]]) for i in range(600)]
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    vectors = spark.createDataFrame(rows, "id long, embedding array<double>")
+    asked = vectors.filter("id % 50 = 0").withColumnRenamed("id", "query")
+    got = rk.knn_queries(asked, vectors, 10, 16).collect()
+    hits = 0
+    for q in range(0, 600, 50):
+        best = sorted(range(600), key=lambda i: (-round(cos(rows[q][1], rows[i][1]), 6), i))[:10]
+        mine = {r.id: r for r in got if r.query == q}
+        assert all(abs(r.similarity - cos(rows[q][1], rows[i][1])) < 2e-6 for i, r in mine.items())
+        hits += len(set(best) & set(mine))
+    assert hits >= 0.9 * 120
+
+
+def test_wrong_vector_length_is_an_error(spark):
+    df = spark.createDataFrame([("a", [1.0, 2.0, 3.0])], "label string, embedding array<float>")
+    with pytest.raises(Exception, match="components"):
+        rk.topic_vectors(df, ["label"], 2).collect()
+
+
+# --- plans
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counts_inside_the_row_do_not_shuffle(spark):
+    df = spark.createDataFrame([("u", "a b c a b c")], "k string, content string")
+    assert "Exchange" not in plan(st.repeated_ngrams(df, ["k"]))
+    assert [(r.ngram, r.n, r["rank"]) for r in st.repeated_ngrams(df, ["k"]).collect()] == [("a b c", 2, 1)]
+
+
+def test_ranks_are_cut_before_the_shuffle(spark):
+    rows = spark.range(100_000).selectExpr("id % 7 AS run_id", "id AS page_pos", "id AS source_rank", "id AS n_chars")
+    assert plan(d.cap_total(rows, 2_000)).count("WindowGroupLimit") >= 2
+
+
+def test_no_python_and_no_cross_product_in_the_batch_plans(spark):
+    df = spark.createDataFrame([("r", "u", 0, 0, "x", "h")], "run_id string, url string, page_pos int, chunk_pos int, excerpt string, excerpt_hash string")
+    text = plan(d.cap_evidence(df))
+    assert "Python" not in text and "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
