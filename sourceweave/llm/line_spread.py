@@ -47,8 +47,9 @@ def without_boilerplate(docs: DataFrame, site: str = "source") -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, and ``n_lines``, ``n_removed``.
 
     A text that would lose more than ``MOST`` of its words stays whole. A null text stays null with no lines; repeated
-    rows are treated each alike; a doc_id may be null or repeat. Columns named like a result are replaced.
+    rows are treated each alike; a doc_id may be null or repeat. Columns named like a result, or underscored like a step here, are replaced.
     """
+    docs = docs.drop("_id", "_text", "_out", "_marked", "_goes", "_rest")
     key = [F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("_id"), F.xxhash64("text").alias("_text")]
     found = boilerplate(docs, site)
     each = docs.select(*key, F.explode(_hashes()).alias("line")).where("line IS NOT NULL")

@@ -8,6 +8,8 @@ gathered; ties in a bin stay together, and sums are rounded so that reruns decid
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -155,8 +157,10 @@ def with_verdicts(counted: DataFrame) -> DataFrame:
 
     Groups are (lang, source); null and empty names are one group each. Sources with under ``OWN_ROWS`` rows that
     pass the base share a pool by language, and failing that one for all. All rows that pass the base are fitted and
-    judged; texts are not needed, other columns pass through. An empty table gives an empty result.
+    judged; texts are not needed, other columns pass through. An empty table gives an empty result. Input columns that
+    bear a name used here (``kept`` and the underscored ones) are replaced.
     """
+    counted = counted.drop("kept", "_group", "_d", "_n", *[c for c in counted.columns if re.fullmatch(r"_[zmlv]\d(_\d)?", c)])
     vector = dict(zip(VECTOR, _vector(), strict=True))
     keys = {"_lang": F.coalesce("lang", F.lit("")), "_source": F.coalesce("source", F.lit(""))}
     rows = staged(counted.withColumns(vector).withColumns(keys), "outlier-rows")
