@@ -16,15 +16,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-#: Encoded words that a task keeps between batches.
-KNOWN_WORDS = 400_000
+#: Encoded words, and seams, that a task keeps from one part of its texts to the next.
+KNOWN_WORDS = 500_000
 #: Characters of text encoded at a time.
-PIECE_CHARS = 8_000_000
+PIECE_CHARS = 12_000_000
 
 
 def default_model() -> str:
@@ -137,7 +137,7 @@ class Encoder:
     def encode(self, words: list[str]) -> dict[str, tuple[int, ...]]:
         """Ids of each of the sorted distinct ``words``."""
         ids, out, longest = self.v.ids, {}, self.longest
-        bpe, ranks = self.v.bpe, self.v.ranks
+        bpe, ranks, seams = self.v.bpe, self.v.ranks, self.seams
         last: list[str] = [""]
         score: list[float] = [0.0]
         previous = ""
@@ -153,8 +153,12 @@ class Encoder:
                     if piece not in ids:
                         continue
                     if bpe:
-                        if size == end or self._holds(last[end - size], piece):
-                            pick, best = piece, 0.0
+                        if size == end:
+                            pick = piece
+                            break
+                        holds = seams.get((last[end - size], piece))
+                        if self._holds(last[end - size], piece) if holds is None else holds:
+                            pick = piece
                             break
                     elif score[end - size] + ranks[piece] > best:
                         pick, best = piece, score[end - size] + ranks[piece]
@@ -188,51 +192,103 @@ def marked_words(text: str, v: Vocabulary) -> list[str]:
     return _UNITS.findall((MARK if v.prefix else "") + text.replace(" ", MARK))
 
 
+class TextEncoder:
+    """Encodes texts part by part; every distinct word is encoded once and then looked up by number."""
+
+    def __init__(self, v: Vocabulary) -> None:
+        self.v, self.words = v, Encoder(v)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.flat, self.sizes = np.empty(0, np.int32), np.empty(0, np.int64)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids end to end, and where those of each text start and end."""
+        if len(self.numbers) > KNOWN_WORDS:
+            self._forget()
+        numbers, known = self.numbers, len(self.numbers)
+        rows = []
+        for text in texts:
+            words = marked_words(text, self.v)
+            rows.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int32, len(words)))
+        new = list(numbers)[known:]
+        found = self.words.encode(sorted(new))
+        self.sizes = np.concatenate([self.sizes, np.fromiter((len(found[w]) for w in new), np.int64, len(new))])
+        self.flat = np.concatenate([self.flat, np.fromiter((i for w in new for i in found[w]), np.int32)])
+        starts = np.cumsum(self.sizes) - self.sizes
+        words = np.concatenate(rows) if rows else np.empty(0, np.int32)
+        sizes = self.sizes[words]
+        ends = np.cumsum(sizes)
+        ids = self.flat[np.repeat(starts[words] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)]
+        return ids, upto.astype(np.int32)
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Parts of a batch with about ``PIECE_CHARS`` characters, and their texts."""
+    sizes = np.cumsum(pa.compute.fill_null(pa.compute.utf8_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = sizes[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(sizes, before + PIECE_CHARS, "right")))
+        part = batch.slice(start, stop - start)
+        yield part, [t or "" for t in part["text"].to_pylist()]
+        start = stop
+
+
+def _lists(ids: np.ndarray, upto: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(upto), pa.array(ids))
+
+
 def _encode_batches(v: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, known = Encoder(v), {}
+        encoder = TextEncoder(v)
         for batch in batches:
-            start = 0
-            texts = [t or "" for t in batch["text"].to_pylist()]
-            while start < len(texts):
-                stop, held = start, 0
-                while stop < len(texts) and held < PIECE_CHARS:
-                    held += len(texts[stop])
-                    stop += 1
-                words = [marked_words(t, v) for t in texts[start:stop]]
-                new = sorted({w for ws in words for w in ws}.difference(known))
-                if len(known) > KNOWN_WORDS:
-                    known = {}
-                    new = sorted({w for ws in words for w in ws})
-                known |= encoder.encode(new)
-                rows = [np.fromiter((i for w in ws for i in known[w]), np.int32) for ws in words]
-                offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows)))
-                part = batch.slice(start, stop - start)
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*batch.schema.names, "ids"])
-                start = stop
+            for part, texts in _parts(batch):
+                yield pa.RecordBatch.from_arrays([*part.columns, _lists(*encoder.encode(texts))], [*batch.schema.names, "ids"])
 
     return run
 
 
-def _decode_batches(v: Vocabulary):
-    table = [p.encode() for p in v.pieces]
-    if v.bytes_from >= 0:
-        table[v.bytes_from : v.bytes_from + 256] = [bytes([b]) for b in range(256)]
+class TextDecoder:
+    def __init__(self, v: Vocabulary) -> None:
+        self.prefix = v.prefix
+        self.table = [p.encode() for p in v.pieces]
+        if v.bytes_from >= 0:
+            self.table[v.bytes_from : v.bytes_from + 256] = [bytes([b]) for b in range(256)]
 
+    def decode(self, ids: list[int]) -> str:
+        text = b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
+        return text[1:] if self.prefix and text.startswith(" ") else text
+
+
+def _decode_batches(v: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = TextDecoder(v)
         for batch in batches:
-            texts = []
-            for ids in batch["ids"]:
-                values = ids.values
-                text = b"".join(map(table.__getitem__, values.to_pylist())).decode("utf-8", "replace") if values is not None else ""
-                text = text.replace(MARK, " ")
-                texts.append(text[1:] if v.prefix and text.startswith(" ") else text)
+            texts = [decoder.decode(ids.values.to_pylist() if ids.values is not None else []) for ids in batch["ids"]]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     return run
 
 
+def _check_batches(v: Vocabulary):
+    """Encodes and decodes in one task, and hands on the ids without the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = TextEncoder(v), TextDecoder(v)
+        for batch in batches:
+            for part, texts in _parts(batch):
+                ids, upto = encoder.encode(texts)
+                same = [decoder.decode(ids[a:b].tolist()) == t.replace(MARK, " ") for a, b, t in zip(upto[:-1], upto[1:], texts, strict=True)]
+                rest = part.drop_columns(["text"])
+                more = [_lists(ids, upto), pa.array(np.diff(upto).astype(np.int64)), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*rest.columns, *more], [*rest.schema.names, "ids", "n_pieces", "round_trip"])
+
+    return run
+
+
 def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
     """``docs`` with ``ids``: array of the piece ids of ``text``. Null and empty texts have none.
 
@@ -253,6 +309,7 @@ def decode(encoded: DataFrame, v: Vocabulary) -> DataFrame:
 
 def encoded_and_checked(docs: DataFrame, v: Vocabulary) -> DataFrame:
     """``docs`` without the text, with ``ids``, ``n_pieces`` and ``round_trip``: whether decoding gives the text back."""
-    both = decode(encode(docs, v), v)
-    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), MARK, " ")
-    return both.withColumns({"n_pieces": F.size("ids").cast("long"), "round_trip": same}).drop("text", "decoded")
+    rows = docs.drop("ids", "n_pieces", "round_trip")
+    kept = [f for f in rows.schema.fields if f.name != "text"]
+    more = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("round_trip", T.BooleanType())]
+    return rows.mapInArrow(_check_batches(v), T.StructType([*kept, *more]))
