@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import scratch_path, staged
 
-__all__ = ["WORD_GAP", "keyed_join", "lower_ascii", "read", "rounded", "salted_join", "staged", "words"]
+__all__ = ["WORD_GAP", "keyed_join", "lower_ascii", "read", "rounded", "salted_join", "staged", "stored", "words"]
 
 #: A word is a longest run of characters other than these (Java regular expression).
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -33,6 +33,13 @@ def rounded(value: Column, digits: int = 9) -> Column:
     return F.when(value == 0, F.lit(0.0)).otherwise(F.round(value / F.pow(F.lit(10.0), size), digits - 1) * F.pow(F.lit(10.0), size))
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder with the tighter codec, for tables that are large and stay, and read back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def keyed_join(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
     """Equi join with a written table of one row a key.
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged
+from .common import staged, stored
 
 #: Tokens of a sequence, sequences of a shard, sequences of one stored block.
 LENGTH, PER_SHARD, PER_BLOCK = 512, 1024, 128
@@ -112,7 +112,7 @@ def sequences(docs: DataFrame, tokenizer: Tokenizer, length: int = LENGTH) -> Da
     rows are documents each; a null doc_id is stored as the least long. ``index`` follows the chunks of the scan.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), "text")
-    tokens = staged(rows.mapInArrow(_tokenize(tokenizer, length), TOKENS), "tokens")
+    tokens = stored(rows.mapInArrow(_tokenize(tokenizer, length), TOKENS), "tokens")
     chunks = tokens.groupBy("chunk").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("doc_id", "at")).alias("first"))
     order = Window.orderBy("first", "chunk").rowsBetween(Window.unboundedPreceding, -1)
     # one row for each batch of the scan
@@ -159,7 +159,7 @@ def write_shards(numbered: DataFrame, n: int, tokenizer: Tokenizer, key: int, le
     placed = numbered.select("index", "doc_id", "part", "n", "data").mapInArrow(place, "shard long, slot long, doc_id long, part int, n int, data binary")
     shards = max(1, -(-n // per_shard))
     ranged = placed.repartition(min(shards, 20_000), "shard").sortWithinPartitions("slot")
-    return staged(ranged.mapInArrow(fill, "shard long, first_slot long, records int, data binary"), "shards")
+    return stored(ranged.mapInArrow(fill, "shard long, first_slot long, records int, data binary"), "shards")
 
 
 def read_records(shards: DataFrame, tokenizer: Tokenizer, length: int = LENGTH, start: int = 0) -> DataFrame:
