@@ -1,18 +1,12 @@
 """Queries against their check SQL, and the pipeline stage by stage."""
 
-import random
-
+import check
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sourceweave.llm import decontaminate, minhash, pieces, queries
+from sourceweave.llm import decontaminate, minhash, queries
 from sourceweave.session import staged
 
-import check
-
-
-
 SF = "/root/testdata/sf0.001"
 
 
@@ -28,7 +22,7 @@ def test_other_queries_give_their_rows(spark, name):
     assert rows >= n if name.startswith("op3") else rows > 0 if name.startswith("op5") else rows == n
 
 
-def test_pipeline_stages(spark, tmp_path):
+def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     seen = {}
     for name, stage in corpus_pipeline.STAGES:
