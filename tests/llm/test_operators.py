@@ -318,6 +318,21 @@ def test_outliers_are_those_of_the_plain_estimate(spark):
     assert np.mean([got[i].kept for i in range(400) if i % 13 and i % 17]) > 0.99
 
 
+def test_junk_of_nearly_half_a_group_goes(spark):
+    rng = random.Random(40)
+    junk = {"clean": 0, "third": 33, "more": 40}
+    rows = []
+    for source, share in junk.items():
+        for i in range(200):
+            text = sentence(rng, rng.randint(60, 120), 3000)
+            if i % 100 < share:
+                text = " ".join(x + rng.choice(["###", "$$$", "&&&"]) for x in text.split())
+            rows.append((len(rows), text, source))
+    docs = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], DOCS)
+    kept = {r.doc_id: r.kept for r in quality_outliers.quality(docs).collect()}
+    assert [kept[i] for i, _, _ in rows] == [i % 100 >= junk[s] for i, _, s in rows]
+
+
 def test_quality_of_odd_rows(spark):
     rows = odd_rows(random.Random(3))
     got = quality_outliers.quality(documents(spark, rows, ["kept", "_group", "_d"]))
