@@ -6,9 +6,6 @@ grow with the excerpts, not with excerpts times topics.
 
 from __future__ import annotations
 
-import json
-import random
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -78,34 +75,34 @@ def relevance_cap(evidence: DataFrame, similarities: DataFrame, per_run: int) ->
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_run).drop("_has")
 
 
-#: Hash tables and signs per table of the candidate search; more tables find more, more signs mean smaller buckets.
-TABLES, SIGNS = 24, 5
-
-
-def _planes(dim: int, tables: int, signs: int) -> Column:
-    """Random hyperplanes as one constant: a list of vectors for each table and sign. The seed is fixed."""
-    rng = random.Random(dim)
-    return F.from_json(F.lit(json.dumps([[round(rng.gauss(0, 1), 4) for _ in range(dim)] for _ in range(tables * signs)])), "array<array<double>>")
+#: Vectors and queries that are compared with each other inside one row.
+BLOCK, QUERY_BLOCK = 256, 64
 
 
-def hash_buckets(vectors: DataFrame, key: str, dim: int, tables: int = TABLES, signs: int = SIGNS) -> DataFrame:
-    """(key, bucket): the bucket of each vector in every table, from the sides of its hyperplanes on which it lies."""
-    sides = F.transform(F.col("_planes"), lambda p: F.when(dot(F.col("embedding"), p) > 0, "1").otherwise("0"))
-    names = F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda i: F.concat(i.cast("string"), F.lit(":"), F.array_join(F.slice("_sides", i * signs + 1, signs), "")))
-    rows = vectors.withColumn("_planes", _planes(dim, tables, signs)).withColumn("_sides", sides)
-    return rows.select(key, F.explode(names).alias("bucket"))
+def _blocks(rows: DataFrame, key: str, dim: int, size: int, name: str) -> DataFrame:
+    """One row for each block of about ``size`` vectors, with their keys and lengths."""
+    fits = F.col("embedding").isNull() | (F.size("embedding") == dim)
+    embedding = F.when(fits, F.col("embedding")).otherwise(F.raise_error(F.lit(f"a vector has not {dim} components")))
+    rows = rows.filter(F.col(key).isNotNull()).select(key, embedding.alias("e"))
+    n = max(1, -(-rows.count() // size))
+    one = F.struct(key, "e", norm(F.col("e")).alias("n"))
+    return rows.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias("_block")).agg(F.collect_list(one).alias(name)).drop("_block")
 
 
-def knn_queries(queries: DataFrame, vectors: DataFrame, k: int, dim: int, tables: int = TABLES, signs: int = SIGNS) -> DataFrame:
+def knn_queries(queries: DataFrame, vectors: DataFrame, k: int, dim: int) -> DataFrame:
     """The nearest ``k`` of ``vectors`` (id, embedding) to each of ``queries`` (query, embedding): query, id, similarity, rank.
 
-    Filter ``vectors`` by metadata before. Candidates share a bucket with the query in at least one table (an equi join);
-    their cosine is exact. A neighbour at angle a is missed with chance (1 - (1 - a / pi) ** signs) ** tables.
+    Exact: every query meets every vector. Blocks of both are compared inside a row, which passes on the best ``k`` of the
+    block for each query; these are merged. Filter ``vectors`` by metadata before. Rows without id or query are left out.
     """
-    asked = hash_buckets(queries, "query", dim, tables, signs)
-    held = hash_buckets(vectors, "id", dim, tables, signs)
-    met = held.join(asked, "bucket").select("query", "id").distinct()
-    near = met.join(vectors, "id").join(queries.select("query", F.col("embedding").alias("_q")), "query")
-    ranked = near.select("query", "id", F.round(cosine(F.col("embedding"), F.col("_q")), DIGITS).alias("similarity"))
+    asked, held = _blocks(queries, "query", dim, QUERY_BLOCK, "_asked"), _blocks(vectors, "id", dim, BLOCK, "_held")
+
+    def nearest(q: Column) -> Column:
+        found = F.transform("_held", lambda x: F.struct(F.round(F.try_divide(dot(x["e"], q["e"]), x["n"] * q["n"]), DIGITS).alias("similarity"), x["id"].alias("id")))
+        order = F.transform(found, lambda x: F.struct(x["similarity"].isNull().alias("none"), (-x["similarity"]).alias("least"), x["id"].alias("id")))
+        return F.slice(F.array_sort(order), 1, k)
+
+    local = held.crossJoin(asked).select(F.explode(F.transform("_asked", lambda q: F.struct(q["query"].alias("query"), nearest(q).alias("best")))).alias("x"))
+    ranked = local.select("x.query", F.explode("x.best").alias("b")).select("query", "b.id", (-F.col("b.least")).alias("similarity"))
     best = W.partitionBy("query").orderBy(F.col("similarity").desc_nulls_last(), "id")
     return ranked.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

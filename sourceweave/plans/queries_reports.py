@@ -368,7 +368,7 @@ def _(x):
 
 @query("knn_queries")
 def _(x):
-    """Every vector whose id is divisible by 50 against all English ones; recall is tested against brute force."""
+    """Every vector whose id is divisible by 50 against all English ones, exactly."""
     e = x.table("embeddings")
     english = x.table("documents").filter("lang = 'en'").select(F.col("doc_id").alias("vec_id"))
     held = e.join(english, "vec_id", "left_semi").select(F.col("vec_id").alias("id"), "embedding")

@@ -103,6 +103,22 @@ def test_nearest_of_query_vectors(spark):
     assert hits >= 0.9 * 120
 
 
+def test_nearest_of_query_vectors_misses_none(spark, monkeypatch):
+    import math
+    import random
+
+    monkeypatch.setattr(rk, "BLOCK", 50, raising=False)
+    monkeypatch.setattr(rk, "QUERY_BLOCK", 4, raising=False)
+    rng = random.Random(8)
+    rows = [(i, [float(rng.gauss(0, 1)) for _ in range(64)]) for i in range(600)]
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    vectors = spark.createDataFrame(rows, "id long, embedding array<double>")
+    got = rk.knn_queries(vectors.filter("id % 50 = 0").withColumnRenamed("id", "query"), vectors, 10, 64).collect()
+    for q in range(0, 600, 50):
+        best = sorted(range(600), key=lambda i: (-round(cos(rows[q][1], rows[i][1]), 6), i))[:10]
+        assert [r.id for r in sorted(got, key=lambda r: r["rank"]) if r.query == q] == best
+
+
 def test_wrong_vector_length_is_an_error(spark):
     df = spark.createDataFrame([("a", [1.0, 2.0, 3.0])], "label string, embedding array<float>")
     with pytest.raises(Exception, match="components"):
