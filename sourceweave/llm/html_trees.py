@@ -19,6 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 SILENT = frozenset("head script style noscript template svg iframe object math title canvas audio video select textarea".split())
+#: Start tags that leave an open head open; any other closes it, unless it stands in a silent element of the head.
+HEAD_TAGS = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
+IN_HEAD = SILENT - {"head"}
 #: A start tag of the key closes an open tag of the value, up to the nearest of the barriers.
 BLOCK_STARTS = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody"}, "tfoot": {"tbody"}}
@@ -48,6 +51,8 @@ class Page(HTMLParser):
         self.close()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.silent and tag not in HEAD_TAGS:
+            self._close_open({"head"}, IN_HEAD)
         if tag in VOID:
             if tag == "br" and self.runs and self.runs[-1][0] == self.at:
                 self.runs[-1][1].append(" ")
@@ -75,6 +80,8 @@ class Page(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
+        if tag in ("svg", "math"):
+            self._pop(len(self.open) - 1)
 
     def _break(self) -> None:
         self.runs.append((self.at, []))
@@ -109,6 +116,8 @@ class Page(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1][0] == "head" and not data.isspace():
+            self._pop(len(self.open) - 1)
         if self.silent:
             return
         if not self.runs or self.runs[-1][0] != self.at:

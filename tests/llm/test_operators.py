@@ -372,6 +372,13 @@ def test_pages_with_oddities(spark, trees):
     assert html_trees.extract(df.where("false"), trees).count() == 0
 
 
+@pytest.mark.parametrize("start", ["<html><head><title>T</title><body>", "<head><meta charset=utf-8><title>T</title>", "<title>T</title>", "<html><head><noscript><div>no script</div></noscript></head><body>", "<head><style>p{}</style><noscript><img src=x>off</noscript><body>"])
+def test_tags_that_may_be_left_out(start):
+    page = html_trees.Page(f"{start}<article><p>One <svg/>two <math />three<p>Four <svg><title>no</title><path/></svg>five</article>")
+    assert [t for _, t in page.blocks()] == ["One", "two", "three", "Four", "five"]
+    assert [t for _, t in html_trees.Page("<head><title>T</title>Bare text").blocks()] == ["Bare text"]
+
+
 # --- 8: archives
 
 
