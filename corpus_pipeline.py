@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without boilerplate lines; ``n_chars`` follows the text."""
-    rest = line_spread.without_boilerplate(docs.select(COLUMNS))
+    """Documents without boilerplate lines, save whole copies; ``n_chars`` follows the text."""
+    rest = line_spread.without_boilerplate(docs.select(COLUMNS), copies=True)
     return rest.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 

@@ -199,6 +199,15 @@ def test_lines_on_many_sites_go(spark):
     assert line_spread.without_boilerplate(documents(spark, rows).where("false")).count() == 0
 
 
+def test_texts_of_mostly_boilerplate_lose_it(spark):
+    wide = [f"all rights of kind {i} are reserved here" for i in range(5)]
+    rows = [(i, "\n".join([*wide, f"own words of page {i}"]), f"site{i}") for i in range(8)]
+    rows += [(20, "\n".join(wide), "site1"), (21, "\n".join(wide), "site2"), (22, wide[0], "site3"), *[(30, f"{wide[0]}\n{'my words ' * 9}", "s")] * 2, (23, None, "a"), (24, "", "a")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_spread.without_boilerplate(documents(spark, rows, ["_goes"]), copies=True).collect()}
+    want = {i: (f"own words of page {i}", 5) for i in range(8)} | {20: (rows[8][1], 0), 21: (rows[9][1], 0), 22: ("", 1), 30: ("my words " * 9, 1), 23: (None, 0), 24: ("", 0)}
+    assert got == want
+
+
 # --- 5: benchmark items
 
 
