@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_trees, line_spread, minhash, pieces, quality_outliers, secret_owners, shards, substrings, warc
+from . import decontaminate, html_trees, line_spread, minhash, pieces, quality_outliers, secret_owners, shards, substrings, vector_queries, warc
 from .common import read
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(vector_queries.QUERIES)
+SQL: dict[str, str] = dict(vector_queries.SQL)
 
 
 def query(name: str):
