@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,20 +19,6 @@ SENTENCE_END = rf"([.!?])[{SPACE}]+"
 
 UPPER_ASCII = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-# HTML clean-up steps, applied in this order: (pattern, replacement). A tag starts with a letter, a slash or "!".
-_NO_DIV = r"(?:[^<]+|<(?:[^/dD]|/[^dD]|[dD][^iI])[^>]*>)*"
-HTML_STEPS = (
-    (r"(?is)<!--.*?-->", " "),
-    (r"(?is)<head(?:\s[^>]*)?>.*?</head\s*>", " "),
-    (r"(?is)<script(?:\s[^>]*)?>.*?</script\s*>", " "),
-    (r"(?is)<style(?:\s[^>]*)?>.*?</style\s*>", " "),
-    (r"(?is)<nav(?:\s[^>]*)?>.*?</nav\s*>", " "),
-    (r"(?is)<footer(?:\s[^>]*)?>.*?</footer\s*>", " "),
-    # advert blocks, with blocks nested once
-    (rf'(?i)<div class="ad"[^>]*>{_NO_DIV}(?:<div(?:\s[^>]*)?>{_NO_DIV}</div\s*>{_NO_DIV})*</div\s*>', " "),
-    (r"(?i)</?(?:p|br|h[1-6]|ul|ol|li|div|tr|table|article|section|header|blockquote)(?:\s[^>]*)?/?>", "\n\n"),
-    (r"<[/!]?[A-Za-z][^>]*>", ""),
-)
 # Named characters that pages use most.
 ENTITIES = {
     "lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&", "nbsp": " ", "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•",
@@ -47,7 +31,6 @@ ENTITIES = {
     "Egrave": "È", "Eacute": "É", "Ntilde": "Ñ", "Oacute": "Ó", "Ouml": "Ö", "Uacute": "Ú", "Uuml": "Ü", "oelig": "œ", "OElig": "Œ",
 }
 ENTITY_PATTERN = r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);"
-BLANK_RUNS = rf"[ \t]*\n[{SPACE}]*\n[{SPACE}]*"
 
 
 def bind(value: Column, body) -> Column:
@@ -57,7 +40,8 @@ def bind(value: Column, body) -> Column:
 
 def strip(c: Column) -> Column:
     """Trim the same characters as Python's ``str.strip``."""
-    return F.regexp_replace(c, STRIP_PATTERN, "")
+    # with a look behind, so that a long run of spaces inside is not tried from each of its places
+    return F.regexp_replace(c, STRIP_PATTERN.replace("|", f"|(?<![{SPACE}])"), "")
 
 
 def is_blank(c: Column) -> Column:
@@ -132,27 +116,6 @@ def unescape(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(F.split(c, "&"), part), "")).otherwise(c)
 
 
-def html_meta(html: Column, name: str) -> Column:
-    """Content of the first ``<meta>`` with this name or property, null without one."""
-    own = rf"""(?:name|property)\s*=\s*["']?{re.escape(name)}["'\s]"""
-    content = r"""content\s*=\s*["']([^"'>]*)["']"""
-    first = F.regexp_extract(html, rf"(?is)<meta\s(?:[^>]*\s)?{own}[^>]*?{content}", 1)
-    second = F.regexp_extract(html, rf"(?is)<meta\s(?:[^>]*\s)?{content}[^>]*?\s{own}", 1)
-    return F.nullif(strip(unescape(F.coalesce(F.nullif(first, F.lit("")), second))), F.lit(""))
-
-
-def html_title(html: Column) -> Column:
-    return strip(unescape(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
-
-
-def html_to_text(html: Column) -> Column:
-    """Visible text of a page as paragraphs separated by one blank line."""
-    c = html
-    for pattern, to in HTML_STEPS:
-        c = F.regexp_replace(c, pattern, to)
-    return strip(F.regexp_replace(unescape(c), BLANK_RUNS, "\n\n"))
-
-
 def paragraphs(c: Column) -> Column:
     """Stripped non-blank blocks between blank lines."""
     return F.filter(F.transform(F.split(c, "\n\n+"), strip), lambda p: p != "")

@@ -66,10 +66,16 @@ def html_title(h: str) -> str:
 
 
 def html_to_text(h: str) -> str:
-    for pattern, to in t.HTML_STEPS:
-        to_sql = "chr(10) || chr(10)" if "\n" in to else quote(to)
-        h = f"regexp_replace({h}, {quote(pattern)}, {to_sql}, 'g')"
-    return strip(f"regexp_replace({unescape(h)}, {quote(t.BLANK_RUNS)}, chr(10) || chr(10), 'g')")
+    """Literal patterns; this matcher does not recurse, so nested adverts may be repeated groups here."""
+    inner = r"(?:[^<]|<(?:[^/dD]|/[^dD]|/?[dD][^iI]))*"
+    nested = rf"(?:<div(?:\s[^>]*)?>{inner}(?:<div(?:\s[^>]*)?>{inner}</div\s*>{inner})*</div\s*>{inner})*"
+    drop = [r"(?is)<!--.*?-->", *[rf"(?is)<{n}(?:\s[^>]*)?>.*?</{n}\s*>" for n in ("head", "script", "style", "nav", "footer")], rf'(?is)<div class="ad"[^>]*>{inner}{nested}</div\s*>']
+    for pattern in drop:
+        h = f"regexp_replace({h}, {quote(pattern)}, ' ', 'g')"
+    blocks = r"(?i)</?(?:p|br|h1|h2|h3|h4|h5|h6|ul|ol|li|div|tr|table|article|section|header|blockquote)(?:\s[^>]*)?/?>"
+    h = f"regexp_replace({h}, {quote(blocks)}, chr(10) || chr(10), 'g')"
+    h = f"regexp_replace({h}, '<[/!]?[A-Za-z][^>]*>', '', 'g')"
+    return strip(f"regexp_replace({unescape(h)}, {quote('[ ' + chr(92) + 't]*' + chr(92) + 'n[' + t.SPACE + ']*' + chr(92) + 'n[' + t.SPACE + ']*')}, chr(10) || chr(10), 'g')")
 
 
 def paragraphs(x: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as t
+from ..functions import html as hx
 
 # Metadata keys in order of preference.
 TITLE_KEYS = ("title", "og:title")
@@ -44,16 +44,14 @@ def read_crawl(raw: DataFrame) -> DataFrame:
 def pages_as_fetches(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Pages holding HTML -> raw fetches with cleaned text and the page's metadata; pairs with :func:`read_crawl`."""
     h = F.col(html)
-    entries = F.array(*[F.struct(F.lit(k).alias("key"), t.html_meta(h, k).alias("value")) for k in (*TITLE_KEYS[1:], *AUTHOR_KEYS, *DATE_KEYS)])
-    meta = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
     return pages.select(
         F.col(url).alias("url"),
         F.lit(True).alias("fetched"),
         F.lit(None).cast("int").alias("status_code"),
-        t.html_title(h).alias("title"),
-        t.html_to_text(h).alias("markdown"),
+        hx.html_title(h).alias("title"),
+        hx.html_to_text(h).alias("markdown"),
         h.alias("raw_html"),
-        meta.alias("metadata"),
+        hx.html_meta(h, (*TITLE_KEYS[1:], *AUTHOR_KEYS, *DATE_KEYS)).alias("metadata"),
     )
 
 

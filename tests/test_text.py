@@ -1,8 +1,10 @@
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
+from sourceweave.functions import html as hx
 from sourceweave.functions import json_text, text as t
 from sourceweave.sources import crawl
 
@@ -66,8 +68,32 @@ def test_html_to_text(spark):
         "<html><head><title>A &amp; B</title><style>p{}</style></head><body><nav><a>menu</a></nav><!-- note -->"
         '<script>var t="</p>";</script><div class="ad">buy</div><p>One<br>two</p><P>5 &lt; 6</P><footer>foot</footer></body></html>'
     )
-    assert one(spark, t.html_to_text(F.col("h")), h=html) == "One\n\ntwo\n\n5 < 6"
-    assert one(spark, t.html_title(F.col("h")), h=html) == "A & B"
+    assert one(spark, hx.html_to_text(F.col("h")), h=html) == "One\n\ntwo\n\n5 < 6"
+    assert one(spark, hx.html_title(F.col("h")), h=html) == "A & B"
+
+
+def page_text(spark, *pages):
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, h string")
+    return [r.x for r in df.select("i", hx.html_to_text(F.col("h")).alias("x")).orderBy("i").collect()]
+
+
+def test_pages_of_very_many_tags(spark):
+    n = 100_000
+    advert, deep = '<div class="ad">' + "<p>x</p>" * n + "</div>after", '<div class="ad">' + "<div>x" * n + "</div>" * n + "</div>after"
+    open_, adverts = '<div class="ad">' * n + "text", '<div class="ad">x</div>' * n + "after"
+    scripts, comments, spaces = "<script>" * n + "x", "<!--" * n + "x", "a" + " " * n + "b"
+    start = time.time()
+    got = page_text(spark, advert, deep, open_, adverts, scripts, comments, spaces, "<nav>" * n + "x</nav>y", "<p>" * n, "a" + "\t\n" * n + "b")
+    assert got == ["after", "after", "text", "after", "", "", spaces, "y", "", "a\n\nb"]
+    assert time.time() - start < 60
+
+
+def test_blocks_that_are_not_closed(spark):
+    got = page_text(
+        spark, '<div class="ad">x<p>text', "a<nav>b", "a<nav>b</nav>c<nav>d", "a<nav>b<nav>c</nav>d", "a<script>b", "a<!-- b", "a<!-- b <!-- c --> d", None, "",
+        '<DIV class="ad">x<div class="ad">y</div>z</DIV>a<div>b</div><div class="ad">c</div', "a</div>b<div class=\"ad\">c</div>d",
+    )
+    assert got == ["x\n\ntext", "ab", "a cd", "a d", "a", "a", "a  d", None, "", "a\n\nb\n\nc</div", "a\n\nb d"]
 
 
 def test_parse_iso(spark):
@@ -108,7 +134,7 @@ def test_pages_with_entities_bare_signs_and_nested_blocks(spark):
         '<div class="ad">buy <div>now</div> more</div><p>end</p></body></html>'
     )
     df = spark.createDataFrame([(html, "u")], "html string, url string")
-    text = df.select(t.html_to_text(F.col("html"))).first()[0]
+    text = df.select(hx.html_to_text(F.col("html"))).first()[0]
     assert text == "Top\n\nCafé ’tis — a < b and c > d &unknown; &lt;\n\nend"
     row = crawl.read_crawl(crawl.pages_as_fetches(df)).first()
     assert (row.title, row.author, row.published_date) == ("A & B", "Jo é", "2024-05-06T07:08:09Z")
