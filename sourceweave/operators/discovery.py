@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quality as q
 from ..functions import text as t
+from ..session import staged
 
 SEARCH_LIMIT = 20
 CRAWL_TIMEOUT = 30
@@ -197,20 +198,34 @@ def crawl_plan(sources: DataFrame, timeout_seconds: int = CRAWL_TIMEOUT) -> Data
     return sources.withColumn("timeout_seconds", F.lit(timeout_seconds))
 
 
+def _fetch_rank(pages: DataFrame) -> Column:
+    """Orders the fetches of a URL by short values: a successful one first, the newest by ``fetched_at`` where the pages
+    have it, the longest text, then a checksum of all its texts."""
+    newest = [F.col("fetched_at").alias("at")] if "fetched_at" in pages.columns else []
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("markdown", "title", "author", "published_date") if c in pages.columns]
+    ok = F.coalesce(F.col("status_code") != 0, F.lit(False))
+    return F.struct(ok.alias("ok"), *newest, F.length("markdown").alias("n"), F.md5(F.concat_ws("\u0001", *texts)).alias("sum"), F.col("status_code").alias("status"))
+
+
 def one_fetch(pages: DataFrame) -> DataFrame:
-    """One row per URL: the newest by ``fetched_at`` where the pages have it, a successful before a failed one, then
-    the longest text, then the last text in order."""
-    rest = [c for c in pages.columns if c != "url"]
-    newest = ["fetched_at"] if "fetched_at" in rest else []
-    order = F.struct(F.coalesce(F.col("status_code") != 0, F.lit(False)), *newest, F.length("markdown"), "markdown")
-    return pages.groupBy("url").agg(F.max_by(F.struct(*rest), order).alias("_p")).select("url", *[F.col("_p")[c].alias(c) for c in rest])
+    """One row per URL: the best by :func:`_fetch_rank`. Only URLs and ranks are compared; texts move for the best alone."""
+    ranked = pages.withColumn("_rank", _fetch_rank(pages))
+    best = staged(ranked.groupBy(F.col("url").alias("_url")).agg(F.max("_rank").alias("_best")), "best-fetches")
+    same = (F.col("url") == F.col("_url")) & F.col("_rank").eqNullSafe(F.col("_best"))
+    return ranked.join(best, same).drop("_url", "_rank", "_best").dropDuplicates(["url"])
 
 
 def attach_pages(plan: DataFrame, pages: DataFrame) -> DataFrame:
-    """Crawl plan with the fetched page, one per URL; a URL that was not fetched has status 0."""
-    pages = one_fetch(pages.select(*[c for c in pages.columns if c not in ("raw_html", "metadata")]))
+    """Crawl plan with the fetched page, one per URL; a URL that was not fetched has status 0.
+
+    The plan's URLs are a written table, so Spark knows their size: while they fit its broadcast limit, pages are
+    filtered where they are scanned and only those asked for are shuffled.
+    """
+    wanted = staged(plan.select(F.col("url").alias("_wanted")).distinct(), "plan-urls")
+    mine = pages.select(*[c for c in pages.columns if c not in ("raw_html", "metadata")]).join(wanted, F.col("url") == F.col("_wanted"), "left_semi")
+    found = one_fetch(mine)
     carried = [c for c in plan.columns if c not in ("pos", "timeout_seconds")]
-    return plan.join(pages, "url", "left").select(
+    return plan.join(found, "url", "left").select(
         *carried,
         F.col("pos").alias("page_pos"),
         F.coalesce("status_code", F.lit(0)).alias("status_code"),

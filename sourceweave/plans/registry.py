@@ -52,8 +52,8 @@ class Inputs:
 
     @cached_property
     def pages(self) -> DataFrame:
-        """Cleaned once: search, attachment and chunking all read the text."""
-        return staged(fx.pages(self.spark, self.sf), "pages")
+        """Cleaned once: search, attachment and chunking all read the text, none the markup."""
+        return staged(fx.pages(self.spark, self.sf).drop("raw_html"), "pages")
 
     @cached_property
     def found(self) -> evidence_run.Discovery:

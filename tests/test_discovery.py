@@ -1,3 +1,4 @@
+import plans
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,6 +6,7 @@ from sourceweave.functions import quality as q
 from sourceweave.operators import discovery as d
 from sourceweave.operators.joins import contains_join
 from sourceweave.plans import evidence_run
+from sourceweave.session import staged
 from sourceweave.sources import config_tables as cfg
 
 TEXTS = "array<string>"
@@ -204,6 +206,22 @@ def test_repeat_fetches_never_grow_the_evidence(spark):
     assert found.count() == 3 and d.cap_evidence(found.union(found), 5, 2).count() == 2
 
 
+def test_pages_meet_the_plan_where_they_are_scanned(spark):
+    rows = [(f"https://a.com/{i % 50}", 200, "", "", f"text {i} " * 30) for i in range(2000)]
+    corpus = staged(pages(spark, rows), "t-pages")
+    plan = spark.createDataFrame([("r", f"https://a.com/{i}", i) for i in range(40, 60)], "run_id string, url string, pos int")
+    attached = d.attach_pages(plan, corpus)
+    found = plans.above(attached, "markdown")
+    assert found
+    for ops in found:
+        first = next(i for i, o in enumerate(ops) if o.startswith("BroadcastHashJoin"))
+        assert not any(o.startswith(("Exchange", "Sort")) for o in ops[:first])
+    got = {r.url: (r.status_code, r.markdown) for r in attached.collect()}
+    longest = {f"https://a.com/{k}": max((r[4] for r in rows if r[0] == f"https://a.com/{k}"), key=len) for k in range(40, 50)}
+    assert {u: len(m) for u, (_, m) in got.items() if m} == {u: len(m) for u, m in longest.items()}
+    assert all(got[f"https://a.com/{k}"] == (0, "") for k in range(50, 60))
+
+
 def test_unknown_policies_are_reported(spark):
     asked = requests(spark, [("r", "sleep", [], "p"), ("s", "sleep", [], "absent")])
     rows = d.unknown_policy(asked, policies(spark, '{"id": "p"}')).collect()
