@@ -6,9 +6,9 @@ the shard of their hash range. A shard adds up the training counts, stores them
 and answers every piece: it maps its arrays into memory from a file and finds the piece's hashes by binary search. So a
 pair that stands in very many texts travels once a piece, whatever its number, and no worker needs more than a shard.
 
-What depends on single words (plain and continuation counts, context totals by count class) is summed natively by
-word hash and joined back to the pieces that hold the word. A pair's counts enter these sums through the first piece
-that holds it, which the shard names.
+What depends on single words (plain and continuation counts, context totals by count class) goes the same way: pieces
+send sums by word hash, shards add them up, store them and answer. A pair's count enters these sums through the first
+piece that holds it, which the pair's shard names.
 
 Discounts follow counts of counts: Y = n1 / (n1 + 2 n2), D_k = k - (k + 1) Y n_(k+1) / n_k for k = 1, 2, 3 and more, and
 k / 2 where these counts allow none. A pair's probability is its discounted share of the context's count, plus the
@@ -34,8 +34,10 @@ from .common import lower_ascii, staged
 from .word_hashes import WordHashes, as_bytes, mix64
 from .word_hashes import pieces as cut
 
-#: Bytes of text in a piece, and pairs of a shard (counted with repeats in other pieces), about.
-PIECE_BYTES, SHARD_TOKENS = 24_000_000, 4_000_000
+#: Bytes of text in a piece, and tokens for each shard, about.
+PIECE_BYTES, SHARD_TOKENS = 12_000_000, 2_000_000
+#: Words whose hashes a task remembers.
+REMEMBERED = 300_000
 #: Bits of a pair's hash. Two pairs of 10**9 share one with chance 1e-8 each.
 BITS = 56
 END, START = np.uint64(0x9D3B5F8A6C21E407), np.uint64(0x51E0C7B4A9D2F683)
@@ -43,11 +45,12 @@ END, START = np.uint64(0x9D3B5F8A6C21E407), np.uint64(0x51E0C7B4A9D2F683)
 
 @dataclass
 class Model:
-    """Sorted hash arrays (shard, hashes, counts), word counts by hash, and the sums over them."""
+    """Sorted hash arrays of pairs and of words by shard (shard, body), the sums over them, and how many shards there are."""
 
-    shards: DataFrame
+    pairs: DataFrame
     words: DataFrame
     totals: dict[str, int]
+    n: int
 
 
 # --- arrays in binary columns
@@ -76,7 +79,7 @@ def unpack(body: bytes) -> list[np.ndarray]:
     return out
 
 
-def pack_sorted(values: np.ndarray) -> np.ndarray:
+def _steps(values: np.ndarray) -> np.ndarray:
     return np.diff(values, prepend=np.uint64(0))
 
 
@@ -99,10 +102,12 @@ def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = as_bytes(batch["text"])
         for part in cut(texts, PIECE_BYTES):
             streams = [np.append(known.of(t.split()), END) for t in texts[part]]
+            if len(known) > REMEMBERED:
+                known.clear()
             words, numbers = np.unique(np.concatenate(streams), return_inverse=True)
             length = np.array([len(s) for s in streams], np.uint64)
             held = batch["held_out"][part.start : part.stop].to_numpy(zero_copy_only=False).astype(np.uint64)
-            body = pack(pack_sorted(words), numbers.astype(np.uint64), length, held)
+            body = pack(_steps(words), numbers.astype(np.uint64), length, held)
             ids = batch["doc_id"][part.start : part.stop]
             yield pa.RecordBatch.from_arrays([pa.array([body], pa.binary()), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([len(numbers)])], ["body", "ids", "n"])
 
@@ -148,102 +153,134 @@ def read_pieces(docs: DataFrame) -> DataFrame:
     return staged(found.withColumn("piece", F.monotonically_increasing_id()), "pieces")
 
 
+def _split(number: int, hashes: np.ndarray, columns: list[np.ndarray], shards: int, bits: int) -> list[tuple[int, int, bytes]]:
+    """(piece, shard, body) of the sorted hashes and their columns by range of hash."""
+    borders = np.array([(s << bits) // shards for s in range(1, shards)], np.uint64)
+    ends = [0, *np.searchsorted(hashes, borders).tolist(), len(hashes)]
+    return [(number, s, pack(_steps(hashes[a:b]), *(c[a:b] for c in columns))) for s, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if b > a]
+
+
+def _columns(rows: list[tuple[int, int, bytes]]) -> list[pa.Array]:
+    piece, shard, body = zip(*rows, strict=True) if rows else ((), (), ())
+    return [pa.array(piece, pa.int64()), pa.array(shard, pa.int64()), pa.array(body, pa.binary())]
+
+
+ROW = "piece long, shard long, body binary"
+NAMES = ["piece", "shard", "body"]
+
+
 def _asker(shards: int):
     """Pairs of each piece by shard: hashes and training counts."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, body in zip(batch["piece"].to_pylist(), batch["body"].to_pylist(), strict=True):
-                piece = Piece.of(body)
+            for number, body in zip(batch["piece"].to_pylist(), batch["body"], strict=True):
+                piece = Piece.of(body.as_py())
                 h, _, _, of_token = piece.pairs()
-                count = np.bincount(of_token[piece.trains], minlength=len(h)).astype(np.uint64)
-                ends = np.searchsorted(h, _borders(shards))
-                rows = [(s, pack(pack_sorted(h[a:b]), count[a:b])) for s, (a, b) in enumerate(zip([0, *ends], [*ends, len(h)], strict=True)) if b > a]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([number] * len(rows), pa.int64()), pa.array([s for s, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], ["piece", "shard", "body"]
-                )
+                count = np.bincount(of_token[piece.trains], minlength=len(h))
+                yield pa.RecordBatch.from_arrays(_columns(_split(number, h, [count], shards, BITS)), NAMES)
 
     return ask
 
 
-def _borders(shards: int) -> np.ndarray:
-    """First hash of each shard but the first."""
-    return np.array([(s << BITS) // shards for s in range(1, shards)], np.uint64)
+# --- shards
 
 
-# --- shards
+def _read(group: pa.Table) -> tuple[int, list[int], list[np.ndarray], list[list[np.ndarray]]]:
+    """Shard, pieces, and of each piece the hashes and the columns, in order of pieces."""
+    group = group.sort_by("piece")
+    bodies = [unpack(b.as_py()) for b in group["body"]]
+    return group["shard"][0].as_py(), group["piece"].to_pylist(), [np.cumsum(b[0], dtype=np.uint64) for b in bodies], [b[1:] for b in bodies]
 
 
-def _answers(hashes: np.ndarray, counts: np.ndarray, asked: list[np.ndarray]) -> list[np.ndarray]:
-    """Training count of each asked hash, by binary search in the mapped arrays."""
-    hashes, counts = mapped(hashes), mapped(counts)
-    out = []
+def _answers(hashes: np.ndarray, columns: list[np.ndarray], asked: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """For each list of hashes, their values in each column (0 where absent), by binary search in the mapped arrays."""
+    hashes, columns = mapped(hashes), [mapped(c.astype(np.uint64)) for c in columns]
     for h in asked:
         at = np.searchsorted(hashes, h)
         at[at == len(hashes)] = 0
-        out.append(np.where(hashes[at] == h, counts[at], 0).astype(np.uint64) if len(hashes) else np.zeros(len(h), np.uint64))
-    return out
-
+        yield [np.where(hashes[at] == h, c[at], 0) if len(hashes) else np.zeros(len(h), np.uint64) for c in columns]
 
-def _table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
-    piece, shard, body = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.table([pa.array(piece, pa.int64()), pa.array(shard, pa.int64()), pa.array(body, pa.binary())], ["piece", "shard", "body"])
 
-
-def _merge(group: pa.Table) -> pa.Table:
+def _merge_pairs(group: pa.Table) -> pa.Table:
     """A shard's sorted arrays (as piece -1), and for each piece the counts of its pairs and which of them it is the first to hold."""
-    group = group.sort_by("piece")
-    shard, pieces = group["shard"][0].as_py(), group["piece"].to_pylist()
-    asked, given = zip(*(((u := unpack(b)) and np.cumsum(u[0], dtype=np.uint64), u[1]) for b in group["body"].to_pylist()), strict=True)
+    shard, pieces, asked, given = _read(group)
     every = np.concatenate(asked)
     hashes, first, where = np.unique(every, return_index=True, return_inverse=True)
-    counts = np.bincount(where, np.concatenate(given).astype(float)).astype(np.uint64)
+    counts = np.bincount(where, np.concatenate([g[0] for g in given]).astype(float)).astype(np.uint64)
     leads = np.zeros(len(every), np.uint64)
     leads[first] = 1
     seen = counts > 0
-    rows = [(-1, shard, pack(pack_sorted(hashes[seen]), counts[seen]))]
+    hashes, counts = hashes[seen], counts[seen]
+    rows = [(-1, shard, pack(_steps(hashes), counts))]
     ends = np.cumsum([len(a) for a in asked])
-    for piece, end, h, found in zip(pieces, ends, asked, _answers(hashes[seen], counts[seen], list(asked)), strict=True):
+    for piece, end, h, (found,) in zip(pieces, ends, asked, _answers(hashes, [counts], asked), strict=True):
         rows.append((piece, shard, pack(found, leads[end - len(h) : end])))
-    return _table(rows)
+    return pa.table(_columns(rows), NAMES)
+
+
+def _merge_words(group: pa.Table) -> pa.Table:
+    """As for pairs: the sums of each word, all of them for each piece that holds it; with piece -1 also what they come to."""
+    shard, pieces, asked, given = _read(group)
+    hashes, where = np.unique(np.concatenate(asked), return_inverse=True)
+    sums = [np.bincount(where, np.concatenate([g[i] for g in given]).astype(float)).astype(np.int64) for i in range(len(WORD))]
+    plain, joins = sums[0], sums[1]
+    of = [plain.sum(), joins.sum(), *[s.sum() for s in sums[3:]], *[(joins == i).sum() for i in (1, 2, 3, 4)], (plain > 0).sum(), (joins > 0).sum()]
+    rows = [(-1, shard, pack(_steps(hashes), *sums))]
+    rows += [(piece, shard, pack(*found)) for piece, found in zip(pieces, _answers(hashes, sums, asked), strict=True)]
+    nothing = [[]] * len(pieces)
+    return pa.table([*_columns(rows), pa.array([[int(x) for x in of], *nothing], pa.list_(pa.int64()))], [*NAMES, "sums"])
 
 
 def _look_up(model: pa.Table, group: pa.Table) -> pa.Table:
-    """Answers of a stored shard."""
+    """Answers of a stored shard; no piece leads."""
     if not len(group):
-        return _table([])
-    hashes, counts = unpack(model["body"][0].as_py()) if len(model) else (np.empty(0, np.uint64),) * 2
-    asked = [np.cumsum(unpack(b)[0], dtype=np.uint64) for b in group["body"].to_pylist()]
-    found = _answers(np.cumsum(hashes, dtype=np.uint64), counts, asked)
-    return _table([(p, s, pack(a, np.zeros(len(a), np.uint64))) for p, s, a in zip(group["piece"].to_pylist(), group["shard"].to_pylist(), found, strict=True)])
+        return pa.table(_columns([]), NAMES)
+    shard, pieces, asked, given = _read(group)
+    steps, *columns = unpack(model["body"][0].as_py()) if len(model) else [np.empty(0, np.uint64)] * (1 + len(given[0]))
+    found = _answers(np.cumsum(steps, dtype=np.uint64), columns, asked)
+    return pa.table(_columns([(p, shard, pack(*f, *[np.zeros(len(f[0]), np.uint64)] * (len(f) == 1))) for p, f in zip(pieces, found, strict=True)]), NAMES)
 
 
 # --- words
 
 CLASSES = [f"n{i}" for i in range(1, 6)]
+#: Sums of a word: plain count, words before it, and as a context its count and the pairs of each count class.
 WORD = ["plain", "joins", "total", *CLASSES]
+TOTALS = ["tokens", "pairs", *CLASSES, "j1", "j2", "j3", "j4", "vocabulary", "seen"]
+PIECE, PAIRS, WORDS = 0, 1, 2
+
+
+def _gather(group: pa.Table, kind: int, n: int) -> list[np.ndarray]:
+    """Answers of all shards to a piece, put together."""
+    rows = group.filter(pa.compute.equal(group["kind"], kind)).sort_by("shard")
+    parts = [unpack(b.as_py()) for b in rows["body"]]
+    return [np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(n)]
 
 
-def _gather(piece: pa.Table, answers: pa.Table) -> tuple[Piece, np.ndarray, np.ndarray, np.ndarray, tuple]:
-    """The piece, its pairs' counts and whether it leads for them, in the order of ``pairs``."""
-    one = Piece.of(piece["body"][0].as_py())
-    parts = [unpack(b) for b in answers.sort_by("shard")["body"].to_pylist()]
-    counts, leads = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in (0, 1))
-    return one, counts, leads, one.pairs()
+def _named(piece: Piece) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a piece's words and of the start, sorted, and their numbers in the piece."""
+    named = np.append(piece.words, START)
+    order = np.argsort(named)
+    return named[order], order
 
 
-def _word_parts(pieces: pa.Table, answers: pa.Table) -> pa.Table:
-    """What a piece adds to the sums of each of its words; the text's start is word ``START``."""
-    piece, counts, leads, (_, context, word, _) = _gather(pieces, answers)
-    n = len(piece.words) + 1
-    mine = (leads > 0) & (counts > 0)
-    context, word, counts = context[mine], word[mine], counts[mine]
-    columns = {"plain": np.bincount(piece.token[piece.trains], minlength=n), "joins": np.bincount(word, minlength=n), "total": np.bincount(context, counts, n).astype(np.int64)}
-    for i, name in enumerate(CLASSES, 1):
-        columns[name] = np.bincount(context[counts == i] if i < 5 else context[counts >= 5], minlength=n)
-    number = pieces["piece"][0].as_py()
-    named = np.append(piece.words, START).view(np.int64)
-    return pa.table([pa.array(np.full(n, number)), pa.array(named), *[pa.array(columns[c].astype(np.int64)) for c in WORD]], ["piece", "word", *WORD])
+def _word_asker(shards: int):
+    """What a piece adds to the sums of each of its words, and of the text's start."""
+
+    def ask(group: pa.Table) -> pa.Table:
+        whole = group.filter(pa.compute.equal(group["kind"], PIECE))
+        piece = Piece.of(whole["body"][0].as_py())
+        counts, leads = _gather(group, PAIRS, 2)
+        _, context, word, _ = piece.pairs()
+        n, mine = len(piece.words) + 1, (leads > 0) & (counts > 0)
+        context, word, counts = context[mine], word[mine], counts[mine]
+        sums = [np.bincount(piece.token[piece.trains], minlength=n), np.bincount(word, minlength=n), np.bincount(context, counts, n)]
+        sums += [np.bincount(context[counts == i] if i < 5 else context[counts >= 5], minlength=n) for i in range(1, 6)]
+        hashes, order = _named(piece)
+        return pa.table(_columns(_split(whole["piece"][0].as_py(), hashes, [s[order].astype(np.uint64) for s in sums], shards, 64)), NAMES)
+
+    return ask
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -262,17 +299,15 @@ def _scorer(t: dict[str, int]):
     pair_d, word_d = discounts([t[f"n{i}"] for i in (1, 2, 3, 4)]), discounts([t[f"j{i}"] for i in (1, 2, 3, 4)])
     freed = word_d[0] * t["j1"] + word_d[1] * t["j2"] + word_d[2] * (t["seen"] - t["j1"] - t["j2"])
 
-    def score(left: pa.Table, values: pa.Table) -> pa.Table:
-        whole = left.filter(pa.compute.is_valid(left["ids"]))
-        if not len(whole):
-            return pa.table({c: pa.array([], kind) for c, kind in zip(RESULT, (pa.int64(), pa.bool_(), *[pa.int64()] * 2, *[pa.float64()] * 2), strict=True)})
-        piece, counts, _, (_, context, word, of_token) = _gather(whole, left.filter(pa.compute.is_null(left["ids"])))
-        at = np.searchsorted(piece.words, values["word"].to_numpy().view(np.uint64))
-        start = values["word"].to_numpy().view(np.uint64) == START
-        at[start] = len(piece.words)
-        v = {c: np.zeros(len(piece.words) + 1, np.int64) for c in WORD}
-        for c in WORD:
-            v[c][at] = values[c].to_numpy()
+    def score(group: pa.Table) -> pa.Table:
+        whole = group.filter(pa.compute.equal(group["kind"], PIECE))
+        piece = Piece.of(whole["body"][0].as_py())
+        counts = _gather(group, PAIRS, 1)[0]
+        _, context, word, of_token = piece.pairs()
+        v = {}
+        for name, values in zip(WORD, _gather(group, WORDS, len(WORD)), strict=True):
+            v[name] = np.empty(len(values), np.int64)
+            v[name][_named(piece)[1]] = values
         even = 1 / (t["vocabulary"] + 1)
         share = np.full(len(v["plain"]), even)
         if t["pairs"]:
@@ -281,7 +316,7 @@ def _scorer(t: dict[str, int]):
         total = np.where(known, v["total"], 1)
         rest = np.where(known, (pair_d[0] * v["n1"] + pair_d[1] * v["n2"] + pair_d[2] * (v["n3"] + v["n4"] + v["n5"])) / total, 1.0)
         p = (counts - _cut_off(counts, pair_d)) / total[context] + rest[context] * share[word]
-        base = np.log10((v["plain"] + 1) / (t["tokens"] + t["vocabulary"] + 1)) if t["tokens"] + t["vocabulary"] else np.zeros(len(share))
+        base = np.log10((v["plain"] + 1) / (t["tokens"] + t["vocabulary"] + 1))
         n = len(piece.held)
         of = lambda x: np.bincount(piece.text, x, n)
         columns = [of(np.ones(len(piece.token))).astype(np.int64), of((v["plain"] > 0)[piece.token].astype(float)).astype(np.int64), of(base[piece.token]), of(np.log10(p)[of_token])]
@@ -298,31 +333,32 @@ def _shards(pieces: DataFrame) -> int:
     return max(1, (pieces.agg(F.sum("n")).first()[0] or 0) // SHARD_TOKENS)
 
 
-def _asked(pieces: DataFrame, shards: int) -> DataFrame:
-    return pieces.select("piece", "body").mapInArrow(_asker(shards), "piece long, shard long, body binary")
+def _with_answers(pieces: DataFrame, pairs: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """Pieces and the answers to them in one table, told apart by ``kind``."""
+    all_ = pieces.select("piece", F.lit(-1).cast("long").alias("shard"), "body", "ids", F.lit(PIECE).alias("kind"))
+    for kind, rows in ((PAIRS, pairs), (WORDS, words)):
+        if rows is not None:
+            all_ = all_.union(rows.select(*NAMES, F.lit(None).cast("array<long>").alias("ids"), F.lit(kind).alias("kind")))
+    return all_
 
 
 def _fit(pieces: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
-    """The model of the training texts of ``pieces``, and with it what these ask for: answers, and (piece, word)."""
+    """The model of the training texts of ``pieces``, and what it answers to these: pairs and words."""
     n = _shards(pieces)
-    merged = staged(_asked(pieces, n).groupBy("shard").applyInArrow(_merge, "piece long, shard long, body binary"), "pair-counts")
-    answers = merged.where("piece >= 0")
-    schema = "piece long, word long, " + ", ".join(f"{c} long" for c in WORD)
-    parts = staged(pieces.select("piece", "body").groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(_word_parts, schema), "word-parts")
-    words = staged(parts.groupBy("word").agg(*[F.sum(c).alias(c) for c in WORD]), "words")
-    joins = [F.count_if(F.col("joins") == i).alias(f"j{i}") for i in (1, 2, 3, 4)]
-    sums = {"tokens": "plain", "pairs": "joins", **{c: c for c in CLASSES}}
-    totals = words.agg(
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(k) for k, c in sums.items()], *joins, F.count_if(F.col("plain") > 0).alias("vocabulary"), F.count_if(F.col("joins") > 0).alias("seen")
-    ).first()
-    model = Model(merged.where("piece < 0").drop("piece").withColumn("of", F.lit(n)), words, totals.asDict())
-    return model, answers, parts.select("piece", "word")
-
-
-def _scores(pieces: DataFrame, answers: DataFrame, asked_words: DataFrame, model: Model) -> DataFrame:
-    left = pieces.select("piece", "body", "ids", F.lit(-1).cast("long").alias("shard")).unionByName(answers.withColumn("ids", F.lit(None).cast("array<long>")))
-    values = asked_words.join(model.words, "word").select("piece", "word", *WORD)
-    return left.groupBy("piece").cogroup(values.groupBy("piece")).applyInArrow(_scorer(model.totals), SCORES).withColumn("train_tokens", F.lit(model.totals["tokens"]).cast("long"))
+    asked = pieces.select("piece", "body").mapInArrow(_asker(n), ROW)
+    pairs = staged(asked.groupBy("shard").applyInArrow(_merge_pairs, ROW), "pair-counts")
+    mine = pairs.where("piece >= 0")
+    asked = _with_answers(pieces, mine).groupBy("piece").applyInArrow(_word_asker(n), ROW)
+    words = staged(asked.groupBy("shard").applyInArrow(_merge_words, ROW + ", sums array<long>"), "word-counts")
+    sums = words.where("piece < 0").select(F.posexplode("sums").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
+    totals = dict.fromkeys(TOTALS, 0) | {TOTALS[r.i]: r.v for r in sums}
+    stored = lambda df: df.where("piece < 0").select("shard", "body")
+    return Model(stored(pairs), stored(words), totals, n), mine, words.where("piece >= 0").select(*NAMES)
+
+
+def _scores(pieces: DataFrame, pairs: DataFrame, words: DataFrame, model: Model) -> DataFrame:
+    found = _with_answers(pieces, pairs, words).groupBy("piece").applyInArrow(_scorer(model.totals), SCORES)
+    return found.withColumn("train_tokens", F.lit(model.totals["tokens"]).cast("long"))
 
 
 def held_out(doc_id, parts: int = 7, part: int = 2):
@@ -338,16 +374,13 @@ def fit(docs: DataFrame) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, base_score, score, train_tokens) of other texts under ``model``; held_out is true."""
     pieces = read_pieces(docs.select("doc_id", "text", F.lit(True).alias("held_out")))
-    of = (model.shards.select("of").first() or [1])[0]
-    answers = model.shards.groupBy("shard").cogroup(_asked(pieces, of).groupBy("shard")).applyInArrow(_look_up, "piece long, shard long, body binary")
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, body in zip(batch["piece"].to_pylist(), batch["body"].to_pylist(), strict=True):
-                named = np.append(Piece.of(body).words, START).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(named), number)), pa.array(named)], ["piece", "word"])
+    def answers(asked: DataFrame, shards: DataFrame) -> DataFrame:
+        return staged(shards.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(_look_up, ROW), "answers")
 
-    return _scores(pieces, answers, pieces.select("piece", "body").mapInArrow(words, "piece long, word long"), model)
+    pairs = answers(pieces.select("piece", "body").mapInArrow(_asker(model.n), ROW), model.pairs)
+    words = answers(_with_answers(pieces, pairs).groupBy("piece").applyInArrow(_word_asker(model.n), ROW), model.words)
+    return _scores(pieces, pairs, words, model)
 
 
 def score_corpus(docs: DataFrame) -> DataFrame:
