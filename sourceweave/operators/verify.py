@@ -127,57 +127,103 @@ def split_claims(units: DataFrame) -> DataFrame:
     ).filter("claim <> ''")
 
 
-def rule_verify(claims: DataFrame, evidence: DataFrame, overlap: float = OVERLAP) -> DataFrame:
-    """Judge each claim by rules: cited, resolvable, numbers known, enough shared words.
+def evidence_facts(evidence: DataFrame) -> DataFrame:
+    """What the rules ask of each excerpt: its distinct words and figures, and its figures in context.
 
-    A number that no excerpt of the run holds is leakage. The rules stand in for a model judge: the same
-    categories, other judgements.
+    Worth a written table where the same evidence is asked again, as in rewrite rounds.
     """
-    words = F.array_distinct(t.tokens(F.col("claim")))
-    figures = F.array_distinct(t.numbers(F.col("claim")))
-    known = evidence.select(
+    text = F.col("excerpt")
+    return evidence.select(
         "run_id", F.col("id").alias("evidence_id"),
-        F.array_distinct(t.tokens(F.col("excerpt"))).alias("_words"),
-        F.array_distinct(t.numbers(F.col("excerpt"))).alias("_figures"),
+        F.array_distinct(t.tokens(text)).alias("_words"),
+        F.array_distinct(t.numbers(text)).alias("_figures"),
+        F.when(text.rlike("[0-9]"), figure_contexts(text)).alias("_contexts"),
     )
+
+
+def disputed_claims(claims: DataFrame, facts: DataFrame) -> DataFrame:
+    """Keys of the claims with a figure for which their cited excerpts give different values in one context.
+
+    Contexts meet on (run, excerpt, context), so only those that a claim speaks of are looked up; values are counted,
+    never paired.
+    """
+    asked = claims.filter(F.col("claim").rlike("[0-9]")).select(*CLAIM_KEYS, F.explode("cited_ids").alias("evidence_id"), figure_contexts(F.col("claim")).alias("c"))
+    asked = asked.select(*CLAIM_KEYS, "evidence_id", F.explode("c.context").alias("context")).distinct()
+    told = facts.select("run_id", "evidence_id", F.explode("_contexts").alias("c")).select("run_id", "evidence_id", "c.*").distinct()
+    met = asked.join(told, ["run_id", "evidence_id", "context"])
+    values = met.groupBy(*CLAIM_KEYS, "context").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return values.filter("lo < hi").select(*CLAIM_KEYS).distinct()
+
+
+def rule_verify(claims: DataFrame, evidence: DataFrame, overlap: float = OVERLAP, facts: DataFrame | None = None) -> DataFrame:
+    """Judge each claim by rules: cited, resolvable, numbers known, sources at one, enough shared words.
+
+    A number that no excerpt of the run holds is leakage; one on which the cited excerpts disagree is a conflict. The
+    rules stand in for a model judge: the same categories, other judgements. ``facts``: :func:`evidence_facts` of
+    ``evidence``, if they are at hand.
+    """
+    words = F.array_distinct(t.tokens(F.col("claim")))
+    figures = F.array_distinct(t.numbers(F.col("claim")))
+    known = evidence_facts(evidence) if facts is None else facts
     pairs = claims.select(
         *CLAIM_KEYS, words.alias("words"), figures.alias("figures"), F.explode("cited_ids").alias("evidence_id")
-    ).join(known, ["run_id", "evidence_id"])
+    ).join(known.select("run_id", "evidence_id", "_words", "_figures"), ["run_id", "evidence_id"])
     support = pairs.groupBy(*CLAIM_KEYS).agg(
         F.count(F.lit(1)).alias("n_resolved"),
         F.max(F.size(F.array_intersect("words", "_words"))).alias("n_shared"),
         F.size(F.array_distinct(F.flatten(F.collect_list(F.array_intersect("figures", "_figures"))))).alias("n_figures_found"),
     )
-    run_figures = evidence.select("run_id", F.explode(t.numbers(F.col("excerpt"))).alias("figure")).distinct()
+    run_figures = known.select("run_id", F.explode("_figures").alias("figure")).distinct()
     foreign = (
         claims.select(*CLAIM_KEYS, F.explode(figures).alias("figure"))
         .join(run_figures, ["run_id", "figure"], "left_anti")
         .groupBy(*CLAIM_KEYS)
         .agg(F.count(F.lit(1)).alias("n_foreign"))
     )
-    j = claims.join(support, CLAIM_KEYS, "left").join(foreign, CLAIM_KEYS, "left")
+    disputed = disputed_claims(claims, known).withColumn("disputed", F.lit(True))
+    j = claims.join(support, CLAIM_KEYS, "left").join(foreign, CLAIM_KEYS, "left").join(disputed, CLAIM_KEYS, "left")
     n_words, n_figures = F.size(words), F.size(figures)
     verdict = (
         F.when(F.col("is_gap"), "gap_acknowledged")
         .when(F.size("cited_ids") == 0, "uncited")
         .when(F.col("n_resolved").isNull(), "unsupported")
         .when(F.col("n_foreign").isNotNull(), "leakage")
+        .when(F.col("disputed"), "conflict")
         .when((F.col("n_figures_found") < n_figures) | (F.col("n_shared") < n_words * F.lit(overlap)), "unsupported")
         .otherwise("supported")
     )
     return j.select(*CLAIM_KEYS, "claim", "cited_ids", verdict.alias("assessment"))
 
 
+#: Words on each side of a figure that make up its context, and how many of them there must be.
+AROUND, LEAST_WORDS = 3, 4
+
+
 def figure_contexts(text: Column) -> Column:
-    """(context, value) for each number that follows a word: the context is that word, lower case."""
-    hits = F.regexp_extract_all(F.lower(text), F.lit(rf"(\p{{L}}+)[^\p{{L}}\p{{N}}]+({t.NUMBER_PATTERN})"), F.lit(0))
-    return F.transform(
-        hits,
-        lambda h: F.struct(
-            F.regexp_extract(h, r"^(\p{L}+)", 1).alias("context"),
-            F.regexp_extract(h, rf"({t.NUMBER_PATTERN})$", 1).alias("value"),
-        ),
-    )
+    """(context, value) for each number and each place of its context, lower case.
+
+    A context is the words around the number, which reads ``#`` as any other number does, with one of its places
+    blotted out (``*``). So two numbers whose surroundings differ in one word at most share a context exactly.
+    """
+    parts = F.regexp_extract_all(F.lower(text), F.lit(rf"{t.NUMBER_PATTERN}|\p{{L}}+"), F.lit(0))
+    number = lambda x: x.rlike("^[0-9]")
+    places = [k for k in range(-AROUND, AROUND + 1) if k]
+
+    def around(words: Column, i: Column) -> Column:
+        at = lambda k: F.coalesce(F.when(i + k >= 0, F.get(words, i + k)), F.lit(""))
+        return F.array(*[F.when(number(at(k)), "#").otherwise(at(k)) for k in places])
+
+    def blotted(context: Column, value: Column) -> Column:
+        place = lambda out: F.array_join(F.array(*[F.lit("*" if k == out else "#") if k in (0, out) else F.get(context, F.lit(places.index(k))) for k in range(-AROUND, AROUND + 1)]), " ")
+        enough = F.size(F.filter(context, lambda w: ~w.isin("", "#"))) >= LEAST_WORDS
+        every = F.array(*[F.named_struct(F.lit("context"), place(k), F.lit("value"), value) for k in places])
+        return F.when(enough, every).otherwise(F.filter(every, lambda x: F.lit(False)))
+
+    def found(words: Column) -> Column:
+        at = F.filter(F.transform(words, lambda x, i: F.when(number(x), i)), lambda i: i.isNotNull())
+        return F.flatten(F.transform(at, lambda i: t.bind(around(words, i), lambda c: blotted(c, F.get(words, i)))))
+
+    return t.bind(parts, found)
 
 
 def numeric_conflicts(rows: DataFrame, scope: list[str], text: str = "excerpt") -> DataFrame:

@@ -137,11 +137,19 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
     return cfg.read_requests(raw_requests(spark, sf))
 
 
-def pages(spark: SparkSession, sf: str) -> DataFrame:
+def page_texts(spark: SparkSession, sf: str) -> DataFrame:
     """The page corpus as crawl results."""
     return crawl.read_crawl(crawl.pages_as_fetches(table(spark, sf, "pages")))
 
 
+def pages(spark: SparkSession, sf: str) -> DataFrame:
+    """:func:`page_texts`; the paragraphs of every other page, but the last, close with a survey figure of the page, so
+    that sources can disagree."""
+    n = F.length("raw_html")
+    survey = F.concat(F.lit(" A yearly survey of the region counted "), (1000 + F.pmod(F.floor(n / 2), F.lit(3))).cast("string"), F.lit(" visitors on the main site.\n\n"))
+    return page_texts(spark, sf).withColumn("markdown", F.when(n % 2 == 0, F.replace("markdown", F.lit("\n\n"), survey)).otherwise(F.col("markdown")))
+
+
 def document_url() -> Column:
     top = (
         F.when(F.col("lang") == "en", "org").when(F.col("lang") == "fr", "gov").when(F.col("lang") == "es", "edu").otherwise("com")
@@ -230,14 +238,17 @@ def flawed_paragraph(iteration: int) -> Column:
         F.when(flaw == 0, F.col("excerpt"))
         .when(flaw == 1, F.concat("excerpt", F.lit(" [ev:ev_unknown]")))
         .when(flaw == 2, F.concat("excerpt", F.lit(" Observed 98765 cases."), marker))
+        .when(flaw.isin(4, 5, 6) & F.col("peer").isNotNull(), F.concat("excerpt", marker, F.lit("[ev:"), "peer", F.lit("]")))
         .otherwise(F.concat("excerpt", marker))
     )
 
 
 def model_responses(requests: DataFrame, evidence: DataFrame, picks: DataFrame, iteration: int) -> DataFrame:
-    """Writer responses of a careless model: some paragraphs lack markers, cite unknown ids or add a figure,
-    and the JSON comes bare, fenced or not at all."""
+    """Writer responses of a careless model: some paragraphs lack markers, cite unknown ids, add a figure or cite a further
+    survey without reading it, and the JSON comes bare, fenced or not at all."""
     flaw = _flaw(iteration)
+    surveys = evidence.where(F.contains("excerpt", F.lit("yearly survey"))).groupBy("run_id").agg(F.min("id").alias("peer"))
+    picks = picks.join(surveys, "run_id", "left")
     text = dr.assemble_drafts(requests, evidence, picks, flawed_paragraph(iteration), F.lit(iteration))
     cited = F.when(flaw == 1, F.lit("ev_unknown")).when(flaw != 0, F.col("id"))
     rows = F.array_sort(F.collect_list(F.struct(

@@ -123,6 +123,19 @@ def numbers(x: str) -> str:
     return f"regexp_extract_all({x}, {quote(t.NUMBER_PATTERN)})"
 
 
+def figure_contexts(x: str) -> str:
+    """Three words on each side of every number, each of the six left out in turn."""
+    place = lambda k: f"CASE WHEN i + {k} < 1 OR i + {k} > len(ps) THEN '' WHEN regexp_matches(ps[i + {k}], '^[0-9]') THEN '#' ELSE ps[i + {k}] END"
+    words = "[" + ", ".join(place(k) for k in (-3, -2, -1, 1, 2, 3)) + "]"
+    out = "list_transform(w, lambda v, n: CASE WHEN n = j THEN '*' ELSE v END)"
+    each = f"list_transform([1, 2, 3, 4, 5, 6], lambda j: {{'context': array_to_string({out}[1:3] || ['#'] || {out}[4:6], ' '), 'value': ps[i]}})"
+    enough = "len(list_filter(w, lambda v: v NOT IN ('', '#'))) >= 4"
+    one = f"list_transform([{words}], lambda w: CASE WHEN {enough} THEN {each} ELSE [] END)[1]"
+    numbers_at = "list_filter(range(1, len(ps) + 1), lambda i: regexp_matches(ps[i], '^[0-9]'))"
+    parts = f"regexp_extract_all(lower({x}), '[0-9]+(?:\\.[0-9]+)?|\\p{{L}}+')"
+    return f"list_transform([{parts}], lambda ps: flatten(list_transform({numbers_at}, lambda i: {one})))[1]"
+
+
 def parse_iso(x: str) -> str:
     return f"CASE WHEN regexp_matches({x}, '^\\d{{4}}-?\\d{{2}}-?\\d{{2}}') THEN try_cast(replace({x}, 'Z', '') AS TIMESTAMP) END"
 
@@ -246,7 +259,10 @@ CTES: dict[str, str] = {
       FROM (SELECT item_id, list_transform(list_filter(list_transform(range(1, len(x) + 1), lambda i: {{'i': i, 'v': x[i]}}),
               lambda s: list_position(x, s.v) = s.i), lambda s: s.v) AS w
             FROM (SELECT item_id, regexp_extract_all(lower(text), '\\p{{L}}+') AS x FROM benchmark))""",
-    "c_pages": f"SELECT url, {html_title('html')} AS title, {html_to_text('html')} AS markdown FROM pages",
+    "c_page_texts": f"SELECT url, html, {html_title('html')} AS title, {html_to_text('html')} AS markdown FROM pages",
+    "c_pages": """SELECT url, title, CASE WHEN length(html) % 2 = 0
+        THEN replace(markdown, chr(10) || chr(10), ' A yearly survey of the region counted ' || (1000 + (length(html) // 2) % 3) || ' visitors on the main site.' || chr(10) || chr(10))
+        ELSE markdown END AS markdown FROM c_page_texts""",
     "c_queries": """SELECT run_id, 0 AS query_pos, topic AS query FROM c_requests
       UNION ALL SELECT run_id, generate_subscripts(subtopics, 1), topic || ' ' || unnest(subtopics) FROM c_requests""",
     "c_page_tf": f"""SELECT url, term, count(*) AS tf FROM (
@@ -314,7 +330,9 @@ CTES: dict[str, str] = {
         SELECT run_id, path, iteration, -1 AS heading_pos, 0 AS rank, '# ' || heading AS line FROM c_headings JOIN c_fan USING (run_id), (SELECT unnest([1, 2, 3, 4, 9]) AS iteration) WHERE heading_pos = 0
         UNION ALL SELECT run_id, path, iteration, heading_pos, 0, '## ' || heading FROM c_headings JOIN c_fan USING (run_id), (SELECT unnest([1, 2, 3, 4, 9]) AS iteration)
         UNION ALL SELECT run_id, path, iteration, heading_pos, rank, CASE flaw WHEN 0 THEN excerpt WHEN 1 THEN excerpt || ' [ev:ev_unknown]'
-            WHEN 2 THEN excerpt || ' Observed 98765 cases. [ev:' || id || ']' ELSE excerpt || ' [ev:' || id || ']' END FROM c_flawed
+            WHEN 2 THEN excerpt || ' Observed 98765 cases. [ev:' || id || ']'
+            ELSE excerpt || ' [ev:' || id || ']' || CASE WHEN flaw IN (4, 5, 6) AND peer IS NOT NULL THEN '[ev:' || peer || ']' ELSE '' END END
+          FROM c_flawed LEFT JOIN (SELECT run_id, min(id) AS peer FROM c_evidence WHERE contains(excerpt, 'yearly survey') GROUP BY run_id) USING (run_id)
         UNION ALL SELECT run_id, path, iteration, heading_pos, 1, '[INSUFFICIENT EVIDENCE: ' || heading || ']' FROM c_headings JOIN c_fan USING (run_id), (SELECT unnest([1, 2, 3, 4, 9]) AS iteration)
           WHERE NOT EXISTS (SELECT 1 FROM c_picks k WHERE k.run_id = c_headings.run_id AND k.path = c_fan.path AND k.heading_pos = c_headings.heading_pos))
       WHERE run_id IN (SELECT run_id FROM c_evidence) GROUP BY run_id, path, iteration""",
@@ -330,7 +348,7 @@ CTES: dict[str, str] = {
     "c_paras": f"""SELECT run_id, path, iteration, unnest(ps) AS para, generate_subscripts(ps, 1) - 1 AS para_pos
       FROM (SELECT *, {paragraphs('content')} AS ps FROM c_drafts)""",
     "c_claim_rows": f"""SELECT run_id, path, iteration, para_pos, sent_pos, {strip(f"regexp_replace(sentence, {quote(t.CITATION_PATTERN)}, '', 'g')")} AS claim,
-        list_distinct(CASE WHEN len(own) > 0 THEN own ELSE para_ids END) AS cited_ids, is_gap FROM (
+        list_transform([CASE WHEN len(own) > 0 THEN own ELSE para_ids END], lambda l: list_filter(l, lambda v, i: list_position(l, v) = i))[1] AS cited_ids, is_gap FROM (
         SELECT *, {citation_ids('sentence')} AS own FROM (
           SELECT run_id, path, iteration, para_pos, is_gap, {citation_ids('para')} AS para_ids, unnest(ss) AS sentence, generate_subscripts(ss, 1) - 1 AS sent_pos
           FROM (SELECT *, CASE WHEN is_gap THEN [para] ELSE {sentences('para')} END AS ss FROM (
@@ -345,12 +363,18 @@ CTES: dict[str, str] = {
     "c_foreign": f"""SELECT DISTINCT run_id, path, iteration, para_pos, sent_pos FROM (
         SELECT *, unnest({numbers('claim')}) AS figure FROM c_claim_rows) c
       WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT run_id, unnest(figures) AS figure FROM c_ev_tokens) f WHERE f.run_id = c.run_id AND f.figure = c.figure)""",
+    "c_disputed": f"""SELECT DISTINCT run_id, path, iteration, para_pos, sent_pos FROM (
+        SELECT DISTINCT run_id, path, iteration, para_pos, sent_pos, id, x['context'] AS context FROM (
+          SELECT *, unnest(cited_ids) AS id FROM (SELECT *, unnest({figure_contexts('claim')}) AS x FROM c_claim_rows))) c
+      JOIN (SELECT run_id, id, x['context'] AS context, x['value'] AS value FROM (SELECT run_id, id, unnest({figure_contexts('excerpt')}) AS x FROM c_evidence)) e USING (run_id, id, context)
+      GROUP BY run_id, path, iteration, para_pos, sent_pos, context HAVING count(DISTINCT value) > 1""",
     "c_judged": f"""SELECT c.*, CASE WHEN is_gap THEN 'gap_acknowledged' WHEN len(cited_ids) = 0 THEN 'uncited' WHEN s.n_resolved IS NULL THEN 'unsupported'
-        WHEN f.run_id IS NOT NULL THEN 'leakage'
+        WHEN f.run_id IS NOT NULL THEN 'leakage' WHEN z.run_id IS NOT NULL THEN 'conflict'
         WHEN s.n_found < len(list_distinct({numbers('claim')})) OR s.n_shared < len(list_distinct({tokens('claim')})) * 0.6::DOUBLE THEN 'unsupported'
         ELSE 'supported' END AS assessment
       FROM c_claim_rows c LEFT JOIN c_support s USING (run_id, path, iteration, para_pos, sent_pos)
-      LEFT JOIN c_foreign f USING (run_id, path, iteration, para_pos, sent_pos)""",
+      LEFT JOIN c_foreign f USING (run_id, path, iteration, para_pos, sent_pos)
+      LEFT JOIN c_disputed z USING (run_id, path, iteration, para_pos, sent_pos)""",
     "c_reports": scored(tally("c_judged", "run_id, path, iteration")),
     "c_density": f"""SELECT run_id, path, iteration, content, structured, risk_profile, autopublish_threshold, min_citations, min_ratio, max_iterations,
         CASE WHEN content = '' THEN 0.0 WHEN len(subs) = 0 THEN 1.0

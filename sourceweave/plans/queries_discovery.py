@@ -35,9 +35,9 @@ def _(x):
     )
 
 
-@query("html_to_text", "SELECT url, title, markdown FROM c_pages")
+@query("html_to_text", "SELECT url, title, markdown FROM c_page_texts")
 def _(x):
-    return fx.pages(x.spark, x.sf).select("url", "title", "markdown")
+    return fx.page_texts(x.spark, x.sf).select("url", "title", "markdown")
 
 
 @query("read_policies", """SELECT policy_id, coalesce(name, policy_id) AS name, coalesce(allow, '') AS allow_list, peer, marketing, recent, max_age,

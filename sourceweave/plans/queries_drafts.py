@@ -265,7 +265,7 @@ def judge_responses(x):
     counts = v.tally_claims(c)
     summary = F.struct(
         F.when(F.col("path") != "apply", F.col("total_claims")).alias("total_claims"),
-        *[F.when(F.col("path") == "learn", F.col(n) + F.when(F.lit(n == "supported"), 1).otherwise(0)).otherwise(F.col(n)).alias(n) for n in v.COUNTS if n != "conflicts"],
+        *[F.when(F.col("path") == "learn", F.col(n) + F.when(F.lit(n == "supported"), 1).otherwise(0)).otherwise(F.col(n)).alias(n) for n in v.COUNTS],
     )
     body = F.to_json(F.struct(
         "claims", summary.alias("summary"), F.lit("checked").alias("overall_feedback"),
@@ -274,7 +274,7 @@ def judge_responses(x):
     return rows.join(counts, dr.UNIT_KEYS).select(*dr.UNIT_KEYS, F.when(F.col("path") == "explore", F.concat(F.lit("```\n"), body, F.lit("\n```"))).otherwise(body).alias("response"))
 
 
-_TALLIED = f"SELECT {UNIT}, total_claims, supported + CASE WHEN path = 'learn' THEN 1 ELSE 0 END AS supported, unsupported, uncited, leakage, 0 AS conflicts, gaps_acknowledged FROM c_reports WHERE iteration = 1"
+_TALLIED = f"SELECT {UNIT}, total_claims, supported + CASE WHEN path = 'learn' THEN 1 ELSE 0 END AS supported, unsupported, uncited, leakage, conflicts, gaps_acknowledged FROM c_reports WHERE iteration = 1"
 
 
 @query("parse_reports", f"SELECT {UNIT}, {_COUNTS}, round(pass_rate, 9) AS pass_rate, confidence, 'checked' AS overall_feedback FROM ({o.scored(_TALLIED)})")
@@ -340,14 +340,13 @@ def _(x):
     return x.draft_claims.select(*v.CLAIM_KEYS, "assessment")
 
 
-_CONTEXT = r"(\p{L}+)[^\p{L}\p{N}]+(" + t.NUMBER_PATTERN + ")"
-
-
 @query("numeric_conflicts", f"""SELECT run_id, context, count(*) AS n_values, sum(n)::BIGINT AS n_mentions, min(value) AS least, max(value) AS greatest FROM (
-    SELECT run_id, regexp_extract(h, '^(\\p{{L}}+)', 1) AS context, regexp_extract(h, '({t.NUMBER_PATTERN})$', 1) AS value, count(*) AS n FROM (
-      SELECT run_id, unnest(regexp_extract_all(lower(excerpt), {o.quote(_CONTEXT)})) AS h FROM c_doc_excerpts) GROUP BY ALL) GROUP BY run_id, context HAVING n_values > 1""")
+    SELECT run_id, x['context'] AS context, x['value'] AS value, count(*) AS n FROM (
+      SELECT run_id, unnest({o.figure_contexts('excerpt')}) AS x FROM (SELECT run_id, excerpt FROM c_doc_excerpts UNION ALL SELECT run_id, excerpt FROM c_evidence))
+    GROUP BY ALL) GROUP BY run_id, context HAVING n_values > 1""")
 def _(x):
-    return v.numeric_conflicts(x.document_excerpts, ["run_id"])
+    """Over all excerpts of the documents, and the evidence of the runs."""
+    return v.numeric_conflicts(x.document_excerpts.select("run_id", "id", "excerpt").union(x.evidence.select("run_id", "id", "excerpt")), ["run_id"])
 
 
 @query("attach_scores", f"""SELECT {UNIT}, confidence, round(least(1.0, greatest(0.0, pass_rate)), 9) AS coverage, round(source_diversity, 9) AS diversity, pass_rate > 1 AS clamped

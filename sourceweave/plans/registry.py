@@ -95,11 +95,16 @@ class Inputs:
 
     @cached_property
     def draft_claims(self) -> DataFrame:
-        return staged(v.rule_verify(staged(v.split_claims(self.drafts), "claims"), self.evidence), "draft-claims")
+        return staged(v.rule_verify(staged(v.split_claims(self.drafts), "claims"), self.evidence, facts=self.facts), "draft-claims")
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        """Words, figures and contexts of the evidence, which every round asks for."""
+        return staged(v.evidence_facts(self.evidence), "evidence-facts")
 
     def judge(self, units: DataFrame) -> DataFrame:
         """Reports of all units by the rule-based judge."""
-        found = v.rule_verify(staged(v.split_claims(units), "claims"), self.evidence)
+        found = v.rule_verify(staged(v.split_claims(units), "claims"), self.evidence, facts=self.facts)
         return v.with_scores(v.empty_report(units, v.tally_claims(found)))
 
     @cached_property

@@ -1,5 +1,6 @@
 import json
 
+import plans
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,3 +159,44 @@ def test_package_scores_without_units(spark):
     runs = spark.createDataFrame([("a",)], "run_id string")
     units = spark.createDataFrame([], "run_id string, scores struct<confidence:double,coverage:double,source_diversity:double>")
     assert tuple(pk.package_scores(runs, units).first()) == ("a", 0, 0.0, 0.0, 0.0)
+
+
+def claim_rows(spark, rows):
+    return spark.createDataFrame([("r", "p", 1, i, 0, c, ids, False) for i, (c, ids) in enumerate(rows)], "run_id string, path string, iteration int, para_pos int, sent_pos int, claim string, cited_ids array<string>, is_gap boolean")
+
+
+def test_cited_excerpts_that_disagree_on_a_figure_are_a_conflict(spark):
+    said = "A survey of the region counted {} visitors on the main site."
+    excerpts = [("a", said.format("1,200")), ("b", said.format("1300").replace("region", "county")), ("c", said.format("1300").replace("visitors", "cars").replace("region", "county")), ("d", said.format("1300"))]
+    excerpts = [(i, t.replace(",", "")) for i, t in excerpts] + [("e", None), ("f", "Only 1200 words.")]
+    evidence = spark.createDataFrame([("r", i, t) for i, t in excerpts], "run_id string, id string, excerpt string")
+    claims = claim_rows(spark, [
+        (said.format(1200), ["a", "d"]),  # the same words, two values
+        (said.format(1200), ["a", "b"]),  # one word differs
+        (said.format(1200), ["a", "c"]),  # two words differ
+        (said.format(1200), ["a"]),
+        (said.format(1300), ["b", "d"]),  # one value
+        ("The survey covers a region with a main site.", ["a", "d"]),  # speaks of no figure
+        (said.format(1200), ["a", "d", "e", "gone"]),
+        (said.format(77), ["a", "d"]),
+    ])
+    got = {r.para_pos: r.assessment for r in v.rule_verify(claims, evidence).collect()}
+    assert got == {0: "conflict", 1: "conflict", 2: "supported", 3: "supported", 4: "supported", 5: "supported", 6: "conflict", 7: "leakage"}
+    assert {r.para_pos: r.assessment for r in v.rule_verify(claims, evidence, facts=v.evidence_facts(evidence)).collect()} == got
+    assert v.tally_claims(v.rule_verify(claims, evidence)).first().conflicts == 3
+    assert v.rule_verify(claims.limit(0), evidence).count() == 0 == v.disputed_claims(claims, v.evidence_facts(evidence.limit(0))).count()
+
+
+def test_contexts_blot_out_one_place_each(spark):
+    df = spark.createDataFrame([("One two three 4 five six 7.5 eight",), ("1 2 3",), ("x 5",), (None,)], "s string")
+    got = [r.c for r in df.select(v.figure_contexts(F.col("s")).alias("c")).collect()]
+    assert [(x.context, x.value) for x in got[0]][:2] == [("* two three # five six #", "4"), ("one * three # five six #", "4")]
+    assert [x.value for x in got[0]] == ["4"] * 6 and got[1:3] == [[], []] and got[3] is None
+
+
+def test_many_figures_in_one_excerpt_are_counted_not_paired(spark):
+    text = " ".join(f"on the way we met {i} people there" for i in range(3000))
+    evidence = spark.createDataFrame([("r", "a", text)], "run_id string, id string, excerpt string")
+    claims = claim_rows(spark, [("We know that on the way we met 12 people there.", ["a"])])
+    assert v.rule_verify(claims, evidence).first().assessment == "conflict"
+    assert "NestedLoop" not in plans.text_of(v.disputed_claims(claims, v.evidence_facts(evidence)))
