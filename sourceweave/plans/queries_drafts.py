@@ -65,24 +65,24 @@ def _(x):
     ))
 
 
-@query("get", "SELECT id, url, excerpt FROM c_doc_excerpts WHERE id = (SELECT min(id) FROM c_doc_excerpts)")
+@query("get", f"SELECT id, url, excerpt FROM ({_STORED}) WHERE id = (SELECT min(id) FROM ({_STORED}))")
 def _(x):
-    wanted = x.document_excerpts.agg(F.min("id")).first()[0]
-    return ev.get(x.document_excerpts, wanted).select("id", "url", "excerpt")
+    wanted = store.read_store(x.spark, x.store).agg(F.min("id")).first()[0]
+    return store.get(x.spark, x.store, wanted).select("id", "url", "excerpt")
 
 
 @query("get_many", f"SELECT id, url, locator FROM ({_STORED}) WHERE id IN (SELECT id FROM c_doc_evidence)")
 def _(x):
-    return ev.get_many(stored(x), x.document_evidence.select("id")).select("id", "url", "locator")
+    return store.get_many(x.spark, x.store, x.document_evidence.select("id")).select("id", "url", "locator")
 
 
 _AT = "TIMESTAMP '2024-01-31 00:00:00' + to_minutes(page_pos)"
 
 
-@query("search", f"""SELECT id, url, {T.format('seen_at')} AS retrieved FROM (SELECT *, {_AT} AS seen_at FROM c_doc_excerpts)
+@query("search", f"""SELECT id, url, {T.format('seen_at')} AS retrieved FROM (SELECT *, {_AT} AS seen_at FROM ({_STORED}))
     WHERE starts_with(lower(url), 'https://src1') AND (contains(lower(coalesce(title, '')), 'the') OR contains(lower(excerpt), 'the')) ORDER BY seen_at DESC, id LIMIT 50""")
 def _(x):
-    return ev.search(x.document_excerpts, url="HTTPS://src1", topic="The").select("id", "url", stamp("retrieved_at").alias("retrieved"))
+    return ev.search(store.read_store(x.spark, x.store), url="HTTPS://src1", topic="The").select("id", "url", stamp("retrieved_at").alias("retrieved"))
 
 
 @query("search_many", f"""SELECT topic, id, row_number() OVER (PARTITION BY topic ORDER BY seen_at DESC, id) AS rank FROM (SELECT *, {_AT} AS seen_at FROM c_doc_excerpts) e
@@ -95,12 +95,12 @@ def _(x):
 
 @query("exists_by_hash", f"SELECT id, excerpt_hash, excerpt_hash IN (SELECT excerpt_hash FROM ({_STORED})) AS stored FROM c_doc_excerpts")
 def _(x):
-    return ev.exists_by_hash(x.document_excerpts.select("id", "excerpt_hash"), stored(x)).select("id", "excerpt_hash", "stored")
+    return store.exists_by_hash(x.document_excerpts.select("id", "excerpt_hash"), x.store).select("id", "excerpt_hash", "stored")
 
 
 @query("count", f"SELECT count(*) AS n FROM ({_STORED})")
 def _(x):
-    return ev.count(stored(x))
+    return ev.count(store.read_store(x.spark, x.store))
 
 
 @query("round_trip", f"""SELECT id, title, author, {T.format('published_at')} AS published, {T.format(_AT)} AS retrieved, excerpt_hash, sha256(excerpt) AS text_hash,

@@ -500,7 +500,7 @@ def _(x):
     return triggers.webhook_events(fx.job_log(x.spark, x.sf)).select("event_id", "job_id", "kind")
 
 
-@query("ingest_stream", f"""SELECT url, locator, excerpt_hash FROM ({o.excerpt_rows('c_pages', 'url')}) QUALIFY row_number() OVER (PARTITION BY excerpt_hash ORDER BY url, chunk_pos) = 1""")
+@query("ingest_stream", f"""SELECT url, locator, excerpt_hash FROM ({o.excerpt_rows('c_page_texts', 'url')}) QUALIFY row_number() OVER (PARTITION BY excerpt_hash ORDER BY url, chunk_pos) = 1""")
 def _(x):
     """The page files as a stream into a new store, then the same files again: the repeat adds nothing."""
     base = scratch_path(x.spark, "ingest")

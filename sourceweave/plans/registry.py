@@ -12,8 +12,9 @@ from ..operators import discovery as d
 from ..operators import drafts as dr
 from ..operators import package as pk
 from ..operators import verify as v
-from ..session import staged
+from ..session import scratch_path, staged
 from ..sources import config_tables as cfg
+from ..sources import store
 from . import evidence_run, rewrite
 from . import fixtures as fx
 from .oracle import check_sql
@@ -73,6 +74,14 @@ class Inputs:
         at = F.timestamp_seconds(F.unix_seconds(fx.retrieved_at()) + F.col("page_pos") * 60)
         return d.extract_evidence(d.drop_empty_pages(self.document_pages), at)
 
+    @cached_property
+    def store(self) -> str:
+        """A written store of the labelled documents' excerpts: they play the part of what was stored before."""
+        path = scratch_path(self.spark, "evidence-store")
+        labelled = self.table("labels").select(F.col("doc_id").alias("page_pos"))
+        store.write_evidence(self.document_excerpts.join(labelled, "page_pos", "left_semi"), path, ["page_pos", "chunk_pos"])
+        return path
+
     @cached_property
     def document_evidence(self) -> DataFrame:
         return staged(d.cap_evidence(self.document_excerpts), "document-evidence")

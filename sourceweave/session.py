@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "sourceweave", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -29,7 +30,7 @@ def build_session(app: str = "sourceweave", master: str | None = None, shuffle_p
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a scratch one only in local mode when it is unset."""
+    """Folder named by ``spark.checkpoint.dir``; in local mode, where it may be unset, one in the working folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         current = spark.sparkContext.getCheckpointDir()
@@ -37,7 +38,7 @@ def checkpoint_root(spark: SparkSession) -> str:
             return current
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="sourceweave-")
+        root = os.path.join(os.getcwd(), "spark-checkpoints")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -57,3 +58,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """:func:`staged` with the number of rows, observed while they are written."""
+    seen = Observation(name)
+    return staged(df.observe(seen, F.count(F.lit(1)).alias("n")), name), seen.get["n"]

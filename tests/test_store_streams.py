@@ -1,3 +1,4 @@
+import plans
 from pyspark.sql import functions as F
 
 from sourceweave import schemas
@@ -44,12 +45,56 @@ def test_equal_rows_go_in_once_and_rows_without_keys_never(spark):
     assert store.write_evidence(rows, path, ["pos"]) == 0
 
 
-def test_only_the_batch_s_buckets_are_read(spark):
-    path = scratch_path(spark, "t-buckets")
-    store.write_evidence(batch(spark, [(f"i{n}", f"{n:02x}aa", n) for n in range(64)]), path, ["pos"])
-    plan = store.read_store(spark, path, ["05"])._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(hash_bucket" in plan and plan.count("hash_bucket") > 0
-    assert [r.id for r in store.read_store(spark, path, ["05"]).collect()] == ["i5"]
+def many(spark, ids):
+    return batch(spark, [(f"id{n}", f"{n:05x}", n) for n in ids])
+
+
+def test_only_parts_that_may_hold_a_key_are_read(spark, monkeypatch):
+    monkeypatch.setattr(store, "ROWS_PER_PART", 16)
+    path = scratch_path(spark, "t-parts")
+    assert store.write_evidence(many(spark, range(1500)), path, ["pos"]) == 1500
+    assert store.write_evidence(many(spark, range(1400, 3000)), path, ["pos"]) == 1500
+    for kind, key in store.KEYS.items():
+        names = store.parts(spark, path).where(F.col("kind") == kind).select("part").distinct().count()
+        known = store.may_hold(spark, path, kind, many(spark, [7, 2000]).select(key))
+        assert names > 300 and known.count() <= 80  # what is read, of 3,000 rows
+        assert {r[0] for r in known.select(key).collect()} >= {r[0] for r in many(spark, [7, 2000]).select(key).collect()}
+        absent = store.may_hold(spark, path, kind, many(spark, range(90_000, 90_100)).select(key))
+        assert absent.count() <= 200
+        assert "part#" in plans.text_of(known).split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_lookups_on_the_written_store(spark, monkeypatch):
+    monkeypatch.setattr(store, "ROWS_PER_PART", 50)
+    path = scratch_path(spark, "t-look")
+    assert store.get(spark, path, "id1").count() == 0
+    store.write_evidence(many(spark, range(300)), path, ["pos"])
+    assert [r.excerpt_hash for r in store.get(spark, path, "id7").collect()] == ["00007"]
+    assert store.get(spark, path, "gone").count() == 0
+    asked = spark.createDataFrame([("id1",), ("id299",), ("id300",), (None,)], "id string")
+    assert sorted(r.id for r in store.get_many(spark, path, asked).collect()) == ["id1", "id299"]
+    hashes = spark.createDataFrame([("00001",), ("nope",), (None,)], "excerpt_hash string")
+    assert {r.excerpt_hash: r.stored for r in store.exists_by_hash(hashes, path).collect()} == {"00001": True, "nope": False, None: False}
+
+
+def test_compaction_keeps_the_rows_and_grows_the_buckets(spark, monkeypatch):
+    path = scratch_path(spark, "t-compact")
+    for n in range(0, 90, 30):
+        store.write_evidence(many(spark, range(n, n + 30)), path, ["pos"])
+    monkeypatch.setattr(store, "ROWS_PER_PART", 10)
+    store.compact(spark, path)
+    assert store.read_store(spark, path).count() == 90
+    assert {r[0] for r in store.parts(spark, path).select(F.length("bucket")).distinct().collect()} == {1}
+    assert store.write_evidence(many(spark, range(80, 100)), path, ["pos"]) == 10
+    assert [r.id for r in store.get(spark, path, "id85").collect()] == ["id85"]
+
+
+def test_unlisted_parts_do_not_count(spark):
+    path = scratch_path(spark, "t-half")
+    store.write_evidence(many(spark, range(5)), path, ["pos"])
+    many(spark, [9]).select(*schemas.EVIDENCE_COLUMNS).withColumn("part", F.lit("half-")).write.mode("append").partitionBy("part").parquet(f"{path}/rows")
+    assert store.read_store(spark, path).count() == 5
+    assert store.write_evidence(many(spark, [9]), path, ["pos"]) == 1
 
 
 def test_hot_hash_leaves_one_row(spark):
