@@ -73,36 +73,3 @@ def relevance_cap(evidence: DataFrame, similarities: DataFrame, per_run: int) ->
         F.when(~by_length, F.col("similarity")).desc_nulls_last(), F.when(by_length, F.col("n_chars")).desc_nulls_last(), "id"
     )
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_run).drop("_has")
-
-
-#: Vectors and queries that are compared with each other inside one row.
-BLOCK, QUERY_BLOCK = 256, 64
-
-
-def _blocks(rows: DataFrame, key: str, dim: int, size: int, name: str) -> DataFrame:
-    """One row for each block of about ``size`` vectors, with their keys and lengths."""
-    fits = F.col("embedding").isNull() | (F.size("embedding") == dim)
-    embedding = F.when(fits, F.col("embedding")).otherwise(F.raise_error(F.lit(f"a vector has not {dim} components")))
-    rows = rows.filter(F.col(key).isNotNull()).select(key, embedding.alias("e"))
-    n = max(1, -(-rows.count() // size))
-    one = F.struct(key, "e", norm(F.col("e")).alias("n"))
-    return rows.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias("_block")).agg(F.collect_list(one).alias(name)).drop("_block")
-
-
-def knn_queries(queries: DataFrame, vectors: DataFrame, k: int, dim: int) -> DataFrame:
-    """The nearest ``k`` of ``vectors`` (id, embedding) to each of ``queries`` (query, embedding): query, id, similarity, rank.
-
-    Exact: every query meets every vector. Blocks of both are compared inside a row, which passes on the best ``k`` of the
-    block for each query; these are merged. Filter ``vectors`` by metadata before. Rows without id or query are left out.
-    """
-    asked, held = _blocks(queries, "query", dim, QUERY_BLOCK, "_asked"), _blocks(vectors, "id", dim, BLOCK, "_held")
-
-    def nearest(q: Column) -> Column:
-        found = F.transform("_held", lambda x: F.struct(F.round(F.try_divide(dot(x["e"], q["e"]), x["n"] * q["n"]), DIGITS).alias("similarity"), x["id"].alias("id")))
-        order = F.transform(found, lambda x: F.struct(x["similarity"].isNull().alias("none"), (-x["similarity"]).alias("least"), x["id"].alias("id")))
-        return F.slice(F.array_sort(order), 1, k)
-
-    local = held.crossJoin(asked).select(F.explode(F.transform("_asked", lambda q: F.struct(q["query"].alias("query"), nearest(q).alias("best")))).alias("x"))
-    ranked = local.select("x.query", F.explode("x.best").alias("b")).select("query", "b.id", (-F.col("b.least")).alias("similarity"))
-    best = W.partitionBy("query").orderBy(F.col("similarity").desc_nulls_last(), "id")
-    return ranked.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

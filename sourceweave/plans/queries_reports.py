@@ -11,6 +11,7 @@ from ..operators import package as pk
 from ..operators import ranking as rk
 from ..operators import style as st
 from ..operators import tagging as tg
+from ..operators import vector_index as vi
 from ..operators import verify as v
 from ..session import scratch_path, staged
 from ..sources import sinks, store
@@ -366,13 +367,27 @@ def _(x):
     return near.select("label", "vec_id", "similarity", "rank")
 
 
-@query("knn_queries")
-def _(x):
-    """Every vector whose id is divisible by 50 against all English ones, exactly."""
+_NEAREST = """SELECT query, id, similarity, row_number() OVER (PARTITION BY query ORDER BY similarity DESC NULLS LAST, id) AS rank FROM (
+    SELECT q.vec_id AS query, e.vec_id AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS similarity
+    FROM embeddings e JOIN documents ON doc_id = e.vec_id AND lang = 'en' JOIN embeddings q ON q.vec_id % 50 = 0) QUALIFY rank <= 10"""
+
+
+def nearest(x, probes):
+    """Every vector whose id is divisible by 50 against the English ones of the index."""
     e = x.table("embeddings")
-    english = x.table("documents").filter("lang = 'en'").select(F.col("doc_id").alias("vec_id"))
-    held = e.join(english, "vec_id", "left_semi").select(F.col("vec_id").alias("id"), "embedding")
-    return rk.knn_queries(e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "embedding"), held, 10, DIM)
+    return vi.search(x.vectors, e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "embedding"), 10, probes, F.col("lang") == "en")
+
+
+@query("knn_queries", _NEAREST)
+def _(x):
+    """Exactly: all lists are entered."""
+    return nearest(x, None)
+
+
+@query("knn_index")
+def _(x):
+    """By the nearest lists: its recall against :func:`nearest` of all lists is tested."""
+    return nearest(x, -(-7 * x.vectors.lists // 8))
 
 
 _RUN = "source || '/' || lang"

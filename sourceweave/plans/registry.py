@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import discovery as d
 from ..operators import drafts as dr
 from ..operators import package as pk
+from ..operators import vector_index
 from ..operators import verify as v
 from ..session import scratch_path, staged
 from ..sources import config_tables as cfg
@@ -82,6 +83,14 @@ class Inputs:
         store.write_evidence(self.document_excerpts.join(labelled, "page_pos", "left_semi"), path, ["page_pos", "chunk_pos"])
         return path
 
+    @cached_property
+    def vectors(self) -> vector_index.VectorIndex:
+        """Index of the embeddings by language of their document, eight lists at least."""
+        e = self.table("embeddings")
+        langs = self.table("documents").select(F.col("doc_id").alias("vec_id"), "lang")
+        rows = e.join(langs, "vec_id", "left").select(F.col("vec_id").alias("id"), "embedding", "lang")
+        return vector_index.build(rows, scratch_path(self.spark, "vector-index"), 64, ("lang",), lists=max(8, e.count() // vector_index.LIST_ROWS))
+
     @cached_property
     def document_evidence(self) -> DataFrame:
         return staged(d.cap_evidence(self.document_excerpts), "document-evidence")

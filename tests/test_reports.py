@@ -1,5 +1,8 @@
+import math
+import random
 import statistics
 
+import plans
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +11,7 @@ from sourceweave.operators import package as pk
 from sourceweave.operators import ranking as rk
 from sourceweave.operators import style as st
 from sourceweave.operators import tagging as tg
+from sourceweave.operators import vector_index as vi
 
 
 def test_style_metrics(spark):
@@ -83,40 +87,54 @@ def test_cyclic_taxonomy_is_refused(spark):
         tg.tag_closure(tree)
 
 
-def test_nearest_of_query_vectors(spark):
-    import math
-    import random
+def near_by_hand(rows, asked, k):
+    def cos(a, b):
+        n = math.sqrt(sum(x * x for x in a) * sum(y * y for y in b)) if a and b else 0
+        return round(sum(x * y for x, y in zip(a, b)) / n, 6) if n else None
 
-    rng = random.Random(3)
+    out = {}
+    for q in asked:
+        scored = sorted(((cos(rows[q], v) is None, -(cos(rows[q], v) or 0), i) for i, v in rows.items()))
+        out[q] = [i for _, _, i in scored[:k]]
+    return out
+
+
+def test_indexed_search(spark, tmp_path):
+    rng = random.Random(8)
     centres = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(12)]
-    rows = [(i, [float(c + rng.gauss(0, 0.6)) for c in centres[i % 12]]) for i in range(600)]
-    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
-    vectors = spark.createDataFrame(rows, "id long, embedding array<double>")
-    asked = vectors.filter("id % 50 = 0").withColumnRenamed("id", "query")
-    got = rk.knn_queries(asked, vectors, 10, 16).collect()
-    hits = 0
-    for q in range(0, 600, 50):
-        best = sorted(range(600), key=lambda i: (-round(cos(rows[q][1], rows[i][1]), 6), i))[:10]
-        mine = {r.id: r for r in got if r.query == q}
-        assert all(abs(r.similarity - cos(rows[q][1], rows[i][1])) < 2e-6 for i, r in mine.items())
-        hits += len(set(best) & set(mine))
+    rows = {i: [c + rng.gauss(0, 0.4) for c in centres[i % 12]] for i in range(600)} | {600: [0.0] * 16, 601: None, 602: [1.0] * 16, 603: [1.0] * 16}
+    vectors = spark.createDataFrame([(i, v, "x" if i % 2 else "y") for i, v in rows.items()] + [(None, [1.0] * 16, "x")], "id long, embedding array<double>, kind string")
+    index = vi.build(vectors, str(tmp_path / "index"), 16, ("kind",), lists=12)
+    assert index.rows.count() == len(rows)
+    asked = vectors.filter("id % 50 = 0").select(F.col("id").alias("query"), "embedding")
+    exact = vi.search(index, asked, 10)
+    got = {q: [r.id for r in sorted((r for r in exact.collect() if r["query"] == q), key=lambda r: r["rank"])] for q in range(0, 601, 50)}
+    assert got == near_by_hand(rows, range(0, 601, 50), 10)
+    some = vi.search(index, asked.where("query < 600"), 10, probes=3)
+    hits = sum(len(set(got[q]) & {r.id for r in some.collect() if r["query"] == q}) for q in range(0, 600, 50))
     assert hits >= 0.9 * 120
+    odd = vi.search(index, asked, 10, keep=F.col("kind") == "x")
+    assert {r.id % 2 for r in odd.collect()} == {1}
+    for df in (exact, some, odd):
+        text = plans.text_of(df)
+        assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+    assert "PartitionFilters: [isnotnull(kind" in plans.text_of(odd)
+
+
+def test_index_of_no_vectors(spark, tmp_path):
+    none = spark.createDataFrame([], "id long, embedding array<double>")
+    index = vi.build(none, str(tmp_path / "none"), 4)
+    assert vi.search(index, none.withColumnRenamed("id", "query"), 3).count() == 0
+    with pytest.raises(Exception, match="components"):
+        vi.build(spark.createDataFrame([(1, [1.0])], "id long, embedding array<double>"), str(tmp_path / "bad"), 4)
 
 
-def test_nearest_of_query_vectors_misses_none(spark, monkeypatch):
-    import math
-    import random
+def test_index_recall_on_the_sample(spark):
+    from sourceweave.plans import catalogue
 
-    monkeypatch.setattr(rk, "BLOCK", 50, raising=False)
-    monkeypatch.setattr(rk, "QUERY_BLOCK", 4, raising=False)
-    rng = random.Random(8)
-    rows = [(i, [float(rng.gauss(0, 1)) for _ in range(64)]) for i in range(600)]
-    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
-    vectors = spark.createDataFrame(rows, "id long, embedding array<double>")
-    got = rk.knn_queries(vectors.filter("id % 50 = 0").withColumnRenamed("id", "query"), vectors, 10, 64).collect()
-    for q in range(0, 600, 50):
-        best = sorted(range(600), key=lambda i: (-round(cos(rows[q][1], rows[i][1]), 6), i))[:10]
-        assert [r.id for r in sorted(got, key=lambda r: r["rank"]) if r.query == q] == best
+    sf = "/root/testdata/sf0.1"
+    exact, some = ({(r["query"], r.id) for r in catalogue.run(n, spark, sf).collect()} for n in ("knn_queries", "knn_index"))
+    assert len(exact & some) >= 0.9 * len(exact)
 
 
 def test_wrong_vector_length_is_an_error(spark):
