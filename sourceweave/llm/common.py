@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path, staged
 
-__all__ = ["WORD_GAP", "keyed_join", "lower_ascii", "read", "rounded", "salted_join", "staged", "stored", "words"]
+__all__ = ["WORD_GAP", "lower_ascii", "read", "rounded", "salted_join", "staged", "stored", "words"]
 
 #: A word is a longest run of characters other than these (Java regular expression).
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -40,15 +40,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keyed_join(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
-    """Equi join with a written table of one row a key.
-
-    Its files tell Spark whether it may be broadcast; beyond that limit both sides are dealt by key and adaptive
-    execution splits the partitions of ``left`` that a hot key fills.
-    """
-    return left.join(right, on, how)
-
-
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str, spread: Column, salts: int = 32) -> DataFrame:
     """Equi join in which each key of ``left`` goes to up to ``salts`` tasks.
 

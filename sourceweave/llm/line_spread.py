@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_join, staged, words
+from .common import staged, words
 
 MIN_SITES, MIN_WORDS = 8, 4
 MARGIN, SKETCH_BITS = 0.10, 12
-#: A text that would lose more than this share of its words stays whole, unless ``copies`` decides.
+#: A text that other rows hold as a whole stays so if it would lose more than this share of its words: it is a copied
+#: document, which is for document dedup to judge.
 MOST = 0.5
 
 
@@ -43,11 +44,10 @@ def boilerplate(docs: DataFrame, site: str = "source") -> DataFrame:
     return staged(clear.union(exact.where(F.col("sites") >= MIN_SITES).select("line")), "boilerplate")
 
 
-def without_boilerplate(docs: DataFrame, site: str = "source", copies: bool = False) -> DataFrame:
+def without_boilerplate(docs: DataFrame, site: str = "source") -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, and ``n_lines``, ``n_removed``.
 
-    A text that would lose more than ``MOST`` of its words stays whole. With ``copies`` it stays only if other
-    rows hold it as a whole too, a matter for document dedup. A null text stays null with no lines; repeated
+    Boilerplate goes however much of a text it is, save in texts that other rows hold as a whole (see ``MOST``). A null text stays null with no lines; repeated
     rows are treated each alike; a doc_id may be null or repeat. Columns named like a result, or underscored like a step here, are replaced.
     """
     docs = docs.drop("_id", "_text", "_out", "_marked", "_goes", "_rest")
@@ -65,12 +65,11 @@ def without_boilerplate(docs: DataFrame, site: str = "source", copies: bool = Fa
     )
     count = lambda test: F.aggregate(F.filter("_marked", test), F.lit(0), lambda n, x: n + x["n"])
     goes = F.coalesce(count(lambda x: x["out"]) <= MOST * count(lambda x: F.lit(True)), F.lit(False))
-    if copies:
-        # only texts with something to lose are asked for
-        texts = rows.where("_out IS NOT NULL").groupBy("_text").agg(F.count(F.lit(1)).alias("_n"))
-        twice = staged(texts.where("_n > 1").select("_text", F.lit(True).alias("_goes")), "line-copies")
-        marked = keyed_join(marked, twice, ["_text"], "left")
-        goes = F.col("_out").isNotNull() & (goes | F.col("_goes").isNull())
+    # only texts with something to lose are asked for
+    texts = rows.where("_out IS NOT NULL").groupBy("_text").agg(F.count(F.lit(1)).alias("_n"))
+    twice = staged(texts.where("_n > 1").select("_text", F.lit(True).alias("_goes")), "line-copies")
+    marked = marked.join(twice, "_text", "left")
+    goes = F.col("_out").isNotNull() & (goes | F.col("_goes").isNull())
     rest = F.array_join(F.transform(F.filter("_marked", lambda x: ~x["out"]), lambda x: x["line"]), "\n")
     return (
         marked.withColumn("_goes", goes)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD_GAP, keyed_join, rounded, staged, words
+from .common import WORD_GAP, rounded, staged, words
 
 RUN = 8
 SYMBOLS = "#*$%&|<>"
@@ -102,7 +102,7 @@ def _grouped(rows: DataFrame) -> DataFrame:
     own = F.xxhash64(F.lit("source"), "_lang", "_source")
     pooled = F.when(F.col("_pool") >= OWN_ROWS, F.xxhash64(F.lit("language"), "_lang")).otherwise(F.xxhash64(F.lit("rest")))
     keys = sizes.join(pools, "_lang", "left").select("_lang", "_source", F.when(rare, pooled).otherwise(own).alias("_group"))
-    return keyed_join(rows, staged(keys, "outlier-groups"), ["_lang", "_source"], "inner")
+    return rows.join(staged(keys, "outlier-groups"), ["_lang", "_source"], "inner")
 
 
 def _start(fit: DataFrame) -> DataFrame:
@@ -143,7 +143,7 @@ def _factored(model: DataFrame, key: list[str]) -> DataFrame:
 
 def _distances(rows: DataFrame, model: DataFrame, key: list[str], how: str) -> DataFrame:
     """``rows`` with ``_d``, the squared Mahalanobis distance to the model of their key."""
-    a = keyed_join(rows, model.select(*key, *MODEL), key, how)
+    a = rows.join(model.select(*key, *MODEL), key, how)
     for i in range(P):
         rest = F.col(VECTOR[i]) - F.col(f"_m{i}")
         for k in range(i):

@@ -66,10 +66,10 @@ spans AS (
   SELECT r, kind, s, s + length(m) AS e,
     CASE WHEN kind = 0 THEN regexp_extract(m, (SELECT pattern FROM p WHERE kind = 0), 2) ELSE m END AS v FROM placed),
 good AS (SELECT * FROM spans WHERE kind <> 0 OR length(v) >= 6),
-held AS (SELECT v, count(DISTINCT source) AS owners FROM good JOIN d USING (r) GROUP BY v),
+held AS (SELECT v, count(DISTINCT source) >= 3 OR count(DISTINCT (source, coalesce(doc_id::VARCHAR, ''))) >= 10 AS example FROM good JOIN d USING (r) GROUP BY v),
 judged AS (
-  SELECT good.*, owners >= 3 AS example,
-    owners < 3 AND length(good.v) >= 16 AND len(list_distinct(string_split(good.v, ''))) >= 8 AND regexp_matches(good.v, '[0-9]') AS live
+  SELECT good.*, example,
+    NOT example AND length(good.v) >= 16 AND len(list_distinct(string_split(good.v, ''))) >= 8 AND regexp_matches(good.v, '[0-9]') AS live
   FROM good JOIN held ON good.v = held.v),
 named AS (
   SELECT *, concat_ws(':', CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'live' END, s, e) AS t FROM judged),
@@ -106,13 +106,15 @@ w AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l),
 b AS (SELECT line FROM w WHERE n >= 4 GROUP BY line HAVING count(DISTINCT site) >= 8),
 m AS (SELECT w.*, b.line IS NOT NULL AS gone FROM w LEFT JOIN b ON w.line = b.line),
 k AS (
-  SELECT r, count(*) AS n_lines, coalesce(sum(n) FILTER (gone), 0) <= 0.5 * sum(n) AS goes, count(*) FILTER (gone) AS n_gone,
+  SELECT r, count(*) AS n_lines, count(*) FILTER (gone) AS n_gone, coalesce(sum(n) FILTER (gone), 0) > 0.5 * sum(n) AS most,
     coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS rest, string_agg(line, chr(10) ORDER BY i) AS whole
   FROM m GROUP BY r),
+c AS (SELECT whole FROM k GROUP BY whole HAVING count(*) > 1),
+g AS (SELECT k.*, NOT (most AND c.whole IS NOT NULL) AS goes FROM k LEFT JOIN c USING (whole)),
 t AS (
   SELECT doc_id, coalesce(n_lines, 0) AS n_lines, CASE WHEN goes THEN n_gone ELSE 0 END AS n_removed,
     coalesce(CASE WHEN goes THEN rest ELSE whole END, '') AS kept
-  FROM d LEFT JOIN k USING (r))
+  FROM d LEFT JOIN g USING (r))
 SELECT doc_id, n_lines, n_removed, length(kept) AS n_chars, sha256(kept) AS text_sha256 FROM t
 """
 
@@ -146,8 +148,9 @@ FROM d LEFT JOIN cut USING (r) LEFT JOIN kept USING (r)
 
 @query("op8_warc")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
-    archives = warc.write_archives(read(spark, sf, "pages").select("page_id", "url", "html"))
-    records = warc.read_ranges(archives, warc.build_index(archives).captures())
+    pages = read(spark, sf, "pages").select("page_id", "url", "html")
+    archives = warc.write_archives(pages)
+    records = warc.read_ranges(archives, warc.build_index(archives).find(pages.select("url")))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_join, staged
+from ..functions.html import running
+from .common import staged
 
 ASSIGN = (
     r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
@@ -25,8 +26,8 @@ FURTHER = (
     r"|[a-z][a-z0-9+]{1,15}://[A-Za-z0-9_.-]+:[A-Za-z0-9_.!-]{6,}@"
 )
 KINDS = ["assign", "access", "hex", "live"]
-#: A value held by so many owners is an example that people copy.
-EXAMPLE_OWNERS = 3
+#: A value held by so many owners, or by so many repositories of whatever owners, is an example that people copy.
+EXAMPLE_OWNERS, EXAMPLE_REPOS = 3, 10
 #: A live-looking value has at least so many characters, so many of them different, and a digit.
 LIVE_LENGTH, LIVE_DISTINCT = 16, 8
 
@@ -37,15 +38,9 @@ def _matches(text: Column, pattern: str) -> Column:
 
 def _placed(text: Column, found: Column, pattern: str) -> Column:
     """Start of each match in code points, from the lengths of the pieces between matches."""
-    pieces = F.transform(F.split(text, pattern, -1), F.length)
-    steps = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(p.alias("gap"), F.length(m).alias("long")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    walk = F.aggregate(
-        steps,
-        start,
-        lambda a, s: F.struct((a["at"] + s["gap"] + s["long"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + s["gap"])).alias("starts")),
-    )
-    return walk["starts"]
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    steps = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda gap, m: gap + F.length(m))
+    return F.zip_with(running(steps, lambda at, step: at + step), found, lambda end, m: end - F.length(m))
 
 
 def _spans(kind: int, starts: Column, found: Column) -> Column:
@@ -85,26 +80,27 @@ def scan(docs: DataFrame, repo: str = "doc_id", owner: str = "source") -> DataFr
     """One row per row of ``docs``: its columns but the text, and what was found.
 
     ``secrets`` is an array of (start, kind, end) in order of start, then kind: every base match, and each further
-    match whose value fewer than ``EXAMPLE_OWNERS`` owners hold and that looks live. ``n_live`` and ``n_example`` count
-    the candidates by verdict. Null text, repository or owner: no match, one empty name each. Repeated rows are
+    match whose value looks live and is held by fewer than ``EXAMPLE_OWNERS`` owners and fewer than ``EXAMPLE_REPOS``
+    repositories (the same repository name under two owners is two). ``n_live`` and ``n_example`` count the candidates by
+    verdict. Time grows in proportion to a text's length and, but for sorting, its matches. Null text, repository or owner: no match, one empty name each. Repeated rows are
     judged each, but count once as a holder. Columns named like a result are replaced.
     """
     rows = staged(find_candidates(docs).withColumn("_row", F.monotonically_increasing_id()).drop("text"), "secret-rows")
     one = rows.select(
         "_row", F.coalesce(F.col(repo).cast("string"), F.lit("")).alias("_repo"), F.coalesce(F.col(owner), F.lit("")).alias("_owner"), F.explode("_found").alias("f")
-    ).select("_row", "_repo", "_owner", "f.start", "f.kind", F.sha2("f.value", 256).alias("_hash"), looks_live(F.col("f.value")).alias("_looks"))
+    ).select("_row", "_repo", "_owner", "f.start", "f.kind", "f.end", F.sha2("f.value", 256).alias("_hash"), looks_live(F.col("f.value")).alias("_looks"))
     holders = staged(ownership(one), "secret-owners")
-    judged = keyed_join(one, holders, ["_hash"], "inner")
-    example = F.col("n_owners") >= EXAMPLE_OWNERS
+    judged = one.join(holders, "_hash")
+    example = (F.col("n_owners") >= EXAMPLE_OWNERS) | (F.col("n_repos") >= EXAMPLE_REPOS)
     live = ~example & F.col("_looks")
     mine = judged.groupBy("_row").agg(
         F.count_if(live).alias("n_live"),
         F.count_if(example).alias("n_example"),
-        F.collect_set(F.when(live & (F.col("kind") == 3), F.col("start"))).alias("_live"),
+        F.collect_list(F.when(live & (F.col("kind") == 3), F.struct("start", "kind", "end"))).alias("_live"),
     )
     joined = rows.drop("n_live", "n_example", "secrets").join(mine, "_row", "left")
-    kept = F.filter("_found", lambda x: (x["kind"] < 3) | F.array_contains(F.coalesce(F.col("_live"), F.array().cast("array<int>")), x["start"]))
-    spans = F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+    base = F.transform(F.filter("_found", lambda x: x["kind"] < 3), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+    spans = F.when(F.size("_live") > 0, F.sort_array(F.concat(base, "_live"))).otherwise(base)
     counts = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("n_live", "n_example")}
     return joined.withColumns({"secrets": spans} | counts).drop("_row", "_found", "_live")
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keyed_join, staged
+from .common import staged
 
 ARCHIVE_BYTES = 8_000_000
 BLOCK_ENTRIES, DIRECTORY, KEY_CHARS = 1_000, 65_536, 256
@@ -136,7 +136,7 @@ def write_archives(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     sized = rows.select("page_id", "digest", F.octet_length("html").alias("size"))
     shared = sized.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("largest"))
     shared = staged(shared.where((F.col("n") > 1) & F.col("largest").isNotNull()).select("digest", "largest"), "shared-payloads")
-    told = keyed_join(rows, shared, ["digest"], "left")
+    told = rows.join(shared, "digest", "left")
     first = F.when(~F.col("page_id").eqNullSafe(F.col("largest")), F.col("largest"))
     ready = told.select("page_id", "url", "html", "digest", first.alias("first"))
     return staged(ready.mapInArrow(_write, "archive string, data binary, captures array<struct<key:string,page_id:long,offset:long,length:long>>"), "archives")
@@ -228,7 +228,13 @@ def build_index(archives: DataFrame) -> Index:
 
 
 def read_ranges(archives: DataFrame, captures: DataFrame) -> DataFrame:
-    """The records of ``captures``, each cut out of its archive by offset and length."""
+    """The records of ``captures``, each cut out of its archive by offset and length.
+
+    The archives asked for are a written table of names: while it is small, archives are told apart where they are
+    scanned, and only the data of those asked for is shuffled.
+    """
+    captures = staged(captures.select("archive", "offset", "length"), "captures")
+    archives = archives.join(staged(captures.select("archive").distinct(), "archives-asked"), "archive", "left_semi")
 
     def cut(archive: pa.Table, wanted: pa.Table) -> pa.Table:
         rows = []
@@ -239,4 +245,4 @@ def read_ranges(archives: DataFrame, captures: DataFrame) -> DataFrame:
         kinds = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("html", pa.string())]
         return pa.table({name: pa.array([r[name] for r in rows], kind) for name, kind in kinds})
 
-    return archives.select("archive", "data").groupBy("archive").cogroup(captures.select("archive", "offset", "length").groupBy("archive")).applyInArrow(cut, RECORD)
+    return archives.select("archive", "data").groupBy("archive").cogroup(captures.groupBy("archive")).applyInArrow(cut, RECORD)
