@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .text import bind, strip
 
+# How responses fence their JSON, with and without the language's name.
 JSON_FENCE = r"(?s)```json\s*\n(.*)\n\s*```"
 PLAIN_FENCE = r"(?s)```\s*\n(.*)\n\s*```"
 

@@ -212,10 +212,10 @@ def run_key(package_run_id: Column, job_id: Column) -> Column:
 def content_document(units: DataFrame, jobs: DataFrame) -> DataFrame:
     """Readable text per run: path marker, content, rule and a line of figures for each unit."""
     figures = F.format_string(
-        "Citations: %d | Claim mappings: %d | Confidence: %.3f | Coverage: %.3f | Diversity: %.3f",
+        "%d cited, %d claims mapped; confidence %.3f, coverage %.3f, diversity %.3f",
         F.size("citations"), F.size("evidence_map"),
         *[F.bround(F.col(f"scores.{c}"), 3) for c in SCORE_FIELDS],
     )
-    part = F.concat_ws("\n", F.concat(F.lit("<!-- path: "), "path", F.lit(" -->")), F.lit(""), F.col("content"), F.lit(""), F.lit("---"), figures)
+    part = F.concat_ws("\n", F.concat(F.lit("[path "), "path", F.lit("]")), F.lit(""), F.col("content"), F.lit(""), F.lit("* * *"), figures)
     docs = units.groupBy("run_id").agg(_ordered_text(["path"], part, "\n\n").alias("document"))
     return jobs.select("run_id").join(docs, "run_id", "left").withColumn("document", F.coalesce("document", F.lit("(no content)")))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..session import staged
+from ..session import counted
 from .joins import contains_join
 
 
@@ -24,20 +24,22 @@ def tag_evidence(evidence: DataFrame, terms: DataFrame, keys: list[str], min_hit
 def tag_closure(taxonomy: DataFrame) -> DataFrame:
     """(tag, ancestor, distance) pairs of a taxonomy table (tag, parent), each tag its own ancestor at 0.
 
-    Levels, each written before the next, are followed until none is left; a tag above itself is an error.
+    Pointer doubling: a step joins the pairs known with themselves and so doubles their reach, until nothing is new; a
+    chain of n takes about log2(n) steps, each a written table. Of several ways up the shortest counts. A tag above itself
+    is an error, found as soon as the reach spans the cycle.
     """
-    level = taxonomy.select("tag", F.col("tag").alias("ancestor"), F.lit(0).alias("distance"))
-    edges = taxonomy.filter("parent IS NOT NULL").select(F.col("tag").alias("ancestor"), "parent")
-    closure, d = level, 0
-    while True:
-        d += 1
-        above = level.join(edges, "ancestor").select("tag", F.col("parent").alias("ancestor"), F.lit(d).alias("distance"))
-        level = staged(above, "taxonomy-level")
-        if level.isEmpty():
-            return closure
-        if not level.filter("tag = ancestor").isEmpty():
+    known = taxonomy.where("parent IS NOT NULL AND tag IS NOT NULL").select("tag", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")).distinct()
+    known, n = counted(known, "taxonomy-pairs")
+    while n:
+        if not known.where("tag = ancestor").isEmpty():
             raise ValueError("the taxonomy holds a cycle")
-        closure = closure.unionByName(level)
+        on = known.select(F.col("tag").alias("ancestor"), F.col("ancestor").alias("_above"), F.col("distance").alias("_more"))
+        further = known.join(on, "ancestor").select("tag", F.col("_above").alias("ancestor"), (F.col("distance") + F.col("_more")).alias("distance"))
+        known, now = counted(known.unionByName(further).groupBy("tag", "ancestor").agg(F.min("distance").alias("distance")), "taxonomy-pairs")
+        if now == n:
+            break
+        n = now
+    return taxonomy.select("tag", F.col("tag").alias("ancestor"), F.lit(0).alias("distance")).distinct().unionByName(known)
 
 
 def roll_up_tags(tags: DataFrame, taxonomy: DataFrame, keys: list[str]) -> DataFrame:

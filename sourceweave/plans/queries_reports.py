@@ -164,8 +164,8 @@ def _(x):
 
 
 _DOC = f"""SELECT run_id, coalesce(doc, '(no content)') AS document FROM c_jobs LEFT JOIN (
-    SELECT run_id, string_agg('<!-- path: ' || path || ' -->' || {LF} || {LF} || content || {LF} || {LF} || '---' || {LF}
-      || printf('Citations: %d | Claim mappings: %d | Confidence: %.3f | Coverage: %.3f | Diversity: %.3f', n_cites, n_claims, confidence::DOUBLE, round_even(coverage, 3)::DOUBLE, round_even(diversity, 3)::DOUBLE),
+    SELECT run_id, string_agg('[path ' || path || ']' || {LF} || {LF} || content || {LF} || {LF} || '* * *' || {LF}
+      || printf('%d cited, %d claims mapped; confidence %.3f, coverage %.3f, diversity %.3f', n_cites, n_claims, confidence::DOUBLE, round_even(coverage, 3)::DOUBLE, round_even(diversity, 3)::DOUBLE),
       {LF} || {LF} ORDER BY path) AS doc FROM c_final GROUP BY run_id) USING (run_id)"""
 
 
@@ -469,17 +469,28 @@ def _(x):
     jobs.usage_sessions_stream(event_stream(x), f"{base}/out", f"{base}/checkpoint", "6 hours", "1 hour").awaitTermination()
     closed = jobs.latest(x.spark, f"{base}/out", ["user_id", "session_start"]).select("user_id", "session_start", "n", "last_ts")
     timed = events(x).withColumn("ts", F.col("ts").cast("timestamp"))
-    s = closed.unionByName(triggers.open_sessions(timed, closed, "6 hours"))
+    s = triggers.complete_sessions(timed, closed, "6 hours")
     return s.select("user_id", stamp("session_start").alias("session_start"), "n", stamp("last_ts").alias("last_seen"))
 
 
-@query("source_updates", """SELECT url, event_id, content_hash, previous_hash FROM (SELECT 'https://item.example.org/' || user_id AS url, event_id, event_type AS content_hash,
-    lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous_hash FROM events) WHERE previous_hash <> content_hash""")
+_UPDATES = """SELECT url, event_id, content_hash, previous_hash FROM (SELECT 'https://item.example.org/' || user_id AS url, event_id, event_type AS content_hash,
+    lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous_hash FROM events) WHERE previous_hash <> content_hash"""
+
+
+def item_fetches(rows):
+    return rows.select(F.concat(F.lit("https://item.example.org/"), F.col("user_id").cast("string")).alias("url"), "event_id", "ts", F.col("event_type").alias("content_hash"))
+
+
+@query("source_updates", _UPDATES)
 def _(x):
-    fetches = events(x).select(
-        F.concat(F.lit("https://item.example.org/"), F.col("user_id").cast("string")).alias("url"), "event_id", "ts", F.col("event_type").alias("content_hash")
-    )
-    return triggers.source_updates(fetches, ["ts", "event_id"], lambda: F.to_date("ts")).select("url", "event_id", "content_hash", "previous_hash")
+    return triggers.source_updates(item_fetches(events(x)), ["ts", "event_id"], lambda: F.to_date("ts")).select("url", "event_id", "content_hash", "previous_hash")
+
+
+@query("source_updates_stream", _UPDATES)
+def _(x):
+    base = scratch_path(x.spark, "source-updates")
+    jobs.source_updates_stream(item_fetches(event_stream(x)), base, f"{base}/checkpoint", ["ts", "event_id"], lambda: F.to_date("ts")).awaitTermination()
+    return jobs.current_updates(x.spark, base).select("url", "event_id", "content_hash", "previous_hash")
 
 
 @query("affected_units", """SELECT run_id, path, url, n_changes FROM (SELECT DISTINCT lang AS run_id, 'learn' AS path, source AS url FROM documents) JOIN (

@@ -6,6 +6,8 @@ cluster's shared checkpoint folder.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -82,6 +84,43 @@ def usage_sessions_stream(events: DataFrame, path: str, checkpoint: str, gap: st
     return write_updates(triggers.usage_sessions(timed, gap), path, checkpoint, "append")
 
 
+#: Folders that the fetches of all URLs are dealt to; a batch reads those of its own URLs.
+URL_BUCKETS = 64
+
+
+def _url_bucket() -> Column:
+    return F.pmod(F.xxhash64("url"), F.lit(URL_BUCKETS)).alias("_bucket")
+
+
+def source_updates_stream(fetches: DataFrame, path: str, checkpoint: str, order: list[str], bucket: Callable[[], Column]) -> StreamingQuery:
+    """:func:`triggers.source_updates` of a stream of fetches (url, content_hash, the columns of ``order``).
+
+    Kept are each URL's fetch keys and hashes, by hash bucket. A batch is added to them, and the changes of the URLs it
+    holds are found anew over their fetches so far, so a late fetch falls into its place and a repeat changes nothing. A
+    replayed batch overwrites its own folders. :func:`current_updates` reads the changes back.
+    """
+
+    def absorb(batch: DataFrame, batch_id: int) -> None:
+        spark, columns = batch.sparkSession, ["url", "content_hash", *order]
+        batch.select(*columns, _url_bucket()).distinct().write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/fetches/batch={batch_id:09d}")
+        kept = spark.read.option("basePath", f"{path}/fetches").parquet(f"{path}/fetches").where(F.col("batch") <= batch_id)
+        mine = kept.where(F.col("batch") == batch_id)
+        urls = mine.select("url").distinct()
+        buckets = [r[0] for r in mine.select("_bucket").distinct().collect()]  # at most URL_BUCKETS
+        known = kept.where(F.col("_bucket").isin(buckets)).join(urls, "url", "left_semi").select(*columns).distinct()
+        changes = triggers.source_updates(known, order, bucket)
+        urls.join(changes, "url", "left").write.mode("overwrite").parquet(f"{path}/updates/batch={batch_id:09d}")
+
+    return fetches.writeStream.foreachBatch(absorb).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_updates(spark: SparkSession, path: str) -> DataFrame:
+    """The changes of each URL by the last batch that held it."""
+    rows = spark.read.parquet(f"{path}/updates")
+    last = rows.groupBy("url").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["url", "batch"], "left_semi").where("previous_hash IS NOT NULL").drop("batch")
+
+
 def compact(spark: SparkSession, path: str, keys: list[str], target: str) -> None:
     """The newest row per key as a table of its own at ``target``, for readers of a long-running :func:`write_updates`."""
     latest(spark, path, keys).write.mode("overwrite").parquet(target)

@@ -40,9 +40,14 @@ def usage_sessions_table(events: DataFrame, gap: str) -> DataFrame:
     by_day = events.withColumn("_day", F.to_date("ts")).groupBy(F.session_window("ts", gap).alias("w"), "user_id", "_day").agg(
         F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_ts")
     ).select("user_id", F.col("w.start").alias("start"), "n", "last_ts")
+    return _joined(by_day, gap)
+
+
+def _joined(spans: DataFrame, gap: str) -> DataFrame:
+    """Sessions from spans (user_id, start, n, last_ts) of which some run on into others."""
     reach = F.max("last_ts").over(W.partitionBy("user_id").orderBy("start").rowsBetween(W.unboundedPreceding, -1))
     fresh = F.coalesce(F.col("start") > reach + F.expr(f"INTERVAL {gap}"), F.lit(True))
-    marked = by_day.withColumn("_new", fresh.cast("int")).withColumn(
+    marked = spans.withColumn("_new", fresh.cast("int")).withColumn(
         "_s", F.sum("_new").over(W.partitionBy("user_id").orderBy("start"))
     )
     return marked.groupBy("user_id", "_s").agg(
@@ -50,11 +55,21 @@ def usage_sessions_table(events: DataFrame, gap: str) -> DataFrame:
     ).drop("_s")
 
 
-def open_sessions(events: DataFrame, closed: DataFrame, gap: str) -> DataFrame:
-    """Sessions that a stream has not given yet: of each user's signals after the last closed session."""
-    last = closed.groupBy("user_id").agg(F.max("last_ts").alias("_upto"))
-    rest = events.join(last, "user_id", "left").filter(F.col("_upto").isNull() | (F.col("ts") > F.col("_upto"))).drop("_upto")
-    return usage_sessions_table(rest, gap)
+def complete_sessions(events: DataFrame, closed: DataFrame, gap: str) -> DataFrame:
+    """All sessions of ``events``, given those that a stream has closed (user_id, session_start, n, last_ts).
+
+    Signals that no closed session covers are still open or came behind the watermark. They are found on (user, day),
+    form spans of their own, and join the closed ones where the gap allows, so the result is that of
+    :func:`usage_sessions_table`. A signal counts as covered if it lies within a closed session of its user, so a late one
+    inside a session that closed without it is not added to that session's count.
+    """
+    days = closed.select("user_id", F.col("session_start").alias("_from"), F.col("last_ts").alias("_to"))
+    days = days.withColumn("_day", F.explode(F.sequence(F.to_date("_from"), F.to_date("_to"))))
+    dated = events.select("user_id", "ts", F.to_date("ts").alias("_day"))
+    on = dated["user_id"].eqNullSafe(days["user_id"]) & (dated["_day"] == days["_day"]) & dated["ts"].between(days["_from"], days["_to"])
+    left = dated.join(days, on, "left_anti").select("user_id", "ts")
+    rest = usage_sessions_table(left, gap).select("user_id", F.col("session_start").alias("start"), "n", "last_ts")
+    return _joined(closed.select("user_id", F.col("session_start").alias("start"), "n", "last_ts").unionByName(rest), gap)
 
 
 def job_state(events: DataFrame) -> DataFrame:

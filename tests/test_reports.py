@@ -143,6 +143,23 @@ def test_wrong_vector_length_is_an_error(spark):
         rk.topic_vectors(df, ["label"], 2).collect()
 
 
+def test_closure_of_a_deep_chain_takes_few_steps(spark, monkeypatch):
+    steps = []
+    monkeypatch.setattr(tg, "counted", lambda df, name, f=tg.counted: steps.append(name) or f(df, name))
+    chain = spark.createDataFrame([(f"t{i}", f"t{i - 1}" if i else None) for i in range(1001)], "tag string, parent string")
+    closed = tg.tag_closure(chain)
+    assert len(steps) <= 12 and closed.count() == 1001 * 1002 // 2
+    assert closed.where("distance = 1000").select("tag", "ancestor").collect() == [("t1000", "t0")]
+
+
+def test_closure_of_several_ways_up(spark):
+    tree = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("c", "a"), ("d", "c"), (None, "a")], "tag string, parent string").where("tag IS NOT NULL")
+    got = {(r.tag, r.ancestor): r.distance for r in tg.tag_closure(tree).collect()}
+    assert got == {(x, x): 0 for x in "abcd"} | {("b", "a"): 1, ("c", "b"): 1, ("c", "a"): 1, ("d", "c"): 1, ("d", "b"): 2, ("d", "a"): 2}
+    with pytest.raises(ValueError, match="cycle"):
+        tg.tag_closure(spark.createDataFrame([(f"x{i}", f"x{(i + 1) % 9}") for i in range(9)], "tag string, parent string"))
+
+
 # --- plans
 
 

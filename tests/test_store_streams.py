@@ -180,3 +180,31 @@ def test_stream_resumes_without_repeats(spark):
 def test_staged_keeps_rows(spark):
     df = spark.range(10).withColumn("x", F.array("id"))
     assert sorted(staged(df, "t").collect()) == sorted(df.collect())
+
+
+def test_late_signals_join_the_closed_sessions(spark):
+    rows = [("a", 0), ("a", 1), ("a", 12), ("a", 18), ("a", 40), ("b", 3), ("b", 200), ("c", 5), (None, 4), (None, 5)]
+    events = spark.createDataFrame([(u, float(h)) for u, h in rows], "user_id string, h double").select("user_id", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("h") * 3600).alias("ts"))
+    whole = triggers.usage_sessions_table(events, "6 hours")
+    hour = (F.unix_seconds("session_start") - 1_700_000_000) / 3600
+    # closed without the signals at 12 and 18, which came late, and before those of b at 200 and of c
+    closed = triggers.usage_sessions_table(events.where("unix_seconds(ts) NOT IN (1700043200, 1700064800, 1700720000) AND (user_id <> 'c' OR user_id IS NULL)"), "6 hours")
+    done = triggers.complete_sessions(events, closed, "6 hours")
+    key = lambda df: sorted((str(r.user_id), r.h, r.n) for r in df.select("user_id", hour.alias("h"), "n").collect())
+    assert key(done) == key(whole) and len(key(whole)) == 7
+    assert key(triggers.complete_sessions(events, closed.limit(0), "6 hours")) == key(whole)
+
+
+def test_streamed_updates_equal_the_batch_with_late_and_repeated_fetches(spark):
+    base = scratch_path(spark, "t-updates")
+    rows = [(f"u{n % 5}", n, f"h{n // 7 % 3}") for n in range(60)]
+    schema = "url string, at long, content_hash string"
+    batches = [rows[10:30], rows[:10] + rows[25:35], rows[35:], rows[:60], [("u9", 1, None), ("u9", 2, "x"), ("u9", 3, "y")]]
+    for n, part in enumerate(batches):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{base}/in/{n}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{base}/in")
+        jobs.source_updates_stream(stream, f"{base}/out", f"{base}/checkpoint", ["at"], lambda: F.floor(F.col("at") / 8)).awaitTermination()
+        seen = spark.createDataFrame(sum(batches[: n + 1], []), schema).distinct()
+        want = triggers.source_updates(seen, ["at"], lambda: F.floor(F.col("at") / 8))
+        key = lambda df: sorted((r.url, r.at, r.content_hash, r.previous_hash) for r in df.collect())
+        assert key(jobs.current_updates(spark, f"{base}/out")) == key(want) != []
