@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sourceweave.functions import quality as q
 from sourceweave.operators import discovery as d
+from sourceweave.operators import joins
 from sourceweave.operators.joins import contains_join
 from sourceweave.plans import evidence_run
 from sourceweave.session import staged
@@ -171,7 +172,9 @@ def test_source_limit(spark):
     assert f.sources.count() == 2
 
 
-def test_contains_join_equals_brute_force(spark):
+@pytest.mark.parametrize("in_row", [0, joins.IN_ROW])
+def test_contains_join_equals_brute_force(spark, monkeypatch, in_row):
+    monkeypatch.setattr(joins, "IN_ROW", in_row)
     texts = ["abcdef", "xabc", "", "zzz", "Ünïcode abc", "ab", "aaaa", "emoji 😀 face", "new\nline"]
     needles = ["abc", "a", "zz", "ïcod", "abcdefg", "cdef", "", "aaa", "😀 f", "w\nl", "bcdef"]
     # keys that are null or repeat
