@@ -72,8 +72,9 @@ class Inputs:
 
     @cached_property
     def document_excerpts(self) -> DataFrame:
+        """Extracted once: the store, its look-ups and searches all read it."""
         at = F.timestamp_seconds(F.unix_seconds(fx.retrieved_at()) + F.col("page_pos") * 60)
-        return d.extract_evidence(d.drop_empty_pages(self.document_pages), at)
+        return staged(d.extract_evidence(d.drop_empty_pages(self.document_pages), at), "document-excerpts")
 
     @cached_property
     def store(self) -> str:
