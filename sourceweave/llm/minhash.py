@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_join, lower_ascii, staged, words
+from .common import lower_ascii, staged, words
 from .components import components
 from .word_hashes import WordHashes, as_bytes, mix64, pieces
 
@@ -160,7 +160,8 @@ def near_groups(docs: DataFrame, rule: Rule) -> DataFrame:
     members = staged(placed.join(weights, "node").select("bucket", "node", "size", "weight"), "members")
 
     wanted = members.select("node").distinct().join(classes, "node").select("node", "key", F.coalesce("least", F.lit(-(2**63))).alias("id"))
-    texts = keyed.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)))).join(staged(wanted, "wanted"), ["key", "id"])
+    # never by broadcast: the wanted grow with the input, so a small input is to show what a large one costs
+    texts = keyed.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)))).join(staged(wanted, "wanted").hint("merge"), ["key", "id"])
     once = texts.groupBy("node").agg(F.first("text").alias("text"))
     sets = staged(once.mapInArrow(_setter(rule), "node long, shingles array<long>"), "shingle-sets")
 
@@ -170,14 +171,15 @@ def near_groups(docs: DataFrame, rule: Rule) -> DataFrame:
     labels = labels if labels is not None else empty
     of_class = classes.join(labels, "node", "left").select("key", "least", F.coalesce("label", "node").alias("label"))
     first = staged(of_class.groupBy("label").agg(F.min("least").alias("component_id")), "firsts")
-    found = staged(keyed_join(of_class, first, ["label"], "inner").select("key", "component_id"), "components")
-    ids = keyed_join(signed.select("doc_id", "key", "n_shingles"), found, ["key"], "left")
+    found = staged(of_class.join(first, "label").select("key", "component_id"), "components")
+    ids = signed.select("doc_id", "key", "n_shingles").join(found, "key", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return ids.select("doc_id", "key", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
-#: Members of a star that may meet pair by pair under one shingle; where more share it, it becomes a bucket.
-FEW = 2048
+#: Members of a star that may meet pair by pair under one shingle, so each meets less than this many there. Where more
+#: share it, as the members of a further family of near copies do, it becomes a bucket with a pivot of its own.
+FEW = 16
 
 
 def _labels(members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame | None:
