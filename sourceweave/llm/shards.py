@@ -24,6 +24,8 @@ from .common import staged, stored
 
 #: Tokens of a sequence, sequences of a shard, sequences of one stored block.
 LENGTH, PER_SHARD, PER_BLOCK = 512, 1024, 128
+#: Shards of a task, at least and at most (about a megabyte each).
+LEAST_SHARDS, MOST_SHARDS = 8, 256
 ROUNDS = 4
 #: Before the tokens of a record: doc_id, part of the document, tokens used.
 HEAD = np.dtype([("doc_id", "<i8"), ("part", "<i4"), ("n", "<i4")])
@@ -109,12 +111,13 @@ def sequences(docs: DataFrame, tokenizer: Tokenizer, length: int = LENGTH) -> Da
     """(doc_id, part, n, data, index): token sequences of ``docs`` (doc_id, text, any others), written, densely numbered.
 
     Each document ends with the end id and starts a new sequence; a null or empty text is the end id alone. Repeated
-    rows are documents each; a null doc_id is stored as the least long. ``index`` follows the chunks of the scan.
+    rows are documents each; a null doc_id is stored as the least long. ``index`` follows the chunks of
+    the scan, in order of their least id (and what its sequence holds), so the same files give the same order.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), "text")
     tokens = stored(rows.mapInArrow(_tokenize(tokenizer, length), TOKENS), "tokens")
-    chunks = tokens.groupBy("chunk").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("doc_id", "at")).alias("first"))
-    order = Window.orderBy("first", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = tokens.groupBy("chunk").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("doc_id", "at", F.xxhash64("data"))).alias("first"))
+    order = Window.orderBy("first", "size", "chunk").rowsBetween(Window.unboundedPreceding, -1)
     # one row for each batch of the scan
     starts = staged(chunks.select("chunk", F.coalesce(F.sum("size").over(order), F.lit(0)).alias("start")), "chunk-starts")
     return tokens.join(starts, "chunk").select("doc_id", "part", "n", "data", (F.col("start") + F.col("at")).alias("index"))
@@ -123,6 +126,9 @@ def sequences(docs: DataFrame, tokenizer: Tokenizer, length: int = LENGTH) -> Da
 def write_shards(numbered: DataFrame, n: int, tokenizer: Tokenizer, key: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
     """(shard, first_slot, records, data): the written shards of ``n`` numbered sequences, blocks in order of slots.
 
+    Tasks take ranges of neighbouring shards, ``LEAST_SHARDS`` to ``MOST_SHARDS`` of them, so that the number of tasks
+    grows with the data and a task does not; its rows are sorted by slot with spilling and pass one block at a time.
+
     ``data`` holds whole records of one stride; slot s lies in shard s // per_shard, block (s % per_shard) //
     PER_BLOCK, at stride * (s % PER_BLOCK) of its data. Ids after the last used one are the end id.
     """
@@ -157,8 +163,10 @@ def write_shards(numbered: DataFrame, n: int, tokenizer: Tokenizer, key: int, le
             yield out(held)
 
     placed = numbered.select("index", "doc_id", "part", "n", "data").mapInArrow(place, "shard long, slot long, doc_id long, part int, n int, data binary")
+    # slots are dense, so the bounds of the ranges are known: task t takes the shards from t * run on, and files follow the slots
     shards = max(1, -(-n // per_shard))
-    ranged = placed.repartition(min(shards, 20_000), "shard").sortWithinPartitions("slot")
+    run = min(MOST_SHARDS, max(LEAST_SHARDS, -(-shards // (4 * numbered.sparkSession.sparkContext.defaultParallelism))))
+    ranged = placed.repartitionById(-(-shards // run), F.expr(f"cast(shard div {run} AS int)")).sortWithinPartitions("slot")
     return stored(ranged.mapInArrow(fill, "shard long, first_slot long, records int, data binary"), "shards")
 
 

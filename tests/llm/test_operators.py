@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sourceweave.llm import components, decontaminate, html_trees, line_spread, minhash, pieces, quality_outliers, secret_owners, shards, substrings, warc
+from sourceweave.session import staged
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -171,6 +172,22 @@ def test_shards_give_the_texts_back(spark):
     assert shards.materialise(documents(spark, rows).where("false"), tokenizer).count() == 0
 
 
+def test_every_sequence_has_its_slot_and_files_follow_the_slots(spark, monkeypatch):
+    monkeypatch.setattr(shards, "LEAST_SHARDS", 1)
+    rng = random.Random(3)
+    tokenizer = shards.Tokenizer({bytes([b]): b for b in range(256)}, r"\s?\S+|\s+", 256)
+    docs = staged(documents(spark, [(i, sentence(rng, rng.randrange(60)), "a") for i in range(300)]).repartition(7, "doc_id"), "t-shards")
+    numbered = shards.sequences(docs, tokenizer, 16).collect()
+    n = len(numbered)
+    assert sorted(r["index"] for r in numbered) == list(range(n))
+    where = shards.slots(np.array([r["index"] for r in numbered]), n, 9)
+    written = shards.write_shards(shards.sequences(docs, tokenizer, 16), n, tokenizer, 9, 16, per_shard=256)
+    got = {r.slot: (r.doc_id, r.part, r.n) for r in shards.read_records(written, tokenizer, 16).collect()}
+    assert got == {int(s): (r.doc_id, r.part, r.n) for s, r in zip(where, numbered, strict=True)}
+    files = sorted((r.f, r.lo, r.hi) for r in written.groupBy(F.input_file_name().alias("f")).agg(F.min("first_slot").alias("lo"), F.max("first_slot").alias("hi")).collect())
+    assert len(files) > 5 and all(a[2] < b[1] for a, b in zip(files, files[1:]))
+
+
 # --- 4: lines
 
 
