@@ -35,9 +35,9 @@ from .word_hashes import WordHashes, as_bytes, mix64
 from .word_hashes import pieces as cut
 
 #: Bytes of text in a piece, and tokens for each shard, about.
-PIECE_BYTES, SHARD_TOKENS = 12_000_000, 2_000_000
+PIECE_BYTES, SHARD_TOKENS = 8_000_000, 2_000_000
 #: Words whose hashes a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Bits of a pair's hash. Two pairs of 10**9 share one with chance 1e-8 each.
 BITS = 56
 END, START = np.uint64(0x9D3B5F8A6C21E407), np.uint64(0x51E0C7B4A9D2F683)
