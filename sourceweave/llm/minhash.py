@@ -165,7 +165,7 @@ def near_groups(docs: DataFrame, rule: Rule) -> DataFrame:
     once = texts.groupBy("node").agg(F.first("text").alias("text"))
     sets = staged(once.mapInArrow(_setter(rule), "node long, shingles array<long>"), "shingle-sets")
 
-    labels = _labels(members, sets, rule)
+    labels = _labels(members, sets, rule, max(LEAST_PAIRS, PAIRS * classes.count()))
     spark = docs.sparkSession
     empty = spark.createDataFrame([], "node long, label long")
     labels = labels if labels is not None else empty
@@ -177,12 +177,11 @@ def near_groups(docs: DataFrame, rule: Rule) -> DataFrame:
     return ids.select("doc_id", "key", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
-#: Members of a star that may meet pair by pair under one shingle, so each meets less than this many there. Where more
-#: share it, as the members of a further family of near copies do, it becomes a bucket with a pivot of its own.
-FEW = 16
+#: Pairs of members under shared shingles that a round may compare, for each class of texts, and at least.
+PAIRS, LEAST_PAIRS = 0.25, 10_000
 
 
-def _labels(members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame | None:
+def _labels(members: DataFrame, sets: DataFrame, rule: Rule, most: float) -> DataFrame | None:
     """Component labels of the members (bucket, node, size, weight); None where there is no link."""
     labels, buckets = None, members
     while True:
@@ -209,7 +208,7 @@ def _labels(members: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame | None
         # stars whose members are not all in one component
         mixed = staged(held.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("a"), "mixed")
         open_stars = staged(held.join(mixed, "a"), "open-stars")
-        near, buckets = _within(open_stars, rule)
+        near, buckets = _within(open_stars, rule, most)
         labels = _joined(labels, _links(staged(near, "near-pairs"), sets, rule))
 
 
@@ -220,13 +219,14 @@ def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
     return components(links if labels is None else labels.select(F.col("node").alias("u"), F.col("label").alias("v")).union(links))
 
 
-def _within(stars: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+def _within(stars: DataFrame, rule: Rule, most: float) -> tuple[DataFrame, DataFrame]:
     """From open stars (a, b, weight, n, common, beyond, own, label): pairs to compare, and buckets for the next round.
 
     ``common`` counts the member's shingles in the pivot, ``own`` tells whether the pivot links it. Members of sizes n
     and m can be linked only if they share at least num * (n + m) / (num + den) shingles, at most the lesser ``common``
     of them in the pivot. What is missing they must share beyond it; the least of that over all sizes in the star is the
-    member's ``need``. A member that needs k shared shingles meets others under all but its k - 1 most frequent ones.
+    member's ``need``. Pairs under shared shingles are at most ``most``; members of shingles that more share take a further
+    round with a pivot of their own, as the members of a further family of near copies do. A member that needs k shared shingles meets others under all but its k - 1 most frequent ones.
     """
     whole = rule.num + rule.den
     sizes = stars.groupBy("a", "n").agg(F.max("common").alias("most")).groupBy("a").agg(F.collect_list(F.struct("n", "most")).alias("sizes"))
@@ -247,12 +247,20 @@ def _within(stars: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     )
     first = ordered.withColumn("shared", F.slice("shared", 1, F.greatest(F.size("shared") - F.greatest("need", F.lit(1)).cast("int") + 1, F.lit(0))))
     keyed = staged(first.select("a", "b", "n", "label", "weight", F.explode("shared").alias("x")).select("a", "b", "n", "label", "weight", "x.size", "x.shingle"), "met")
-    few = keyed.where(F.col("size") <= FEW)
+    # the largest bound on members of a shingle under which the pairs of all shingles stay below ``most``
+    by_size = keyed.groupBy(F.ceil(F.log2("size")).alias("log")).agg(F.sum("size").alias("pairs")).orderBy("log").collect()
+    bound, total = 1, 0
+    for r in by_size:  # one row for each power of two
+        total += r.pairs / 2
+        if total > most:
+            break
+        bound = 2**r.log
+    few = keyed.where(F.col("size") <= bound)
     left, right = few.alias("l"), few.alias("r")
     meets = (F.col("l.a") == F.col("r.a")) & (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.b") < F.col("r.b")) & (F.col("l.label") != F.col("r.label"))
     pairs = direct.select("l.b", F.col("r.b").alias("c")).union(left.join(right, meets).select("l.b", F.col("r.b").alias("c")))
     near = pairs.select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct()
-    many = keyed.where(F.col("size") > FEW)
+    many = keyed.where(F.col("size") > bound)
     return near, many.select(F.xxhash64("a", "shingle").alias("bucket"), F.col("b").alias("node"), F.col("n").alias("size"), "weight")
 
 

@@ -112,7 +112,8 @@ def edited(rng, text, n):
 
 @pytest.mark.parametrize("rule", [minhash.Rule(3, 85, 100, 36, 5), minhash.Rule()])
 def test_groups_are_those_of_all_pairs(spark, rule, monkeypatch):
-    monkeypatch.setattr(minhash, "FEW", 4)
+    monkeypatch.setattr(minhash, "PAIRS", 0.0)
+    monkeypatch.setattr(minhash, "LEAST_PAIRS", 12)
     rng = random.Random(rule.shingle)
     base = [sentence(rng, 120) for _ in range(4)]
     rows = [(1000 + i, edited(rng, base[0], rng.randint(0, 9)), "s") for i in range(60)]  # near and not so near to each other
