@@ -46,12 +46,16 @@ def _mean(xs: Column) -> Column:
 
 
 def sentence_spread(paragraph: Column) -> Column:
-    """Sample standard deviation of the sentence lengths in words; null below two sentences."""
+    """Sample standard deviation of the sentence lengths in words; null below two sentences.
+
+    From integer sums, so that a spread that is just a limit does not fall below it by rounding.
+    """
     def spread(x: Column) -> Column:
-        squares = lambda m: F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - m) * (v - m))
-        return F.when(F.size(x) > 1, F.sqrt(t.bind(_mean(x), squares) / (F.size(x) - 1)))
+        n, zero = F.size(x).cast("bigint"), F.lit(0).cast("bigint")
+        total, squares = F.aggregate(x, zero, lambda a, v: a + v), F.aggregate(x, zero, lambda a, v: a + v * v)
+        return F.when(n > 1, F.sqrt((n * squares - total * total) / (n * (n - 1))))
 
-    return t.bind(F.transform(t.sentences(paragraph), lambda s: t.word_count(s).cast("double")), spread)
+    return t.bind(F.transform(t.sentences(paragraph), t.word_count), spread)
 
 
 def burstiness(df: DataFrame, text: str = "content", flag_below: float = MIN_BURST_WORDS) -> DataFrame:

@@ -25,6 +25,14 @@ def test_style_metrics(spark):
     assert (b.n_words, b.n_markers, b.type_token_ratio, b.burstiness, b.structure_repeat) == (0, 0, None, None, None)
 
 
+def test_spread_that_is_just_the_limit_is_not_even(spark):
+    """Sentence lengths whose sample deviation is 4 exactly; sums of squared differences give 3.9999999999999996."""
+    lengths = [3, 5, 6, 4, 11, 13, 12, 11, 4]
+    df = spark.createDataFrame([(" ".join("w " * (n - 1) + "w." for n in lengths),)], "content string")
+    row = st.burstiness(df).first()
+    assert (row.burstiness, row.n_even) == (4.0, 0)
+
+
 def test_repeated_ngrams(spark):
     df = spark.createDataFrame([(1, "a b c a b c a b"), (2, "x y")], "id int, content string")
     got = [(r.id, r.ngram, r.n) for r in st.repeated_ngrams(df, ["id"], 3, 5).orderBy("rank").collect()]
