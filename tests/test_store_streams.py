@@ -89,6 +89,15 @@ def test_compaction_keeps_the_rows_and_grows_the_buckets(spark, monkeypatch):
     assert [r.id for r in store.get(spark, path, "id85").collect()] == ["id85"]
 
 
+def test_the_list_of_parts_has_a_row_a_part_and_no_bitmaps(spark):
+    path = scratch_path(spark, "t-list")
+    store.write_evidence(many(spark, range(3000)), path, ["pos"])
+    assert sorted((r.kind, r.n) for r in store.parts(spark, path).collect()) == [("ids", 3000), ("rows", 3000)]
+    bitmaps = store._read(spark, f"{path}/bitmaps", store.BITMAPS)
+    assert sorted(r["count"] for r in bitmaps.groupBy("part").count().collect()) == [2, 2]  # 48,000 bits each
+    assert store.exists_by_hash(many(spark, range(3000)).select("excerpt_hash"), path).where("stored").count() == 3000
+
+
 def test_unlisted_parts_do_not_count(spark):
     path = scratch_path(spark, "t-half")
     store.write_evidence(many(spark, range(5)), path, ["pos"])
