@@ -144,3 +144,11 @@ def test_token_counts(spark):
     df = spark.createDataFrame([("b a b A c",), ("",), (None,)], "s string")
     rows = df.select(t.token_counts(F.col("s")).alias("c")).collect()
     assert [(x.token, x.n) for x in rows[0].c] == [("a", 2), ("b", 2), ("c", 1)] and rows[1].c == [] and rows[2].c is None
+
+
+def test_trimming_runs_no_pattern_and_takes_what_python_strips(spark):
+    spaces = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isspace()]
+    rows = [(x,) for c in spaces for x in (c, f"{c}a{c}b\U0001f600{c}{c}", f"\u200b{c}")] + [("",), ("\U0001f600",)]
+    df = spark.createDataFrame(rows, "x string").select("x", t.strip(F.col("x")).alias("s"), t.is_blank(F.col("x")).alias("b"))
+    assert all(r.s == r.x.strip() and r.b == (r.x.strip() == "") for r in df.collect())
+    assert "regexp_replace" not in df._jdf.queryExecution().executedPlan().toString()
