@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 
 from ..functions import quality as q
 from ..functions import text as t
-from ..session import staged
+from ..session import counted, staged
 
 SEARCH_LIMIT = 20
+#: Up to this number of distinct queries travel to the pages.
+IN_ROW = 50_000
 CRAWL_TIMEOUT = 30
 MIN_EXCERPT = 50
 PER_SOURCE = 5
@@ -42,21 +44,59 @@ def page_terms(pages: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return words.join(vocabulary, "term", "left_semi").groupBy("url", "term").agg(F.sum("n").alias("tf"))
 
 
+def _hits_in_row(index: DataFrame, entry: DataFrame) -> DataFrame:
+    """(query, url, score) of the pages holding every term of a query.
+
+    The terms of a page lie in one row, dealt out by url, and all that follows keeps to that: a query looks its terms up
+    in the pages that it opens, and no row for a query and page is shuffled.
+    """
+    spark = index.sparkSession
+    # an even deal: AQE would merge the small rows into a few tasks, and each row meets many queries
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    terms = F.map_from_entries(F.collect_list(F.struct("term", "tf")))
+    rows = index.filter("url IS NOT NULL").repartition(tasks, "url").groupBy("url").agg(terms.alias("tfs"))
+    opened = rows.select("url", "tfs", F.explode(F.map_keys("tfs")).alias("term")).join(F.broadcast(entry), "term")
+    # exploded, not folded by a lambda: that would copy the page's terms for each query
+    asked = opened.select("query", "url", "tfs", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
+    return (
+        asked.select("query", "url", "n_terms", F.try_element_at("tfs", F.col("term")).alias("tf"))
+        .filter("tf IS NOT NULL")
+        .groupBy("query", "url")
+        .agg(F.sum("tf").alias("score"), F.count(F.lit(1)).alias("n"), F.any_value("n_terms").alias("n_terms"))
+        .filter(F.col("n") == F.col("n_terms"))
+        .select("query", "url", "score")
+    )
+
+
+def _hits_by_join(index: DataFrame, entry: DataFrame) -> DataFrame:
+    """:func:`_hits_in_row` for any number of queries: the terms are checked on the (url, term) key."""
+    opened = index.select("url", "term").join(entry, "term").select("query", "url", "terms")
+    return (
+        opened.select("query", "url", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
+        .join(index, ["url", "term"])
+        .groupBy("query", "url")
+        .agg(F.sum("tf").alias("score"), F.count(F.lit(1)).alias("n"), F.any_value("n_terms").alias("n_terms"))
+        .filter(F.col("n") == F.col("n_terms"))
+        .select("query", "url", "score")
+    )
+
+
 def candidates_by_search(
     queries: DataFrame, pages: DataFrame, limit: int = SEARCH_LIMIT, stage: Callable[[DataFrame, str], DataFrame] = lambda df, name: df
 ) -> DataFrame:
     """Pages holding every term of a query, best total term count first, at most ``limit`` per query.
 
     Each distinct query enters through its rarest term; only those pages are checked for the other
-    terms, on the (url, term) key. Common words therefore never pull in the whole corpus. ``stage`` may keep
-    the term index, which three steps read, as a table.
+    terms. Common words therefore never pull in the whole corpus. Up to ``IN_ROW`` queries travel to the pages, where a
+    task passes on its best pages of a query alone; more meet the term index on the (url, term) key. ``stage`` may keep
+    that index, which three steps read, as a table.
     """
     texts = queries.select("query").distinct()
     asked = texts.select("query", F.array_distinct(t.tokens(F.col("query"))).alias("terms"))
     vocabulary = asked.select(F.explode("terms").alias("term")).distinct()
     index = stage(page_terms(pages, vocabulary), "page-terms")
     spread = index.groupBy("term").agg(F.count(F.lit(1)).alias("n_pages"))
-    entry = (
+    entry, n = counted(
         asked.select("query", F.explode("terms").alias("term"), "terms")
         .join(spread, "term")
         .groupBy("query")
@@ -66,15 +106,10 @@ def candidates_by_search(
             F.any_value("terms").alias("terms"),
         )
         .filter(F.col("n_known") == F.size("terms"))
+        .drop("n_known"),
+        "search-entries",
     )
-    opened = index.select("url", "term").join(entry, "term").select("query", "url", "terms")
-    hits = (
-        opened.select("query", "url", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-        .join(index, ["url", "term"])
-        .groupBy("query", "url")
-        .agg(F.sum("tf").alias("score"), F.count(F.lit(1)).alias("n"), F.any_value("n_terms").alias("n_terms"))
-        .filter(F.col("n") == F.col("n_terms"))
-    )
+    hits = _hits_in_row(index, entry) if n <= IN_ROW else _hits_by_join(index, entry)
     best = W.partitionBy("query").orderBy(F.col("score").desc(), "url")
     top = hits.withColumn("result_pos", F.row_number().over(best)).filter(F.col("result_pos") <= limit)
     return queries.join(top.select("query", "url", "score", "result_pos"), "query").select(

@@ -240,3 +240,24 @@ def test_unknown_policies_are_reported(spark):
     asked = requests(spark, [("r", "sleep", [], "p"), ("s", "sleep", [], "absent")])
     rows = d.unknown_policy(asked, policies(spark, '{"id": "p"}')).collect()
     assert [(r.run_id, r.message) for r in rows] == [("s", "Unknown policy: absent")]
+
+
+def test_search_shuffles_no_row_for_a_query_and_page(spark, monkeypatch):
+    pages = spark.createDataFrame(
+        [(f"u{n}", "tea time", " ".join(["tea"] * (n % 7) + ["cup"] * (n % 3) + ["milk"] * (n % 5 == 0))) for n in range(60)] + [("u1", "", "cup cup"), (None, "tea", "cup milk")],
+        "url string, title string, markdown string",
+    )
+    asked = d.build_queries(requests(spark, [("r", "tea", ["cup", "milk", "cup milk", "tea", "none", "--"], "p"), ("s", "--", [], "p")]))
+    found = d.candidates_by_search(asked, pages, 4, staged)
+    rows = sorted(map(tuple, found.collect()))
+    # above the look-up in the page's terms, the first exchange is that of the ranked rows
+    up = plans.text_of(d._hits_in_row(*_index_and_entry(spark))).split("Exchange")
+    assert len(up) == 3 and "BroadcastExchange" in plans.text_of(d._hits_in_row(*_index_and_entry(spark)))
+    monkeypatch.setattr(d, "IN_ROW", 0)
+    assert rows == sorted(map(tuple, d.candidates_by_search(asked, pages, 4, staged).collect()))
+    assert len(rows) == 4 * 6 and {r[3] for r in rows} <= {f"u{n}" for n in range(60)}
+
+
+def _index_and_entry(spark):
+    index = staged(spark.createDataFrame([("u", "tea", 1), ("u", "cup", 2), ("v", "tea", 3)], "url string, term string, tf long"), "t-index")
+    return index, staged(spark.createDataFrame([("tea cup", "cup", ["tea", "cup"])], "query string, term string, terms array<string>"), "t-entry")
