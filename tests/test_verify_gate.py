@@ -200,3 +200,13 @@ def test_many_figures_in_one_excerpt_are_counted_not_paired(spark):
     claims = claim_rows(spark, [("We know that on the way we met 12 people there.", ["a"])])
     assert v.rule_verify(claims, evidence).first().assessment == "conflict"
     assert "NestedLoop" not in plans.text_of(v.disputed_claims(claims, v.evidence_facts(evidence)))
+
+
+def test_a_paragraph_is_not_carried_along_with_its_sentences(spark):
+    """A paragraph of many sentences would cost its length for each of them."""
+    units = spark.createDataFrame([("r", "p", 1, "One here. Two [ev:b]. Three.[ev:a]\n\n[INSUFFICIENT EVIDENCE: x. y]")], "run_id string, path string, iteration int, content string")
+    found = v.split_claims(units)
+    rows = sorted((r.para_pos, r.sent_pos, r.claim, r.cited_ids, r.is_gap) for r in found.collect())
+    assert (rows[0][2], rows[0][4], rows[-1][0], rows[-1][4]) == ("One here.", False, 1, True) and set(rows[0][3]) == {"a", "b"}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and "para#" not in plan.split("Generate")[0]  # nothing above the sentences reads the paragraph
