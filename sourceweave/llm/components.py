@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import salted_join, staged
+from .common import staged
+
+
+#: A node with more links than this is dealt out to ``SALTS`` tasks.
+HUB, SALTS = 4096, 16
 
 
 def _least_neighbour(sides: DataFrame) -> DataFrame:
-    """``sides`` (u, v) with ``m``: the least of u and its neighbours. A node with very many links is spread by salt."""
-    least = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return salted_join(sides, least, ["u"], "inner", F.col("v"), 16)
+    """``sides`` (u, v) with ``m``: the least of u and its neighbours. Only nodes with very many links are spread by salt."""
+    least = sides.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), (F.col("n") > HUB).alias("hub"))
+    # one row for each HUB links at most
+    hubs = F.broadcast(least.where("hub").select("u", "hub"))
+    near = sides.join(hubs, "u", "left").select("u", "v", F.when(F.col("hub"), F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"))
+    far = least.select("u", "m", F.explode(F.sequence(F.lit(0), F.when(F.col("hub"), SALTS - 1).otherwise(0))).alias("salt"))
+    return near.join(far, ["u", "salt"]).drop("salt")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -34,3 +42,13 @@ def components(links: DataFrame) -> DataFrame:
         before = now
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     return staged(edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(roots), "labels")
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` as :func:`components` gives them, with further ``links`` (u, v): only the components these touch are gone through."""
+    of = {c: labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}")) for c in ("u", "v")}
+    ends = links.join(of["u"], "u", "left").join(of["v"], "v", "left").select(F.coalesce("of_u", "u").alias("u"), F.coalesce("of_v", "v").alias("v"))
+    moved = components(ends)
+    now = moved.select(F.col("node").alias("label"), F.col("label").alias("now"))
+    old = labels.join(now, "label", "left").select("node", F.coalesce("now", "label").alias("label"))
+    return staged(old.union(moved.join(labels.select("node"), "node", "left_anti").select("node", "label")), "labels")

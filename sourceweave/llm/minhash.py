@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import lower_ascii, staged, words
-from .components import components
+from .components import components, merged
 from .word_hashes import WordHashes, as_bytes, mix64, pieces
 
 
@@ -128,7 +128,25 @@ def _of_use(rule: Rule) -> Column:
     return (F.col("n") > 2) | ((F.col("n") == 2) & (rule.den * F.col("least") >= rule.num * F.col("most")))
 
 
+#: Bits of a filter and of each of its bitmaps: bounded, whatever the input. More keys than bits only let more rows pass.
+FILTER, SLOT = 1 << 25, 1 << 15
+
+
+def _maybe(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not in ``wanted`` (the same column), so that these are not shuffled.
+
+    One bit a key, in at most 1,024 bitmaps of 4 KB. A join on the key must follow.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER))
+    slot, bit = F.floor(place / SLOT).alias("_slot"), (place % SLOT).alias("_bit")
+    maps = wanted.select(slot, bit).distinct().repartition("_slot").groupBy("_slot").agg(F.bitmap_construct_agg("_bit").alias("_bitmap"))
+    byte = F.conv(F.hex(F.substring(F.col("_bitmap"), (F.floor(F.col("_bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = F.call_function("shiftright", byte, (F.col("_bit") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return rows.select("*", slot, bit).join(F.broadcast(staged(maps, "filter")), "_slot").where(is_set).drop("_slot", "_bit", "_bitmap")
+
+
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    sets = _maybe(sets, "node", pairs.select(F.explode(F.array("a", "b")).alias("node")))
     one = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     return one.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
 
@@ -160,8 +178,10 @@ def near_groups(docs: DataFrame, rule: Rule) -> DataFrame:
     members = staged(placed.join(weights, "node").select("bucket", "node", "size", "weight"), "members")
 
     wanted = members.select("node").distinct().join(classes, "node").select("node", "key", F.coalesce("least", F.lit(-(2**63))).alias("id"))
+    wanted = staged(wanted, "wanted")
+    some = _maybe(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce("text", F.lit("")).alias("text")), "id", wanted)
     # never by broadcast: the wanted grow with the input, so a small input is to show what a large one costs
-    texts = keyed.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)))).join(staged(wanted, "wanted").hint("merge"), ["key", "id"])
+    texts = some.withColumn("key", text_key(F.col("text"))).join(wanted.hint("merge"), ["key", "id"])
     once = texts.groupBy("node").agg(F.first("text").alias("text"))
     sets = staged(once.mapInArrow(_setter(rule), "node long, shingles array<long>"), "shingle-sets")
 
@@ -216,7 +236,7 @@ def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
     links = staged(links, "found")
     if links.isEmpty():
         return labels
-    return components(links if labels is None else labels.select(F.col("node").alias("u"), F.col("label").alias("v")).union(links))
+    return components(links) if labels is None else merged(labels, links)
 
 
 def _within(stars: DataFrame, rule: Rule, most: float) -> tuple[DataFrame, DataFrame]:

@@ -142,6 +142,27 @@ def test_components_of_chains_and_stars(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_further_links_join_only_what_they_touch(spark, monkeypatch):
+    monkeypatch.setattr(components, "HUB", 8)  # the star's middle is dealt out
+    links = [[(i, i + 1) for i in range(0, 40, 2)] + [(100, 200 + i) for i in range(50)], [(1, 2), (3, 220), (249, 300), (500, 400), (2, 1), (200, 201)]]
+    first, second = (spark.createDataFrame(part, "u long, v long") for part in links)
+    labels = components.components(first)
+    seen = []
+    whole = components.components
+    monkeypatch.setattr(components, "components", lambda df: seen.append(whole(df)) or seen[0])
+    got = components.merged(labels, second).collect()
+    assert sorted(got) == sorted(whole(first.union(second)).collect())
+    assert {r.node for r in seen[0].collect()} == {0, 2, 100, 300, 400, 500}
+
+
+def test_what_cannot_be_wanted_is_dropped_before_the_join(spark):
+    rows = spark.range(50_000).selectExpr("id * 8589934592 AS node")
+    wanted = spark.range(0, 50_000, 100).selectExpr("id * 8589934592 AS node")
+    some = minhash._maybe(rows, "node", wanted)
+    assert some.columns == ["node"] and some.join(wanted, "node", "left_semi").count() == 500
+    assert some.count() < 600
+
+
 # --- 3: shards
 
 
