@@ -129,6 +129,23 @@ def test_indexed_search(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(kind" in plans.text_of(odd)
 
 
+def test_search_multiplies_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vi, "BLOCK", 16)
+    monkeypatch.setattr(vi, "ASKED", 3)
+    rng = random.Random(4)
+    some = [[float(rng.randint(-2, 2)) for _ in range(4)] for _ in range(25)]  # many equal similarities and copies
+    rows = {i: rng.choice(some) for i in range(300)} | {300: [0.0] * 4, 301: None}
+    vectors = spark.createDataFrame(list(rows.items()), "id long, embedding array<double>")
+    found = vi.search(vi.build(vectors, str(tmp_path / "index"), 4, lists=3), vectors.where("id % 20 = 0").select(F.col("id").alias("query"), "embedding"), 7)
+    assert "CoGroups" in plans.text_of(found)
+    got = {q: [r.id for r in sorted((r for r in found.collect() if r["query"] == q), key=lambda r: r["rank"])] for q in range(0, 301, 20)}
+    assert got == near_by_hand(rows, range(0, 301, 20), 7)
+    odd = spark.createDataFrame([(1, [float("nan"), 1.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0])], "id long, embedding array<double>")
+    asked = spark.createDataFrame([(7, [1.0, 0.0]), (8, [1.0])], "query long, embedding array<double>")
+    found = vi.search(vi.build(odd, str(tmp_path / "odd"), 2, lists=1), asked, 2).collect()
+    assert sorted((r["query"], r["rank"], r.id) for r in found) == [(7, 1, 1), (7, 2, 2), (8, 1, 1), (8, 2, 2)]
+
+
 def test_index_of_no_vectors(spark, tmp_path):
     none = spark.createDataFrame([], "id long, embedding array<double>")
     index = vi.build(none, str(tmp_path / "none"), 4)
