@@ -106,6 +106,21 @@ def test_unlisted_parts_do_not_count(spark):
     assert store.write_evidence(many(spark, [9]), path, ["pos"]) == 1
 
 
+def test_passes_of_a_write_carry_no_texts(spark, monkeypatch):
+    seen, plain = [], store.counted
+    monkeypatch.setattr(store, "counted", lambda df, name: seen.append(df.columns) or plain(df, name))
+    schema = "id string, excerpt_hash string, excerpt string"
+    batch = spark.createDataFrame([("a", "1", "x"), ("a", "2", "y"), ("b", "2", "z"), ("c", "3", "w")], schema)
+    for c in schemas.EVIDENCE_COLUMNS:
+        if c not in batch.columns:
+            batch = batch.withColumn(c, F.lit(None).cast(spark.createDataFrame([], schemas.EVIDENCE).schema[c].dataType))
+    path = scratch_path(spark, "keys-only")
+    assert store.write_evidence(batch, path, ["excerpt_hash"]) == 3
+    assert {(r.id, r.excerpt) for r in store.read_store(spark, path).collect()} == {("a", "x"), ("b", "z"), ("c", "w")}
+    assert seen and not any("excerpt" in columns for columns in seen)
+    assert store.write_evidence(batch, path, ["excerpt_hash"]) == 0
+
+
 def test_hot_hash_leaves_one_row(spark):
     path = scratch_path(spark, "t-hot")
     rows = [(f"i{n}", "same" if n % 3 else f"h{n}", n) for n in range(300)]
