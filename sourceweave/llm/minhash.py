@@ -128,16 +128,18 @@ def _of_use(rule: Rule) -> Column:
     return (F.col("n") > 2) | ((F.col("n") == 2) & (rule.den * F.col("least") >= rule.num * F.col("most")))
 
 
-#: Bits of a filter and of each of its bitmaps: bounded, whatever the input. More keys than bits only let more rows pass.
-FILTER, SLOT = 1 << 25, 1 << 15
+#: Most bits of a filter, bits a wanted key below that, and bits of each of its bitmaps: bounded, whatever the input. More
+#: keys than bits only let more rows pass.
+FILTER, KEY_BITS, SLOT = 1 << 25, 1 << 10, 1 << 15
 
 
-def _maybe(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+def _maybe(rows: DataFrame, key: str, wanted: DataFrame, n: int | None = None) -> DataFrame:
     """``rows`` without most of those whose ``key`` is not in ``wanted`` (the same column), so that these are not shuffled.
 
-    One bit a key, in at most 1,024 bitmaps of 4 KB. A join on the key must follow.
+    One bit a key, in at most 1,024 bitmaps of 4 KB, fewer if ``n``, the most keys wanted, is told and small. A join on the
+    key must follow.
     """
-    place = F.pmod(F.xxhash64(key), F.lit(FILTER))
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER if n is None else min(FILTER, 1 << max(n * KEY_BITS, SLOT).bit_length())))
     slot, bit = F.floor(place / SLOT).alias("_slot"), (place % SLOT).alias("_bit")
     maps = wanted.select(slot, bit).distinct().repartition("_slot").groupBy("_slot").agg(F.bitmap_construct_agg("_bit").alias("_bitmap"))
     byte = F.conv(F.hex(F.substring(F.col("_bitmap"), (F.floor(F.col("_bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
@@ -145,15 +147,20 @@ def _maybe(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return rows.select("*", slot, bit).join(F.broadcast(staged(maps, "filter")), "_slot").where(is_set).drop("_slot", "_bit", "_bitmap")
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    sets = _maybe(sets, "node", pairs.select(F.explode(F.array("a", "b")).alias("node")))
+def _with_sets(pairs: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows of ``pairs`` (a, b, any others) with the sets of both."""
+    sets = _maybe(sets, "node", pairs.select(F.explode(F.array("a", "b")).alias("node")), 2 * n)
     one = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     return one.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
 
 
-def _links(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough, as links (u, v)."""
-    both = _with_sets(pairs, sets).select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
+def _links(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame | None:
+    """The pairs (a, b) whose full sets are similar enough, as links (u, v); None where there are no pairs."""
+    pairs = staged(pairs, "near-pairs")
+    n = pairs.count()
+    if n == 0:
+        return None
+    both = _with_sets(pairs, sets, n).select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
     return both.where(_linked(rule, F.col("na"), F.col("nb"), F.col("common"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
@@ -179,7 +186,7 @@ def near_groups(docs: DataFrame, rule: Rule) -> DataFrame:
 
     wanted = members.select("node").distinct().join(classes, "node").select("node", "key", F.coalesce("least", F.lit(-(2**63))).alias("id"))
     wanted = staged(wanted, "wanted")
-    some = _maybe(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce("text", F.lit("")).alias("text")), "id", wanted)
+    some = _maybe(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce("text", F.lit("")).alias("text")), "id", wanted, wanted.count())
     # never by broadcast: the wanted grow with the input, so a small input is to show what a large one costs
     texts = some.withColumn("key", text_key(F.col("text"))).join(wanted.hint("merge"), ["key", "id"])
     once = texts.groupBy("node").agg(F.first("text").alias("text"))
@@ -203,7 +210,7 @@ PAIRS, LEAST_PAIRS = 0.25, 10_000
 
 def _labels(members: DataFrame, sets: DataFrame, rule: Rule, most: float) -> DataFrame | None:
     """Component labels of the members (bucket, node, size, weight); None where there is no link."""
-    labels, buckets = None, members
+    labels, late, buckets = None, None, members
     while True:
         top = F.max(F.struct("weight", (-F.col("node")).alias("minus"))).alias("top")
         pivots = buckets.groupBy("bucket").agg(top, F.count(F.lit(1)).alias("n"), F.min("size").alias("least"), F.max("size").alias("most"))
@@ -211,9 +218,10 @@ def _labels(members: DataFrame, sets: DataFrame, rule: Rule, most: float) -> Dat
         met = buckets.join(pivots, "bucket").where("node <> a")
         pairs = met.groupBy("a", F.col("node").alias("b")).agg(F.max("n").alias("n"), F.max("weight").alias("weight"))
         pairs = staged(pairs, "star-pairs")
-        if pairs.isEmpty():
-            return labels
-        both = _with_sets(pairs, sets)
+        n = pairs.count()
+        if n == 0:
+            return labels if late is None else _joined(labels, late)
+        both = _with_sets(pairs, sets, n)
         stars = staged(
             both.select(
                 "a", "b", "weight", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"),
@@ -221,15 +229,17 @@ def _labels(members: DataFrame, sets: DataFrame, rule: Rule, most: float) -> Dat
             ),
             "stars",
         )
-        labels = _joined(labels, stars.where(_linked(rule, F.col("na"), F.col("nb"), F.col("common"))).select(F.col("a").alias("u"), F.col("b").alias("v")))
         own = _linked(rule, F.col("na"), F.col("nb"), F.col("common"))
+        links = stars.where(own).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        # with those found within the stars of the round before: labels are made once a round
+        labels = _joined(labels, links if late is None else links.union(late))
         held = stars.where("beyond IS NOT NULL").select("a", "b", "weight", F.col("nb").alias("n"), "common", "beyond", own.alias("own"))
         held = held.join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("label", "b")) if labels is not None else held.withColumn("label", F.col("b"))
         # stars whose members are not all in one component
         mixed = staged(held.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("a"), "mixed")
         open_stars = staged(held.join(mixed, "a"), "open-stars")
         near, buckets = _within(open_stars, rule, most)
-        labels = _joined(labels, _links(staged(near, "near-pairs"), sets, rule))
+        late = _links(near, sets, rule)
 
 
 def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:

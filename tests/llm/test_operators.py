@@ -163,6 +163,53 @@ def test_what_cannot_be_wanted_is_dropped_before_the_join(spark):
     assert some.count() < 600
 
 
+def kept_plans(monkeypatch, module):
+    seen, whole = [], module.staged
+    monkeypatch.setattr(module, "staged", lambda df, name: seen.append((name, df._jdf.queryExecution().executedPlan().toString())) or whole(df, name))
+    return seen
+
+
+@pytest.mark.parametrize("hub", [4096, 8])
+def test_steps_of_components_broadcast_nothing(spark, monkeypatch, hub):
+    monkeypatch.setattr(components, "HUB", hub)
+    seen = kept_plans(monkeypatch, components)
+    links = [(i, i + 1) for i in range(0, 40)] + [(500, 200 + i) for i in range(50)] + [(7, 7), (1, 0), (500, 40)]
+    got = dict(components.components(spark.createDataFrame(links, "u long, v long")).collect())
+    assert got == {**{i: 0 for i in range(41)}, 500: 0, **{200 + i: 0 for i in range(50)}}
+    assert len(seen) > 2 and not any("Broadcast" in plan for _, plan in seen)
+
+
+def test_links_to_roots_take_no_step(spark, monkeypatch):
+    seen = kept_plans(monkeypatch, components)
+    got = dict(components.components(spark.createDataFrame([(9, 1), (1, 8), (7, 2), (7, 2)], "u long, v long")).collect())
+    assert got == {1: 1, 8: 1, 9: 1, 2: 2, 7: 2} and [name for name, _ in seen] == ["links", "labels"]
+
+
+def test_a_round_makes_labels_once(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PAIRS", 0.0)
+    monkeypatch.setattr(minhash, "LEAST_PAIRS", 12)
+    seen, whole = kept_plans(monkeypatch, minhash), minhash._joined
+    made = []
+    monkeypatch.setattr(minhash, "_joined", lambda *a: made.append(0) or whole(*a))
+    rng = random.Random(5)
+    base = sentence(rng, 120)
+    rows = [(i, edited(rng, base, rng.randint(0, 9)), "s") for i in range(60)]
+    got = minhash.near_groups(documents(spark, rows, []), minhash.Rule()).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(groups_by_hand(rows, minhash.Rule()))
+    rounds = sum(name == "stars" for name, _ in seen)
+    assert rounds > 1 and rounds <= len(made) <= rounds + 1
+
+
+def test_a_filter_for_few_keys_is_small(spark, monkeypatch):
+    kept, whole = [], minhash.staged
+    monkeypatch.setattr(minhash, "staged", lambda df, name: kept.append(whole(df, name)) or kept[-1])
+    rows = spark.range(50_000).selectExpr("id * 8589934592 AS node")
+    wanted = spark.range(0, 50_000, 100).selectExpr("id * 8589934592 AS node")
+    some = minhash._maybe(rows, "node", wanted, 500)
+    assert some.join(wanted, "node", "left_semi").count() == 500 and some.count() < 600
+    assert kept[0].count() <= 16
+
+
 # --- 3: shards
 
 
