@@ -9,7 +9,7 @@ member is compared with it (its star). Two members that the pivot does not link
 - if their sizes allow it although all they have beyond the pivot differs, or
 - if they share as many shingles beyond the pivot as the bound asks for, so they meet under a rare one of these.
 
-Such pairs are compared on full sets. A shingle that very many members of a star share makes them a bucket of the next
+Such pairs are compared on full sets; in a star of few members all pairs of different components are, outright. A shingle that very many members of a star share makes them a bucket of the next
 round, with a pivot of its own. So no link within a bucket is lost, and a group of copies costs about one star.
 """
 
@@ -17,15 +17,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, staged, words
+from .common import staged
 from .components import components, merged
-from .word_hashes import WordHashes, as_bytes, mix64, pieces
+from .word_hashes import as_bytes, mix64, pieces
+
+#: Bytes of text that are gone through at a time: the arrays of so many words stay in a core's cache.
+PIECE_BYTES = 400_000
 
 
 @dataclass(frozen=True)
@@ -50,20 +55,35 @@ def _pi(x: np.ndarray, shift: int, out: np.ndarray, tmp: np.ndarray) -> np.ndarr
     return np.bitwise_xor(out, tmp, out=out)
 
 
-def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
-    """Sorted distinct 64-bit shingle hashes of each text; a shorter text is one shingle, one without words none."""
-    known, out = WordHashes(), []
-    for text in texts:
-        parts = text.lower().split()
-        h = known.of(parts)
-        if len(h) == 0:
-            out.append(h)
-            continue
-        width = min(k, len(h))
-        mixed = np.full(len(h) - width + 1, len(h) if len(h) < k else k, np.uint64)
-        for i in range(width):
-            mixed = mix64(mixed * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(mixed)])
-        out.append(np.unique(mixed))
+def word_lists(texts: list[bytes]) -> list[list[bytes]]:
+    """Words of each text, in lower case (ASCII)."""
+    return [text.lower().split() for text in texts]
+
+
+def word_key(parts: list[bytes]) -> bytes:
+    """16 bytes that tell word sequences apart."""
+    return md5(b" ".join(parts)).digest()
+
+
+def _windows(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the windows of ``width`` words."""
+    mixed = np.full(len(h) - width + 1, width, np.uint64)
+    for i in range(width):
+        mixed = mix64(mixed * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(mixed)])
+    return mixed
+
+
+def shingle_sets(lists: list[list[bytes]], k: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit shingle hashes of each list of words; a shorter one is one shingle, an empty one none."""
+    sizes = list(map(len, lists))
+    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for parts in lists for w in parts), np.uint64, sum(sizes))
+    mixed, at, out = _windows(h, k) if len(h) >= k else h, 0, []  # in one go; windows across two texts are left out below
+    for n in sizes:
+        own = np.sort(mixed[at : at + n - k + 1] if n >= k else _windows(h[at : at + n], n) if n else h[:0])
+        new = np.ones(len(own), bool)
+        np.not_equal(own[1:], own[:-1], out=new[1:])
+        out.append(own[new])
+        at += n
     return out
 
 
@@ -87,16 +107,16 @@ def _signer(rule: Rule):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_bytes(batch["text"])
-            for part in pieces(texts):
-                sets = shingle_sets(texts[part], rule.shingle)
+            for part in pieces(texts, PIECE_BYTES):
+                lists = word_lists(texts[part])
+                sets = shingle_sets(lists, rule.shingle)
                 full = [s for s in sets if len(s)]
                 sizes = np.array([len(s) for s in sets], np.int64)
                 keys = _band_keys(full, rule).view(np.int64).ravel() if full else np.empty(0, np.int64)
                 offsets = np.concatenate([[0], np.cumsum((sizes > 0) * rule.bands)]).astype(np.int32)
-                cut = batch.slice(part.start, part.stop - part.start)
-                yield pa.RecordBatch.from_arrays(
-                    [cut["doc_id"], cut["key"], pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))], ["doc_id", "key", "n_shingles", "bands"]
-                )
+                key, raw = ([f(x) for x in of] for f, of in ((word_key, lists), (lambda x: md5(x).digest(), texts[part])))
+                columns = [batch["doc_id"][part.start : part.stop], pa.array(key, pa.binary()), pa.array(raw, pa.binary()), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "raw", "n_shingles", "bands"])
 
     return sign
 
@@ -105,8 +125,8 @@ def _setter(rule: Rule):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_bytes(batch["text"])
-            for part in pieces(texts):
-                sets = shingle_sets(texts[part], rule.shingle)
+            for part in pieces(texts, PIECE_BYTES):
+                sets = shingle_sets(word_lists(texts[part]), rule.shingle)
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 flat = np.concatenate(sets).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch["node"][part.start : part.stop], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["node", "shingles"])
@@ -114,9 +134,13 @@ def _setter(rule: Rule):
     return build
 
 
-def text_key(text: Column) -> Column:
-    """16 bytes that tell word sequences apart."""
-    return F.unhex(F.md5(F.array_join(words(lower_ascii(text)), " ")))
+def _id(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(-(2**63)))
+
+
+def _raw(text: Column) -> Column:
+    """16 bytes that tell texts apart, as the signatures have them."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
 def _linked(rule: Rule, size: Column, other: Column, common: Column) -> Column:
@@ -171,10 +195,17 @@ def near_groups(docs: DataFrame, rule: Rule) -> DataFrame:
     Rows with the same words are copies of one class. Null texts, and texts without words, have no shingles and link
     with nothing; a null doc_id is no component's least unless all are null. Other columns are not looked at.
     """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = staged(keyed.mapInArrow(_signer(rule), "doc_id long, key binary, n_shingles long, bands array<long>"), "signatures")
+    return _groups(docs, rule).drop("raw")
+
+
+def _groups(docs: DataFrame, rule: Rule) -> DataFrame:
+    """:func:`near_groups` with ``raw``, the key of each row's text as it stands. Words are parted once, in the tasks that sign."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    signed = staged(keyed.mapInArrow(_signer(rule), "doc_id long, key binary, raw binary, n_shingles long, bands array<long>"), "signatures")
     some = signed.where("n_shingles > 0")
-    classes = some.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
+    first = F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "raw")).alias("first")
+    classes = some.groupBy("key").agg(first, F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
+    classes = classes.select("key", F.col("first.doc_id").alias("least"), F.col("first.raw").alias("raw"), "size", "bands")
     classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     in_bands = classes.select("node", "size", F.explode("bands").alias("bucket"))
@@ -184,12 +215,12 @@ def near_groups(docs: DataFrame, rule: Rule) -> DataFrame:
     weights = placed.groupBy("node").agg(F.sum("n").alias("weight"))
     members = staged(placed.join(weights, "node").select("bucket", "node", "size", "weight"), "members")
 
-    wanted = members.select("node").distinct().join(classes, "node").select("node", "key", F.coalesce("least", F.lit(-(2**63))).alias("id"))
+    wanted = members.select("node").distinct().join(classes, "node").select("node", "raw", _id(F.col("least")).alias("id"))
     wanted = staged(wanted, "wanted")
-    some = _maybe(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce("text", F.lit("")).alias("text")), "id", wanted, wanted.count())
+    some = _maybe(docs.select(_id(F.col("doc_id")).alias("id"), F.coalesce("text", F.lit("")).alias("text")), "id", wanted, wanted.count())
     # never by broadcast: the wanted grow with the input, so a small input is to show what a large one costs
-    texts = some.withColumn("key", text_key(F.col("text"))).join(wanted.hint("merge"), ["key", "id"])
-    once = texts.groupBy("node").agg(F.first("text").alias("text"))
+    texts = some.withColumn("raw", _raw(F.col("text"))).join(wanted.hint("merge"), ["raw", "id"])
+    once = texts.groupBy("raw", "id").agg(F.first("node").alias("node"), F.first("text").alias("text")).select("node", "text")
     sets = staged(once.mapInArrow(_setter(rule), "node long, shingles array<long>"), "shingle-sets")
 
     labels = _labels(members, sets, rule, max(LEAST_PAIRS, PAIRS * classes.count()))
@@ -199,13 +230,15 @@ def near_groups(docs: DataFrame, rule: Rule) -> DataFrame:
     of_class = classes.join(labels, "node", "left").select("key", "least", F.coalesce("label", "node").alias("label"))
     first = staged(of_class.groupBy("label").agg(F.min("least").alias("component_id")), "firsts")
     found = staged(of_class.join(first, "label").select("key", "component_id"), "components")
-    ids = signed.select("doc_id", "key", "n_shingles").join(found, "key", "left")
+    ids = signed.select("doc_id", "key", "raw", "n_shingles").join(found, "key", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return ids.select("doc_id", "key", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    return ids.select("doc_id", "key", "raw", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
 #: Pairs of members under shared shingles that a round may compare, for each class of texts, and at least.
 PAIRS, LEAST_PAIRS = 0.25, 10_000
+#: Pairs that a round compares outright within small stars, for each of those under shared shingles, and most of one star.
+DIRECT, STAR = 8, 1 << 17
 
 
 def _labels(members: DataFrame, sets: DataFrame, rule: Rule, most: float) -> DataFrame | None:
@@ -221,25 +254,61 @@ def _labels(members: DataFrame, sets: DataFrame, rule: Rule, most: float) -> Dat
         n = pairs.count()
         if n == 0:
             return labels if late is None else _joined(labels, late)
-        both = _with_sets(pairs, sets, n)
-        stars = staged(
-            both.select(
-                "a", "b", "weight", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"),
-                F.when(F.col("n") > 2, F.array_except("sb", "sa")).alias("beyond"),
-            ),
-            "stars",
-        )
+        parts = [F.when(F.col("n") > 2, f("sb", "sa")).alias(name) for f, name in ((F.array_intersect, "within"), (F.array_except, "beyond"))]
+        common = F.size(F.array_intersect("sa", "sb")).alias("common")
+        stars = staged(_with_sets(pairs, sets, n).select("a", "b", "weight", F.size("sa").alias("na"), F.size("sb").alias("nb"), common, *parts), "stars")
         own = _linked(rule, F.col("na"), F.col("nb"), F.col("common"))
         links = stars.where(own).select(F.col("a").alias("u"), F.col("b").alias("v"))
         # with those found within the stars of the round before: labels are made once a round
         labels = _joined(labels, links if late is None else links.union(late))
-        held = stars.where("beyond IS NOT NULL").select("a", "b", "weight", F.col("nb").alias("n"), "common", "beyond", own.alias("own"))
+        held = stars.where("beyond IS NOT NULL").select("a", "b", "weight", F.col("nb").alias("n"), "common", "within", "beyond", own.alias("own"))
         held = held.join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("label", F.coalesce("label", "b")) if labels is not None else held.withColumn("label", F.col("b"))
-        # stars whose members are not all in one component
-        mixed = staged(held.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("a"), "mixed")
-        open_stars = staged(held.join(mixed, "a"), "open-stars")
+        mixed, bound, largest = _mixed(held.select("a", "label"), most * DIRECT)
+        if not largest:
+            return labels
+        late = _outright(staged(held.join(mixed.where(F.col("pairs") <= bound).select("a"), "a"), "small-stars"), rule) if bound else None
+        if largest <= bound:
+            return _joined(labels, late)
+        open_stars = staged(held.drop("within").join(mixed.where(F.col("pairs") > bound).select("a"), "a"), "open-stars")
         near, buckets = _within(open_stars, rule, most)
-        late = _links(near, sets, rule)
+        more = _links(near, sets, rule)
+        late = more if late is None else late if more is None else late.union(more)
+
+
+def _bound(sizes: DataFrame, size: str, pairs: Column, most: float) -> int:
+    """The largest power of two such that the ``pairs`` of all rows of ``sizes`` up to that ``size`` stay below ``most``, 0 without."""
+    by_size = sizes.groupBy(F.ceil(F.log2(size)).alias("log")).agg(F.sum(pairs).alias("pairs")).orderBy("log").collect()
+    bound, total = 0, 0
+    for r in by_size:  # one row for each power of two
+        total += r.pairs
+        if total > most:
+            break
+        bound = 2**r.log
+    return bound
+
+
+def _mixed(held: DataFrame, most: float) -> tuple[DataFrame, int, int]:
+    """From members (a, label): the stars (a, pairs) with members of more than one component, and how many pairs across
+    components these have; up to which number the stars' pairs are ``most`` in all; the largest number."""
+    counts = held.groupBy("a", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("a").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("own"))
+    mixed = staged(counts.select("a", F.expr("(n * n - own) div 2").alias("pairs")).where("pairs > 0"), "mixed")
+    largest = mixed.agg(F.max("pairs")).first()[0] or 0
+    return mixed, min(STAR, _bound(mixed, "pairs", F.col("pairs"), most)) if largest else 0, largest
+
+
+def _outright(stars: DataFrame, rule: Rule) -> DataFrame:
+    """Links (u, v) across components within stars (a, b, n, common, within, beyond, label), each pair compared where the star is.
+
+    A set is what it shares with the pivot and what it has beyond it; the sizes of these parts rule most pairs out.
+    """
+    left, right = stars.alias("l"), stars.hint("merge").alias("r")
+    enough = lambda common: (rule.num + rule.den) * common >= rule.num * (F.col("l.n") + F.col("r.n"))
+    inner, beyond = (F.size(F.array_intersect(f"l.{c}", f"r.{c}")) for c in ("within", "beyond"))
+    least = F.least("l.common", "r.common")
+    may = enough(least + F.least(F.col("l.n") - F.col("l.common"), F.col("r.n") - F.col("r.common")))
+    pairs = (F.col("l.a") == F.col("r.a")) & (F.col("l.b") < F.col("r.b")) & (F.col("l.label") != F.col("r.label"))
+    linked = left.join(right, pairs & may & enough(least + beyond) & enough(inner + beyond))
+    return linked.select(F.col("l.b").alias("u"), F.col("r.b").alias("v")).distinct()
 
 
 def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
@@ -277,14 +346,7 @@ def _within(stars: DataFrame, rule: Rule, most: float) -> tuple[DataFrame, DataF
     )
     first = ordered.withColumn("shared", F.slice("shared", 1, F.greatest(F.size("shared") - F.greatest("need", F.lit(1)).cast("int") + 1, F.lit(0))))
     keyed = staged(first.select("a", "b", "n", "label", "weight", F.explode("shared").alias("x")).select("a", "b", "n", "label", "weight", "x.size", "x.shingle"), "met")
-    # the largest bound on members of a shingle under which the pairs of all shingles stay below ``most``
-    by_size = keyed.groupBy(F.ceil(F.log2("size")).alias("log")).agg(F.sum("size").alias("pairs")).orderBy("log").collect()
-    bound, total = 1, 0
-    for r in by_size:  # one row for each power of two
-        total += r.pairs / 2
-        if total > most:
-            break
-        bound = 2**r.log
+    bound = max(1, _bound(keyed, "size", F.col("size") / 2, most))
     few = keyed.where(F.col("size") <= bound)
     left, right = few.alias("l"), few.alias("r")
     meets = (F.col("l.a") == F.col("r.a")) & (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.b") < F.col("r.b")) & (F.col("l.label") != F.col("r.label"))
@@ -299,7 +361,7 @@ def one_of_each(docs: DataFrame, rule: Rule) -> DataFrame:
 
     Rows without words stay, each distinct one once.
     """
-    kept = near_groups(docs, rule).where("kept").select("doc_id", "key").distinct()
-    mine = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_key": text_key(F.col("text"))})
-    chosen = kept.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_id"), F.col("key").alias("_key"))
-    return mine.join(chosen, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).drop("_id", "_key")
+    kept = _groups(docs, rule).where("kept").groupBy("doc_id", "key").agg(F.min("raw").alias("_raw"))
+    mine = docs.withColumns({"_id": _id(F.col("doc_id")), "_raw": _raw(F.col("text"))})
+    chosen = kept.select(_id(F.col("doc_id")).alias("_id"), "_raw")
+    return mine.join(chosen, ["_id", "_raw"], "left_semi").dropDuplicates(["_id", "_raw"]).drop("_id", "_raw")

@@ -200,6 +200,31 @@ def test_a_round_makes_labels_once(spark, monkeypatch):
     assert rounds > 1 and rounds <= len(made) <= rounds + 1
 
 
+def test_small_stars_are_compared_outright(spark, monkeypatch):
+    seen = kept_plans(monkeypatch, minhash)
+    rng = random.Random(5)
+    base = sentence(rng, 120)
+    rows = [(i, edited(rng, base, rng.randint(0, 9)), "s") for i in range(60)]
+    got = minhash.near_groups(documents(spark, rows, []), minhash.Rule()).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(groups_by_hand(rows, minhash.Rule()))
+    names = [name for name, _ in seen]
+    assert "small-stars" in names and names.count("stars") == 1 and "shared-shingles" not in names
+
+
+def test_words_are_parted_by_the_signer_alone(spark, monkeypatch):
+    seen = kept_plans(monkeypatch, minhash)
+    rng = random.Random(6)
+    text = "Two  \tWords\x0b" + sentence(rng, 30)
+    rows = [(1, text, "s"), (2, " ".join(text.upper().split()), "s"), (None, text, "s"), (4, None, "s"), (5, "", "s"), (6, "one", "s"), (1, "other " + text, "s")]
+    found = minhash.near_groups(documents(spark, rows, []), minhash.Rule())
+    keys = {r.doc_id: bytes(r.key) for r in found.where("doc_id <> 1").collect()}
+    assert keys == {i: hashlib.md5(" ".join((t or "").lower().split()).encode()).digest() for i, t, _ in rows if i and i != 1}
+    kept = minhash.one_of_each(documents(spark, rows, []), minhash.Rule())
+    plans = [plan for _, plan in seen] + [kept._jdf.queryExecution().executedPlan().toString()]
+    assert not any("split(" in plan for plan in plans)
+    assert sorted(r.doc_id for r in kept.collect() if r.text) == [1, 1, 6]
+
+
 def test_a_filter_for_few_keys_is_small(spark, monkeypatch):
     kept, whole = [], minhash.staged
     monkeypatch.setattr(minhash, "staged", lambda df, name: kept.append(whole(df, name)) or kept[-1])
