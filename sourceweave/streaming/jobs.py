@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import discovery as d
 from ..operators import gate as g
+from ..session import staged
 from ..sources import crawl, store
 from . import triggers
 
@@ -28,7 +29,8 @@ def ingest_stream(pages: DataFrame, store_path: str, checkpoint: str, run_id: Co
     """New pages -> excerpts -> store. Ids derive from the content, so a replayed batch inserts nothing."""
 
     def absorb(batch: DataFrame, batch_id: int) -> None:
-        store.write_evidence(page_evidence(batch, run_id, retrieved_at), store_path, ["url", "chunk_pos"])
+        rows = staged(page_evidence(batch, run_id, retrieved_at), "page-evidence")  # a store reads its batch more than once
+        store.write_evidence(rows, store_path, ["url", "chunk_pos"])
 
     return (
         crawl.pages_as_fetches(pages)

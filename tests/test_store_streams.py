@@ -157,6 +157,22 @@ def test_search(spark):
     assert sorted((r.topic, r.id) for r in many) == [("NO", "3"), ("sleep", "2")]
 
 
+def test_a_write_copies_no_texts(spark, tmp_path, monkeypatch):
+    kept = []
+    for name in ("staged", "counted"):
+        whole = getattr(store, name)
+        monkeypatch.setattr(store, name, lambda df, label, whole=whole: kept.append((label, df.columns)) or whole(df, label))
+    path = str(tmp_path / "store")
+    rows = batch(spark, [("a", "h1", None), ("a", "h1", 3), ("b", "h2", 1), ("c", "h2", 0)])
+    assert store.write_evidence(rows, path, ["pos"]) == 2
+    assert sorted(r.id for r in store.read_store(spark, path).collect()) == ["a", "c"]
+    assert kept and not [label for label, columns in kept if "excerpt" in columns]
+    # a batch that would differ when read again is copied
+    odd = many(spark, range(20)).withColumn("id", F.concat("id", F.rand().cast("string")))
+    assert store.write_evidence(odd, path, ["pos"]) == 20
+    assert [label for label, columns in kept if "excerpt" in columns] == ["evidence-batch"]
+
+
 def test_hits_of_a_common_topic_are_cut_before_they_move(spark):
     rows = spark.range(400).selectExpr("cast(id AS string) id", "'u' url", "cast(null AS string) title", "'Sleep ' || id excerpt", "cast(id AS int) retrieved_at")
     found = ev.search_many(rows, spark.createDataFrame([("sleep",), ("SLEEP",), (None,), ("",)], "topic string"), 2)
